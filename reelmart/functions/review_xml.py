@@ -57,8 +57,13 @@ def field(document: Column, parsed: Column, rooted: Column, name: str) -> Column
     NULL for a missing, empty or malformed document; an empty string when the document is sound but
     has no such element.
     """
-    found = F.get(
-        F.flatten(F.filter(parsed[RECORD][name], lambda texts: texts.isNotNull())), F.lit(0)
+    records = parsed[RECORD]
+    found = F.coalesce(
+        F.get(F.get(records, F.lit(0))[name], F.lit(0)),
+        # the first record lacks the element: look through the others
+        F.get(
+            F.flatten(F.filter(records[name], lambda texts: texts.isNotNull())), F.lit(0)
+        ),
     )
     readable = (F.length(document) > 0) & parsed[_BAD].isNull()
     return F.when(readable, F.coalesce(F.when(rooted, found), F.lit("")))

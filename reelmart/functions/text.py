@@ -26,12 +26,15 @@ ENGLISH_STOP_WORDS = tuple(
 _BLANKS = " \t\n\x0b\f\r"
 
 
+def _without_trailing_blanks(text: Column) -> Column:
+    return F.rtrim(F.lower(text), F.lit(_BLANKS))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased text cut at every single blank; inner empty tokens stay, trailing ones go."""
-    lowered = F.lower(text)
-    ended = F.rtrim(lowered, F.lit(_BLANKS))
-    return F.when((ended == "") & (lowered != ""), F.array().cast("array<string>")).otherwise(
-        F.split(ended, r"\s", -1)
+    only_blanks = (_without_trailing_blanks(text) == "") & (text != "")
+    return F.when(only_blanks, F.array().cast("array<string>")).otherwise(
+        F.split(_without_trailing_blanks(text), r"\s", -1)
     )
 
 
@@ -42,7 +45,8 @@ def without_stop_words(words: Column, stop_words: tuple[str, ...] = ENGLISH_STOP
 
 def clean_text(text: Column) -> Column:
     """Remaining words joined by one space; a NULL text gives an empty string."""
-    return F.concat_ws(" ", without_stop_words(tokens(text)))
+    words = F.split(_without_trailing_blanks(text), r"\s", -1)
+    return F.concat_ws(" ", without_stop_words(words))
 
 
 def mentions(text: Column, keyword: str) -> Column:

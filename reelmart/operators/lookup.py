@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmart.operators.dims import DIMENSIONS
-from reelmart.operators.skew import ROW, balanced_join, hot_keys, numbered_rows
+from reelmart.operators.skew import HOT_ROWS, ROW, balanced_join, hot_keys, numbered_rows
 
 # Largest dimension that is sent to every executor, and what a row costs there beside its key text.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -38,7 +38,10 @@ def _single_ids(dim: DataFrame, key: str, id_col: str) -> DataFrame:
 
 
 def lookup_ids(
-    logs: DataFrame, dims: dict[str, DataFrame], broadcast_bytes: int = BROADCAST_BYTES
+    logs: DataFrame,
+    dims: dict[str, DataFrame],
+    broadcast_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``logs`` with one id column per dimension.
 
@@ -49,9 +52,11 @@ def lookup_ids(
     """
     sizes = dimension_bytes(dims)
     large = [name for name in dims if sizes[name] > broadcast_bytes]
-    hot = hot_keys(logs, *(DIMENSIONS[name][0] for name in large)) if large else {}
+    hot = (
+        hot_keys(logs, *(DIMENSIONS[name][0] for name in large), hot_rows=hot_rows) if large else {}
+    )
     numbered = ROW in logs.columns
-    if large and not numbered:
+    if any(hot.values()) and not numbered:
         logs = numbered_rows(logs)
     for name, dim in dims.items():
         key, id_col = DIMENSIONS[name]

@@ -6,14 +6,16 @@ rows of those keys, only those, are repeated once per salt. Every pair meets exa
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with more than this share of the rows is hot; there can be fewer than 1 / HOT_SHARE of them.
+# A key is hot when it has more than this share of the rows; fewer than 1 / HOT_SHARE keys can be.
 HOT_SHARE = 1 / 500
+# Rows of one key that a single task takes without trouble; below it no key is hot.
+HOT_ROWS = 1_000_000
 # Counters per sketch: its error bound stays well below HOT_SHARE, so no hot key is missed.
 _COUNTERS = 4000
 # First-level sketches that are merged independently before the last merge.
@@ -31,29 +33,37 @@ def numbered_rows(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def hot_keys(df: DataFrame, *columns: str, share: float = HOT_SHARE) -> dict[str, list[Any]]:
-    """Values of each column that hold more than ``share`` of all rows, NULL aside.
+def hot_keys(df: DataFrame, *columns: str, hot_rows: int = HOT_ROWS) -> dict[str, list[Any]]:
+    """The hot values of each column, ``None`` among them when NULL is.
 
     One pass over the key columns. Tasks keep fixed-size sketches, which are merged in two steps, so
-    what reaches the driver is bounded whatever the number of rows or keys.
+    what reaches the driver is bounded whatever the number of rows or keys. A table with no more than
+    ``hot_rows`` rows is only counted.
     """
-    most = int(1 / share)
+    rows = df.count()
+    if rows <= hot_rows:
+        return {c: [] for c in columns}
+    least = max(hot_rows, HOT_SHARE * rows)
+    sketch = "approx_top_k_accumulate(`{c}`, {n})"
+    merged = "approx_top_k_estimate(approx_top_k_combine(`_sketch_{c}`, {n}), {k})"
     partial = df.groupBy((F.spark_partition_id() % _SKETCH_GROUPS).alias("_group")).agg(
-        F.count("*").alias("_rows"),
-        *(F.expr(f"approx_top_k_accumulate(`{c}`, {_COUNTERS})").alias(f"_sketch_{c}") for c in columns),
+        *(F.expr(sketch.format(c=c, n=_COUNTERS)).alias(f"_sketch_{c}") for c in columns),
+        *(F.count_if(F.col(c).isNull()).alias(f"_nulls_{c}") for c in columns),
     )
     found = partial.agg(
-        F.sum("_rows").alias("_rows"),
         *(
-            F.expr(
-                f"approx_top_k_estimate(approx_top_k_combine(`_sketch_{c}`, {_COUNTERS}), {most})"
-            ).alias(c)
+            F.expr(merged.format(c=c, n=_COUNTERS, k=int(1 / HOT_SHARE))).alias(c)
             for c in columns
         ),
+        *(F.sum(f"_nulls_{c}").alias(f"_nulls_{c}") for c in columns),
     ).first()
-    least = share * (found["_rows"] or 0)
     return {
-        c: [top["item"] for top in found[c] or [] if top["item"] is not None and top["count"] > least]
+        c: [
+            top["item"]
+            for top in found[c] or []
+            if top["item"] is not None and top["count"] > least
+        ]
+        + ([None] if found[f"_nulls_{c}"] > least else [])
         for c in columns
     }
 
@@ -72,8 +82,8 @@ def _every_salt(hot: Column, salts: int) -> Column:
     )
 
 
-def _is_hot(key: str, values: Iterable[Any]) -> Column:
-    return F.coalesce(F.col(key).isin(list(values)), F.lit(False))
+def _is_hot(key: str, values: list[Any]) -> Column:
+    return F.coalesce(F.col(key).isin(values), F.lit(False))
 
 
 def balanced_join(
@@ -82,29 +92,31 @@ def balanced_join(
     left_key: str,
     right_key: str,
     how: str = "inner",
-    left_hot: Iterable[Any] = (),
-    right_hot: Iterable[Any] = (),
+    left_hot: Sequence[Any] = (),
+    right_hot: Sequence[Any] = (),
     salts: int | None = None,
 ) -> DataFrame:
     """``left`` joined to ``right`` on ``left_key = right_key``, hot keys split.
 
     ``left_hot`` and ``right_hot`` are the keys that are hot on each side (from ``hot_keys``). A side
-    with hot keys must carry the ``numbered_rows`` column. ``how`` is ``inner`` or ``left``; a left
-    join also spreads the left rows without a key, which would otherwise share one task. The
-    right key and the right row number are dropped; all other column names must differ between the
-    sides.
+    with hot keys must carry the ``numbered_rows`` column. ``how`` is ``inner`` or ``left``; in a
+    left join ``None`` in ``left_hot`` spreads the left rows without a key, which would otherwise
+    share one task. The right key and the right row number are dropped; all other column
+    names must differ between the sides.
 
     Without hot keys this is the plain join, left to Catalyst and adaptive execution.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
-    left_hot, right_hot = list(left_hot), list(right_hot)
+    spread_nulls = how == "left" and None in left_hot
+    left_hot = [key for key in left_hot if key is not None]
+    right_hot = [key for key in right_hot if key is not None]
     salts = salts or _salt_count(left)
     right = right.withColumnRenamed(right_key, "_right_key")
     condition = F.col(left_key) == F.col("_right_key")
-    if left_hot:
+    if left_hot or spread_nulls:
         spread = _is_hot(left_key, left_hot)
-        if how == "left":
+        if spread_nulls:
             spread = spread | F.col(left_key).isNull()
         left = left.withColumn("_left_salt", _own_salt(spread, salts))
         right = right.withColumn("_left_salt_of", _every_salt(_is_hot("_right_key", left_hot), salts))

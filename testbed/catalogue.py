@@ -84,13 +84,21 @@ def _dim_lookup(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
 
 
 def _dim_lookup_by_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dim_lookup(spark, sf_dir, broadcast_bytes=0)
+    # As with dimensions too large to broadcast; every device, system and place counts as hot.
+    return _dim_lookup(spark, sf_dir, broadcast_bytes=0, hot_rows=0)
 
 
-def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fact(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
     logs = _staged_logs(spark, sf_dir)
     reviews = written(_reviews(spark, sf_dir, "data"))
-    return build_fact(_purchases(spark, sf_dir), reviews, logs, _dims(logs), AS_OF)
+    return build_fact(
+        _purchases(spark, sf_dir), reviews, logs, _dims(logs), AS_OF, **limits
+    )
+
+
+def _fact_with_hot_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The 150 users hold more than one review in 500 each: all of them are split.
+    return _fact(spark, sf_dir, hot_rows=0)
 
 
 def _csv_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +192,7 @@ def catalogue() -> dict[str, Query]:
         "dim_lookup": _dim_lookup,
         "dim_lookup_by_shuffle": _dim_lookup_by_shuffle,
         "fact_movie_analytics": _fact,
+        "fact_with_hot_users": _fact_with_hot_users,
         "csv_review_logs": _csv_logs,
         "csv_movie_reviews": _csv_review_text,
         "csv_classified_reviews": _csv_reviews,

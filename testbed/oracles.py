@@ -151,6 +151,7 @@ def oracles() -> dict[str, str]:
         "dim_lookup": _LOOKUP,
         "dim_lookup_by_shuffle": _LOOKUP,
         "fact_movie_analytics": _fact("data"),
+        "fact_with_hot_users": _fact("data"),
         "csv_review_logs": _LOGS,
         "csv_movie_reviews": """
             SELECT doc_id % 150 AS cid, text AS review_str, doc_id AS id_review FROM documents
