@@ -108,6 +108,9 @@ def balanced_join(
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
+    if how == "left" and right_hot:
+        # A left row repeated per right salt would stay unmatched once per salt without a partner.
+        raise ValueError("a left join splits hot keys of the left side only")
     spread_nulls = how == "left" and None in left_hot
     left_hot = [key for key in left_hot if key is not None]
     right_hot = [key for key in right_hot if key is not None]

@@ -1,0 +1,84 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from reelmart.functions.review_xml import FIELDS
+from reelmart.operators.logs import malformed_logs, parse_review_logs, trimmed
+
+FULL = (
+    "<reviewlog><log><logDate>2021-04-25</logDate><device>Mobile</device><os>Linux</os>"
+    "<location>Texas</location><ipAddress>10.0.0.1</ipAddress><phoneNumber>555-1</phoneNumber>"
+    "</log></reviewlog>"
+)
+
+SOUND = [
+    FULL,
+    "<reviewlog><log><device>A</device></log></reviewlog>",
+    "<reviewlog><log><device></device><os/></log></reviewlog>",
+    "<reviewlog><log><device>A</device><device>B</device></log></reviewlog>",
+    "<reviewlog><log><device>A</device></log><log><device>B</device><os>X</os></log></reviewlog>",
+    "<reviewlog><log/><log><os>Y</os><os>Z</os></log></reviewlog>",
+    "<reviewlog><log><device>  padded  </device><os>   </os></log></reviewlog>",
+    "<reviewlog><log><device><![CDATA[a<b&c]]></device><os>x &amp; y</os></log></reviewlog>",
+    "<reviewlog><log><device>x<!-- note -->y</device></log></reviewlog>",
+    '<?xml version="1.0"?>\n<!-- head --><reviewlog><log a="1"><device k="v">A</device></log></reviewlog>',
+    "<reviewlog></reviewlog>",
+    "<reviewlog/>",
+    "<reviewlog><wrap><log><device>A</device></log></wrap></reviewlog>",
+    "<other><log><device>A</device></log></other>",
+    "<reviewlogs><log><device>A</device></log></reviewlogs>",
+    "",
+    None,
+]
+
+MALFORMED = ["<reviewlog><log>", "no markup", "   ", "<reviewlog><log><device>A</log></reviewlog>"]
+
+
+def _raw(spark, documents):
+    return spark.createDataFrame(list(enumerate(documents)), "id_review long, log string")
+
+
+def test_sound_documents_give_what_xpath_gives(spark):
+    raw = _raw(spark, SOUND)
+    paths = [
+        F.expr(f"xpath_string(log, '/reviewlog/log/{name}')").alias(column)
+        for name, column in FIELDS.items()
+    ]
+    expected = raw.select(F.col("id_review").alias("log_id"), *paths)
+    expected = expected.withColumn("log_date", F.try_to_date("log_date", "yyyy-MM-dd"))
+    found = parse_review_logs(raw)
+    assert found.columns == ["log_id", *FIELDS.values()]
+    assert found.orderBy("log_id").collect() == expected.orderBy("log_id").collect()
+
+
+def test_malformed_documents_give_null_fields_and_are_counted(spark):
+    raw = _raw(spark, MALFORMED + SOUND)
+    rows = parse_review_logs(raw).where(F.col("log_id") < len(MALFORMED)).collect()
+    assert len(rows) == len(MALFORMED)
+    assert all(value is None for row in rows for value in row[1:])
+    counts = malformed_logs(raw).first()
+    assert (counts.total_logs, counts.malformed_logs) == (len(MALFORMED + SOUND), len(MALFORMED))
+
+
+def test_malformed_documents_can_fail_the_job(spark):
+    with pytest.raises(Exception, match="(?i)malformed"):
+        parse_review_logs(_raw(spark, MALFORMED[:1]), fail_on_malformed=True).collect()
+    assert parse_review_logs(_raw(spark, [FULL]), fail_on_malformed=True).count() == 1
+
+
+def test_date_format_is_a_parameter_and_bad_dates_are_null(spark):
+    raw = _raw(spark, [FULL.replace("2021-04-25", d) for d in ("04-25-2021", "2021-04-25", "13-45-2021", "")])
+    dates = {r.log_id: r.log_date for r in parse_review_logs(raw, "MM-dd-yyyy").collect()}
+    assert dates == {0: dt.date(2021, 4, 25), 1: None, 2: None, 3: None}
+
+
+def test_trimmed_cuts_text_columns_only(spark):
+    df = spark.createDataFrame([(1, "  a b ")], "id long, t string")
+    assert trimmed(df).collect() == [(1, "a b")]
+
+
+def test_documents_are_parsed_once(spark):
+    plan = parse_review_logs(_raw(spark, [FULL]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_xml(") == 1
+    assert "Exchange" not in plan

@@ -1,0 +1,196 @@
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from reelmart import schemas
+from reelmart.__main__ import main
+from reelmart.plans.warehouse import build_warehouse, create_tables, load
+from reelmart.scratch import scratch_folder, written
+from reelmart.sinks.csv_files import write_csv
+from reelmart.sinks.tables import append_rows, create_table, has_rows, replace_rows
+from reelmart.sources.csv_files import (
+    read_csv,
+    read_log_reviews,
+    read_movie_reviews,
+    read_stage_table,
+    read_user_purchase,
+)
+from reelmart.sources.relational import relational_options
+from tests.test_logs import FULL
+
+AWKWARD = [
+    (1, 'said "hi", twice', 10),
+    (2, "line\nbreak", 11),
+    (3, "", 12),
+    (4, None, 13),
+    (5, "  blanks  ", 14),
+    (6, "back\\slash\\", 15),
+    (7, '"', 16),
+    (None, "a,b", None),
+]
+
+
+def test_csv_round_trip_keeps_quotes_breaks_blanks_and_null(spark, tmp_path):
+    df = spark.createDataFrame(AWKWARD, schemas.MOVIE_REVIEWS)
+    for _ in range(2):
+        write_csv(df, f"{tmp_path}/reviews")
+    assert sorted(read_movie_reviews(spark, f"{tmp_path}/reviews").collect(), key=str) == sorted(
+        df.collect(), key=str
+    )
+
+
+def test_csv_can_trim(spark, tmp_path):
+    df = spark.createDataFrame([(1, "  a  ", 2)], schemas.MOVIE_REVIEWS)
+    write_csv(df, f"{tmp_path}/reviews", trim=True)
+    assert read_movie_reviews(spark, f"{tmp_path}/reviews").collect() == [(1, "a", 2)]
+
+
+def test_csv_write_keeps_all_partitions(spark, tmp_path):
+    write_csv(spark.range(100).repartition(5), f"{tmp_path}/ids")
+    assert len(list((tmp_path / "ids").glob("part-*.csv"))) == 5
+
+
+def test_single_line_files_are_split(spark, tmp_path):
+    path = tmp_path / "ids.csv"
+    path.write_text("id\n" + "\n".join(str(n) for n in range(20_000)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 16_384)
+    try:
+        schema = spark.range(1).schema
+        split = read_csv(spark, str(path), schema, multiline=False)
+        whole = read_csv(spark, str(path), schema)
+        assert split.rdd.getNumPartitions() > 4 and whole.rdd.getNumPartitions() == 1
+        assert split.count() == whole.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_purchase_load_is_typed_and_all_or_nothing(spark, tmp_path):
+    header = "invoice_number,stock_code,detail,quantity,invoice_date,unit_price,customer_id,country\n"
+    good = tmp_path / "good.csv"
+    good.write_text(header + 'C1,S1,"a ""quoted"", lamp",6,2010-12-01 08:26:00,2.5505,17850,France\n'
+                    + 'C2,S2,"",-1,2010-12-01 08:26:00.123456,0.001,,\n')
+    assert read_user_purchase(spark, str(good)).collect() == [
+        ("C1", "S1", 'a "quoted", lamp', 6, dt.datetime(2010, 12, 1, 8, 26), Decimal("2.551"), 17850, "France"),
+        ("C2", "S2", "", -1, dt.datetime(2010, 12, 1, 8, 26, 0, 123456), Decimal("0.001"), None, None),
+    ]
+    bad = tmp_path / "bad.csv"
+    bad.write_text(header + "C1,S1,lamp,six,2010-12-01 08:26:00,2.55,17850,France\n")
+    with pytest.raises(Exception, match="(?i)malformed|cannot|error"):
+        read_user_purchase(spark, str(bad)).collect()
+
+
+def test_bad_fields_of_other_files_are_null(spark, tmp_path):
+    path = tmp_path / "staged.csv"
+    path.write_text("user_id,positive_review,review_id\nx,1,2\n3,0,4\n")
+    rows = read_stage_table(spark, str(path), "classified_movie_reviews").collect()
+    assert rows == [(None, 1, 2), (3, 0, 4)]
+
+
+def test_create_is_repeatable_and_typed(spark, database):
+    for _ in range(2):
+        create_tables(spark, database)
+    for name, schema in {**schemas.STAGE_TABLES, **schemas.WAREHOUSE_TABLES}.items():
+        table = spark.table(f"{database}.{name}")
+        assert [(f.name, f.dataType) for f in table.schema] == [(f.name, f.dataType) for f in schema]
+        assert not has_rows(table)
+
+
+def test_varchar_limits_are_enforced_on_write(spark, database):
+    create_table(spark, f"{database}.t", schemas.DIM_OS, {"os": 3})
+    append_rows(spark.createDataFrame([(1, "abc")], schemas.DIM_OS), f"{database}.t")
+    with pytest.raises(Exception, match="(?i)exceed"):
+        append_rows(spark.createDataFrame([(1, "abcd")], schemas.DIM_OS), f"{database}.t")
+
+
+def test_replace_is_repeatable_and_append_adds(spark, database):
+    table = f"{database}.dim_os"
+    create_table(spark, table, schemas.DIM_OS)
+    rows = spark.createDataFrame([("X", 1), ("Y", 2)], "os string, id_dim_os long")
+    for _ in range(2):
+        replace_rows(rows, table)
+    assert sorted(spark.table(table).collect()) == [(1, "X"), (2, "Y")]
+    append_rows(rows, table)
+    assert spark.table(table).count() == 4
+    assert has_rows(spark.table(table))
+
+
+def test_scratch_lies_in_the_checkpoint_folder(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert scratch_folder(spark).startswith(root + "/")
+    assert scratch_folder(spark) != scratch_folder(spark)
+    df = written(spark.range(3))
+    assert all(file.removeprefix("file://").startswith(root) for file in df.inputFiles())
+
+
+def test_relational_options_cut_the_table_into_ranges():
+    options = relational_options("jdbc:x:y", "user_purchase", "invoice_date", "2010-01-01", "2012-01-01", 64, 500)
+    assert options["dbtable"] == "user_purchase"
+    assert options["partitionColumn"] == "invoice_date"
+    assert (options["lowerBound"], options["upperBound"]) == ("2010-01-01", "2012-01-01")
+    assert (options["numPartitions"], options["fetchsize"]) == ("64", "500")
+    with pytest.raises(ValueError):
+        relational_options("jdbc:x:y", "t", "c", 0, 1, 0, 1)
+
+
+def _inputs(spark):
+    logs = spark.createDataFrame(
+        [(1, FULL), (2, FULL.replace("Mobile", "  Mobile ")), (3, FULL.replace("Texas", "Ohio")), (4, None)],
+        schemas.LOG_REVIEWS,
+    )
+    reviews = spark.createDataFrame(
+        [(7, "good", 1), (7, "bad", 2), (8, "good", 3), (9, "good", 9)], schemas.MOVIE_REVIEWS
+    )
+    day = dt.datetime(2010, 12, 1, 8, 26)
+    purchases = spark.createDataFrame(
+        [("i", "s", "d", 2, day, Decimal("1.5"), 7, "France"), ("i", "s", "d", 1, day, Decimal("4"), 9, "Peru")],
+        schemas.USER_PURCHASE,
+    )
+    return logs, reviews, purchases
+
+
+def test_refresh_twice_gives_the_same_tables(spark, database):
+    for _ in range(2):
+        build_warehouse(spark, database, *_inputs(spark), as_of=dt.date(2024, 1, 1))
+    def rows(name):
+        return sorted(map(tuple, spark.table(f"{database}.{name}").collect()), key=str)
+
+    assert rows("dim_devices") == [(1, None), (2, "Mobile")]
+    assert rows("dim_location") == [(1, None), (2, "Ohio"), (3, "Texas")]
+    assert rows("dim_browser") == []
+    assert rows("fact_movie_analytics") == [
+        (7, 2, 2, 3, 2, Decimal("3.00000"), 1, 2, dt.date(2024, 1, 1)),
+        (7, 2, 2, 3, 2, Decimal("3.00000"), 1, 2, dt.date(2024, 1, 1)),
+    ]
+
+
+def test_appending_a_dimension_twice_makes_the_load_fail(spark, database):
+    build_warehouse(spark, database, *_inputs(spark), as_of=dt.date(2024, 1, 1))
+    from reelmart.operators.lookup import lookup_ids
+
+    devices = written(spark.table(f"{database}.dim_devices"))
+    append_rows(devices, f"{database}.dim_devices")
+    logs = spark.table(f"{database}.log_reviews_transformed")
+    with pytest.raises(Exception, match="more than one id_dim_devices"):
+        lookup_ids(logs, {"dim_devices": spark.table(f"{database}.dim_devices")}).collect()
+    load(spark, database, dt.date(2024, 1, 1))
+    assert spark.table(f"{database}.dim_devices").count() == 2
+
+
+def test_command_line_jobs(spark, database, tmp_path):
+    logs, reviews, purchases = _inputs(spark)
+    for name, df in (("logs", logs), ("reviews", reviews), ("purchases", purchases)):
+        write_csv(df, f"{tmp_path}/{name}")
+    main(["parse-logs", f"{tmp_path}/logs", f"{tmp_path}/out_logs"])
+    main(["classify-reviews", f"{tmp_path}/reviews", f"{tmp_path}/out_reviews", "--keyword", "bad"])
+    main(["stage-purchases", f"{tmp_path}/purchases", f"{tmp_path}/out_purchases"])
+    parsed = read_stage_table(spark, f"{tmp_path}/out_logs", "log_reviews_transformed")
+    assert parsed.where("log_id = 2").first().device == "Mobile"
+    classified = read_stage_table(spark, f"{tmp_path}/out_reviews", "classified_movie_reviews")
+    assert classified.agg(F.sum("positive_review")).first()[0] == 1
+    assert read_user_purchase(spark, f"{tmp_path}/out_purchases").count() == 2
+    assert read_log_reviews(spark, f"{tmp_path}/logs").count() == 4
+    main(["refresh", "--logs", f"{tmp_path}/logs", "--reviews", f"{tmp_path}/reviews",
+          "--purchases", f"{tmp_path}/purchases", "--database", database, "--as-of", "2024-01-01"])
+    assert spark.table(f"{database}.fact_movie_analytics").count() == 2
