@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from reelmart.functions import review_xml as xml
 
 
+# What a CSV writer counts as blank: the space and every control character below it.
+_BLANKS = "".join(map(chr, range(0x21)))
+
+
 def parse_review_logs(
     raw: DataFrame, date_format: str = "yyyy-MM-dd", fail_on_malformed: bool = False
 ) -> DataFrame:
@@ -31,7 +35,7 @@ def parse_review_logs(
         column: xml.field(document, parsed, F.col("_rooted"), name)
         for name, column in xml.FIELDS.items()
     }
-    fields["log_date"] = F.try_to_date(F.trim(fields["log_date"]), date_format)
+    fields["log_date"] = F.try_to_date(F.trim(fields["log_date"], F.lit(_BLANKS)), date_format)
     return prepared.select("log_id", *(value.alias(column) for column, value in fields.items()))
 
 
@@ -47,5 +51,8 @@ def malformed_logs(raw: DataFrame) -> DataFrame:
 def trimmed(df: DataFrame) -> DataFrame:
     """Text columns without surrounding blanks, as a staged CSV would hold them."""
     return df.select(
-        *(F.trim(c).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes)
+        *(
+            F.trim(F.col(c), F.lit(_BLANKS)).alias(c) if kind == "string" else F.col(c)
+            for c, kind in df.dtypes
+        )
     )

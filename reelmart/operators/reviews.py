@@ -10,10 +10,15 @@ from reelmart.functions import text
 
 def review_tokens(raw: DataFrame) -> DataFrame:
     """Token count and stop-word-free text of each review."""
-    return raw.withColumnRenamed("id_review", "review_id").select(
-        "review_id",
-        F.size(text.tokens(F.col("review_str"))).alias("n_tokens"),
-        text.clean_text(F.col("review_str")).alias("review_clean_str"),
+    words = text.without_stop_words(F.col("_tokens"))
+    return (
+        raw.withColumnRenamed("id_review", "review_id")
+        .withColumn("_tokens", text.tokens(F.col("review_str")))
+        .select(
+            "review_id",
+            F.size("_tokens").alias("n_tokens"),
+            F.concat_ws(" ", words).alias("review_clean_str"),
+        )
     )
 
 

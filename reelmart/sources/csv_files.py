@@ -1,22 +1,28 @@
 """Headered CSV files under explicit schemas.
 
-Fields may hold quotes (doubled), commas and line breaks. A file whose fields hold line breaks cannot
-be split, so one task reads it: land such inputs as many files, or pass ``multiline=False`` when
-no field holds a line break, and every file is split as usual. Either way the jobs read the CSV
+Fields may hold quotes (doubled), commas and line breaks. Spark's own reader handles line breaks by
+giving a file to one task. That is right for many files of a moderate size; a larger file is cut into
+records by ``quoted_records``, which spreads one file over many tasks. Where no field holds a line
+break, ``multiline=False`` lets Spark's reader split every file. Either way the jobs read the CSV
 once and go on from parquet.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reelmart import schemas
+from reelmart.sources.csv_records import largest_file_bytes, quoted_records
 
 # An unquoted empty field is NULL, a quoted one ("") an empty string: the NULL marker
 # must be something that no text holds.
 _NO_TEXT = "\u0000"
 
+# Largest file that one task reads.
+FILE_BYTES_PER_TASK = 256 * 1024 * 1024
+
 
 def read_csv(
     spark: SparkSession,
@@ -24,21 +30,22 @@ def read_csv(
     schema: StructType,
     multiline: bool = True,
     fail_on_bad_rows: bool = False,
-    **options: str,
+    file_bytes_per_task: int = FILE_BYTES_PER_TASK,
 ) -> DataFrame:
     """Files with a header row as ``schema``; a field that does not fit is NULL or fails the job."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("sep", ",")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("nullValue", _NO_TEXT)
-        .option("mode", "FAILFAST" if fail_on_bad_rows else "PERMISSIVE")
-        .options(**options)
-        .csv(path)
-    )
+    options = {
+        "sep": ",",
+        "quote": '"',
+        "escape": '"',
+        "multiLine": str(multiline).lower(),
+        "nullValue": _NO_TEXT,
+        "mode": "FAILFAST" if fail_on_bad_rows else "PERMISSIVE",
+    }
+    if multiline and largest_file_bytes(spark, path) > file_bytes_per_task:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        row = F.from_csv("value", fields, options)
+        return quoted_records(spark, path).select(row.alias("row")).select("row.*")
+    return spark.read.schema(schema).option("header", True).options(**options).csv(path)
 
 
 def read_log_reviews(spark: SparkSession, path: str | list[str], **options) -> DataFrame:

@@ -115,10 +115,15 @@ def _csv_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_stage_table(spark, stage, "classified_movie_reviews")
 
 
-def _csv_review_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _csv_review_text(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
     raw = scratch_folder(spark)
     write_csv(inputs.movie_reviews(spark, sf_dir), raw)
-    return read_movie_reviews(spark, raw)
+    return read_movie_reviews(spark, raw, **limits)
+
+
+def _csv_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # As with files too large for one task each.
+    return _csv_review_text(spark, sf_dir, file_bytes_per_task=0)
 
 
 def _csv_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +200,7 @@ def catalogue() -> dict[str, Query]:
         "fact_with_hot_users": _fact_with_hot_users,
         "csv_review_logs": _csv_logs,
         "csv_movie_reviews": _csv_review_text,
+        "csv_large_files": _csv_large_files,
         "csv_classified_reviews": _csv_reviews,
         "csv_user_purchase": _csv_purchases,
         "replace_user_purchase": _replaced_purchases,

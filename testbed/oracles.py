@@ -35,6 +35,8 @@ _PURCHASES = """
     JOIN nation ON c_nationkey = n_nationkey
 """
 
+_REVIEW_TEXT = "SELECT doc_id % 150 AS cid, text AS review_str, doc_id AS id_review FROM documents"
+
 _STOP_WORDS = ", ".join("'" + word.replace("'", "''") + "'" for word in ENGLISH_STOP_WORDS)
 
 _TOKENS = """
@@ -153,9 +155,8 @@ def oracles() -> dict[str, str]:
         "fact_movie_analytics": _fact("data"),
         "fact_with_hot_users": _fact("data"),
         "csv_review_logs": _LOGS,
-        "csv_movie_reviews": """
-            SELECT doc_id % 150 AS cid, text AS review_str, doc_id AS id_review FROM documents
-        """,
+        "csv_movie_reviews": _REVIEW_TEXT,
+        "csv_large_files": _REVIEW_TEXT,
         "csv_classified_reviews": _classified("data"),
         "csv_user_purchase": _PURCHASES,
         "replace_user_purchase": _PURCHASES,

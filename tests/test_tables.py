@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reelmart import schemas
 from reelmart.__main__ import main
+from reelmart.operators.logs import trimmed
 from reelmart.plans.warehouse import build_warehouse, create_tables, load
 from reelmart.scratch import scratch_folder, written
 from reelmart.sinks.csv_files import write_csv
@@ -47,6 +48,14 @@ def test_csv_can_trim(spark, tmp_path):
     assert read_movie_reviews(spark, f"{tmp_path}/reviews").collect() == [(1, "a", 2)]
 
 
+def test_trimmed_cuts_what_a_trimmed_csv_cuts(spark, tmp_path):
+    texts = ["  a  ", "\ta\n", "\r\na b\x0b", "\x01a\x1f", "\u00a0a\u00a0", '  "q"  ', " a, b "]
+    df = spark.createDataFrame(list(enumerate(texts)), "log_id long, device string")
+    write_csv(df, f"{tmp_path}/t", trim=True)
+    from_csv = read_csv(spark, f"{tmp_path}/t", df.schema)
+    assert sorted(trimmed(df).collect()) == sorted(from_csv.collect())
+
+
 def test_csv_write_keeps_all_partitions(spark, tmp_path):
     write_csv(spark.range(100).repartition(5), f"{tmp_path}/ids")
     assert len(list((tmp_path / "ids").glob("part-*.csv"))) == 5
