@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmart.operators.dims import DIMENSIONS
-from reelmart.operators.skew import HOT_ROWS, ROW, balanced_join, hot_keys, numbered_rows
+from reelmart.operators.skew import HOT_ROWS, ROW, balanced_join, with_hot_keys
 
 # Largest dimension that is sent to every executor, and what a row costs there beside its key text.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -52,12 +52,12 @@ def lookup_ids(
     """
     sizes = dimension_bytes(dims)
     large = [name for name in dims if sizes[name] > broadcast_bytes]
-    hot = (
-        hot_keys(logs, *(DIMENSIONS[name][0] for name in large), hot_rows=hot_rows) if large else {}
-    )
     numbered = ROW in logs.columns
-    if any(hot.values()) and not numbered:
-        logs = numbered_rows(logs)
+    hot = {}
+    if large:
+        large_keys = [DIMENSIONS[name][0] for name in large]
+        found, hot = with_hot_keys(logs.drop(ROW), *large_keys, hot_rows=hot_rows)
+        logs = logs if numbered else found
     for name, dim in dims.items():
         key, id_col = DIMENSIONS[name]
         ids = _single_ids(dim, key, id_col)

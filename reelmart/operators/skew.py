@@ -68,6 +68,14 @@ def hot_keys(df: DataFrame, *columns: str, hot_rows: int = HOT_ROWS) -> dict[str
     }
 
 
+def with_hot_keys(
+    table: DataFrame, *columns: str, hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, dict[str, list[Any]]]:
+    """A table scan ready for ``balanced_join`` on ``columns``, and the hot keys of each of them."""
+    hot = hot_keys(table, *columns, hot_rows=hot_rows)
+    return (numbered_rows(table) if any(hot.values()) else table), hot
+
+
 def _salt_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 

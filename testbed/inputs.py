@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelmart.operators.skew import HOT_ROWS, balanced_join, with_hot_keys
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,25 +43,31 @@ def log_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def user_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_purchase(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     buyers = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            F.col("o_orderkey").cast("string").alias("invoice_number"),
-            F.col("l_partkey").cast("string").alias("stock_code"),
-            F.col("p_name").alias("detail"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            F.col("o_orderdate").cast("timestamp_ntz").alias("invoice_date"),
-            F.col("p_retailprice").cast("decimal(8,3)").alias("unit_price"),
-            F.col("o_custkey").cast("int").alias("customer_id"),
-            F.col("n_name").alias("country"),
-        )
+
+    lineitem, line_hot = with_hot_keys(lineitem, "l_orderkey", "l_partkey", hot_rows=hot_rows)
+    orders, order_hot = with_hot_keys(orders, "o_custkey", hot_rows=hot_rows)
+    # Orders, parts and customers are unique under their keys: only the other side can be hot.
+    bought = balanced_join(
+        orders, buyers, "o_custkey", "c_custkey", left_hot=order_hot["o_custkey"]
+    )
+    lines = balanced_join(
+        lineitem, bought, "l_orderkey", "o_orderkey", left_hot=line_hot["l_orderkey"]
+    )
+    sold = balanced_join(lines, part, "l_partkey", "p_partkey", left_hot=line_hot["l_partkey"])
+    return sold.select(
+        F.col("l_orderkey").cast("string").alias("invoice_number"),
+        F.col("l_partkey").cast("string").alias("stock_code"),
+        F.col("p_name").alias("detail"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("invoice_date"),
+        F.col("p_retailprice").cast("decimal(8,3)").alias("unit_price"),
+        F.col("o_custkey").cast("int").alias("customer_id"),
+        F.col("n_name").alias("country"),
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from reelmart.operators.skew import balanced_join, hot_keys, numbered_rows
 from reelmart.scratch import written
+from testbed import inputs
 
 
 def _rows(rng, n, hot, null_share=0.1):
@@ -85,3 +86,11 @@ def test_without_hot_keys_the_join_is_plain(tables):
 def test_other_join_types_are_refused(tables):
     with pytest.raises(ValueError):
         balanced_join(tables[0], tables[1], "lk", "rk", "full")
+
+
+def test_purchase_lines_do_not_depend_on_which_keys_are_hot(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    plain = inputs.user_purchase(spark, sf_dir)
+    split = inputs.user_purchase(spark, sf_dir, hot_rows=0)
+    assert "salt" in split._jdf.queryExecution().optimizedPlan().toString()
+    assert _bag(split) == _bag(plain)
