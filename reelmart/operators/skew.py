@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 # A key is hot when it has more than this share of the rows; fewer than 1 / HOT_SHARE keys can be.
 HOT_SHARE = 1 / 500
 # Rows of one key that a single task takes without trouble; below it no key is hot.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 5_000_000
 # Counters per sketch: its error bound stays well below HOT_SHARE, so no hot key is missed.
 _COUNTERS = 4000
 # First-level sketches that are merged independently before the last merge.

@@ -21,7 +21,7 @@ from reelmart.sources.csv_records import largest_file_bytes, quoted_records
 _NO_TEXT = "\u0000"
 
 # Largest file that one task reads.
-FILE_BYTES_PER_TASK = 256 * 1024 * 1024
+FILE_BYTES_PER_TASK = 1024 * 1024 * 1024
 
 
 def read_csv(

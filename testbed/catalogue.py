@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ from reelmart.operators.purchases import (
     stage_user_purchase,
 )
 from reelmart.operators.reviews import classify_reviews, review_scores, review_tokens
+from reelmart.plans.together import together
 from reelmart.plans.warehouse import build_warehouse
 from reelmart.scratch import scratch_folder, written
 from reelmart.sinks.csv_files import write_csv
@@ -47,8 +49,13 @@ def _staged_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(_logs(spark, sf_dir))
 
 
+def _written_dimension(logs: DataFrame, name: str) -> DataFrame:
+    return written(build_dimension(logs, name))
+
+
 def _dims(logs: DataFrame) -> dict[str, DataFrame]:
-    return {name: written(build_dimension(logs, name)) for name in DIMENSIONS}
+    tables = together(*(partial(_written_dimension, logs, name) for name in DIMENSIONS))
+    return dict(zip(DIMENSIONS, tables))
 
 
 def _purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +96,10 @@ def _dim_lookup_by_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fact(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
-    logs = _staged_logs(spark, sf_dir)
-    reviews = written(_reviews(spark, sf_dir, "data"))
+    logs, reviews = together(
+        lambda: _staged_logs(spark, sf_dir),
+        lambda: written(_reviews(spark, sf_dir, "data")),
+    )
     return build_fact(
         _purchases(spark, sf_dir), reviews, logs, _dims(logs), AS_OF, **limits
     )
