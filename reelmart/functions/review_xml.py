@@ -27,9 +27,17 @@ _SCHEMA = (
 # Name of the first element, past declaration, comments and doctype.
 _FIRST_ELEMENT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([^\s/>!?]+)"
 
+# The closing root tag with something after it that may not be there.
+_AFTER_ROOT = rf"</{ROOT}\s*>\s*(?!\s|<!--|<\?|$)"
+
+
+def document_of(log: Column) -> Column:
+    """The log text; an empty one is no document."""
+    return F.nullif(log.cast("string"), F.lit(""))
+
 
 def parsed_log(document: Column, fail_on_malformed: bool = False) -> Column:
-    """The document as a struct; ``field`` and ``is_malformed`` read from it."""
+    """The document as a struct, for the functions below."""
     return F.from_xml(
         document,
         _SCHEMA,
@@ -47,23 +55,26 @@ def has_review_root(document: Column) -> Column:
 
 
 def is_malformed(document: Column, parsed: Column) -> Column:
-    """True for a document that is there but cannot be read as XML."""
-    return (F.length(document) > 0) & parsed[_BAD].isNotNull()
+    """True for a document that cannot be read as XML, NULL without a document."""
+    # The parser stops at the end of the root element, so what follows is looked at here.
+    return parsed[_BAD].isNotNull() | document.rlike(_AFTER_ROOT)
 
 
-def field(document: Column, parsed: Column, rooted: Column, name: str) -> Column:
-    """Text of the first ``name`` element below root and record.
-
-    NULL for a missing, empty or malformed document; an empty string when the document is sound but
-    has no such element.
-    """
+def first_text(parsed: Column, name: str) -> Column:
+    """Text of the first ``name`` element below the records, inner markup included."""
     records = parsed[RECORD]
-    found = F.coalesce(
+    return F.coalesce(
         F.get(F.get(records, F.lit(0))[name], F.lit(0)),
         # the first record lacks the element: look through the others
-        F.get(
-            F.flatten(F.filter(records[name], lambda texts: texts.isNotNull())), F.lit(0)
-        ),
+        F.get(F.flatten(F.filter(records[name], lambda texts: texts.isNotNull())), F.lit(0)),
     )
-    readable = (F.length(document) > 0) & parsed[_BAD].isNull()
-    return F.when(readable, F.coalesce(F.when(rooted, found), F.lit("")))
+
+
+def without_markup(text: Column, document: Column, name: str) -> Column:
+    """``text`` as XPath gives it.
+
+    Only a text with an angle bracket can differ, by markup inside the element: such a rare one is
+    read again by the much slower ``xpath_string``.
+    """
+    path = F.lit(f"/{ROOT}/{RECORD}/{name}")
+    return F.when(text.contains("<"), F.xpath_string(document, path)).otherwise(text)

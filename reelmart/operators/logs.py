@@ -17,35 +17,48 @@ def parse_review_logs(
 ) -> DataFrame:
     """``(id_review, log)`` to the seven columns of ``log_reviews_transformed``.
 
-    Each document is parsed once, in the scan's own stage. A date that does not follow
-    ``date_format`` becomes NULL. A malformed document gives NULL fields, or fails the job with
-    ``fail_on_malformed``.
+    Each document is parsed once, in the scan's own stage. Fields are NULL without a document and for
+    a malformed one, which fails the job with ``fail_on_malformed``; an element that a sound
+    document lacks is an empty string. A date that does not follow ``date_format`` becomes NULL.
     """
     document = F.col("_document")
     parsed = F.col("_parsed")
-    prepared = raw.select(
-        F.col("id_review").alias("log_id"), F.col("log").cast("string").alias("_document")
-    ).select(
-        "log_id",
-        "_document",
-        xml.parsed_log(document, fail_on_malformed).alias("_parsed"),
-        xml.has_review_root(document).alias("_rooted"),
+    malformed = xml.is_malformed(document, parsed)
+    if fail_on_malformed:
+        failure = F.raise_error(F.concat(F.lit("malformed document: "), document))
+        malformed = F.when(malformed, failure.cast("boolean")).otherwise(malformed)
+    texts = (
+        raw.select(
+            F.col("id_review").alias("log_id"), xml.document_of(F.col("log")).alias("_document")
+        )
+        .withColumn("_parsed", xml.parsed_log(document, fail_on_malformed))
+        .select(
+            "log_id",
+            "_document",
+            malformed.alias("_malformed"),
+            xml.has_review_root(document).alias("_rooted"),
+            *(xml.first_text(parsed, name).alias(column) for name, column in xml.FIELDS.items()),
+        )
     )
     fields = {
-        column: xml.field(document, parsed, F.col("_rooted"), name)
+        column: F.when(
+            ~F.col("_malformed"),
+            F.coalesce(
+                F.when(F.col("_rooted"), xml.without_markup(F.col(column), document, name)),
+                F.lit(""),
+            ),
+        )
         for name, column in xml.FIELDS.items()
     }
     fields["log_date"] = F.try_to_date(F.trim(fields["log_date"], F.lit(_BLANKS)), date_format)
-    return prepared.select("log_id", *(value.alias(column) for column, value in fields.items()))
+    return texts.select("log_id", *(value.alias(column) for column, value in fields.items()))
 
 
 def malformed_logs(raw: DataFrame) -> DataFrame:
     """One row: how many logs there are and how many of them are not readable as XML."""
-    document = F.col("log").cast("string")
+    document = xml.document_of(F.col("log"))
     flag = xml.is_malformed(document, xml.parsed_log(document))
-    return raw.agg(
-        F.count("*").alias("total_logs"), F.count_if(flag).alias("malformed_logs")
-    )
+    return raw.agg(F.count("*").alias("total_logs"), F.count_if(flag).alias("malformed_logs"))
 
 
 def trimmed(df: DataFrame) -> DataFrame:

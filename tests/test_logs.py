@@ -23,6 +23,8 @@ SOUND = [
     "<reviewlog><log><device><![CDATA[a<b&c]]></device><os>x &amp; y</os></log></reviewlog>",
     "<reviewlog><log><device>x<!-- note -->y</device></log></reviewlog>",
     '<?xml version="1.0"?>\n<!-- head --><reviewlog><log a="1"><device k="v">A</device></log></reviewlog>',
+    "<reviewlog><log><device>x<b>q<i>r</i></b>z</device><os>1 &lt; 2</os></log></reviewlog>",
+    FULL + "\n<!-- end --> <?done?> ",
     "<reviewlog></reviewlog>",
     "<reviewlog/>",
     "<reviewlog><wrap><log><device>A</device></log></wrap></reviewlog>",
@@ -32,7 +34,7 @@ SOUND = [
     None,
 ]
 
-MALFORMED = ["<reviewlog><log>", "no markup", "   ", "<reviewlog><log><device>A</log></reviewlog>"]
+MALFORMED = [FULL + "<x>", FULL + FULL, FULL + " end", "<reviewlog><log>", "no markup", "   ", "<reviewlog><log><device>A</log></reviewlog>"]
 
 
 def _raw(spark, documents):
@@ -62,9 +64,12 @@ def test_malformed_documents_give_null_fields_and_are_counted(spark):
 
 
 def test_malformed_documents_can_fail_the_job(spark):
-    with pytest.raises(Exception, match="(?i)malformed"):
-        parse_review_logs(_raw(spark, MALFORMED[:1]), fail_on_malformed=True).collect()
-    assert parse_review_logs(_raw(spark, [FULL]), fail_on_malformed=True).count() == 1
+    for document in MALFORMED:
+        with pytest.raises(Exception, match="(?i)malformed"):
+            parse_review_logs(_raw(spark, [document]), fail_on_malformed=True).collect()
+    raw = _raw(spark, SOUND)
+    strict = parse_review_logs(raw, fail_on_malformed=True)
+    assert sorted(strict.collect(), key=str) == sorted(parse_review_logs(raw).collect(), key=str)
 
 
 def test_date_format_is_a_parameter_and_bad_dates_are_null(spark):
