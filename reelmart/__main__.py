@@ -5,10 +5,13 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 
+from pyspark.sql import SparkSession
+
 from reelmart.operators.logs import parse_review_logs
 from reelmart.operators.purchases import stage_user_purchase
 from reelmart.operators.reviews import classify_reviews
 from reelmart.plans.warehouse import build_warehouse
+from reelmart.scratch import cleared_scratch
 from reelmart.session import build_session
 from reelmart.sinks.csv_files import write_csv
 from reelmart.sources.csv_files import read_log_reviews, read_movie_reviews, read_user_purchase
@@ -36,9 +39,7 @@ def _arguments() -> argparse.ArgumentParser:
     return parser
 
 
-def main(argv: list[str] | None = None) -> None:
-    args = _arguments().parse_args(argv)
-    spark = build_session(f"reelmart {args.job}")
+def _run(spark: SparkSession, args: argparse.Namespace) -> None:
     multiline = not args.single_line
     if args.job == "parse-logs":
         raw = read_log_reviews(spark, args.input, multiline=multiline)
@@ -62,5 +63,12 @@ def main(argv: list[str] | None = None) -> None:
         )
 
 
+def main(argv: list[str] | None = None) -> None:
+    args = _arguments().parse_args(argv)
+    spark = build_session(f"reelmart {args.job}")
+    with cleared_scratch(spark):
+        _run(spark, args)
+
+
 if __name__ == "__main__":
     main()

@@ -8,11 +8,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
+# Folders to delete at the end of the surrounding cleared_scratch block, if there is one.
+_to_clear: ContextVar[list[str] | None] = ContextVar("to_clear", default=None)
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -26,8 +31,14 @@ def scratch_folder(spark: SparkSession) -> str:
         context = spark.sparkContext
         if not context.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-        root = _local_folders.setdefault(context.applicationId, tempfile.mkdtemp(prefix="reelmart-"))
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="reelmart-")
+        root = _local_folders[context.applicationId]
+    folder = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    to_clear = _to_clear.get()
+    if to_clear is not None:
+        to_clear.append(folder)
+    return folder
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -36,3 +47,21 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cleared_scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch folders handed out within the block when the block ends.
+
+    For a job that has saved its results by then; frames that still read scratch tables do not
+    outlive the block.
+    """
+    token = _to_clear.set([])
+    try:
+        yield
+    finally:
+        folders = _to_clear.get()
+        _to_clear.reset(token)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

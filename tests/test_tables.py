@@ -1,5 +1,6 @@
 import datetime as dt
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from reelmart import schemas
 from reelmart.__main__ import main
 from reelmart.operators.logs import trimmed
 from reelmart.plans.warehouse import build_warehouse, create_tables, load
-from reelmart.scratch import scratch_folder, written
+from reelmart.plans.together import together
+from reelmart.scratch import cleared_scratch, scratch_folder, written
 from reelmart.sinks.csv_files import write_csv
 from reelmart.sinks.tables import append_rows, create_table, has_rows, replace_rows
 from reelmart.sources.csv_files import (
@@ -18,7 +20,7 @@ from reelmart.sources.csv_files import (
     read_stage_table,
     read_user_purchase,
 )
-from reelmart.sources.relational import relational_options
+from reelmart.sources.relational import read_relational, relational_options
 from tests.test_logs import FULL
 
 AWKWARD = [
@@ -133,6 +135,24 @@ def test_scratch_lies_in_the_checkpoint_folder(spark):
     assert all(file.removeprefix("file://").startswith(root) for file in df.inputFiles())
 
 
+def test_scratch_is_deleted_at_the_end_of_a_job(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    kept = written(spark.range(3))
+    before = set(folder.iterdir())
+    with pytest.raises(RuntimeError), cleared_scratch(spark):
+        tables = together(lambda: written(spark.range(4)), lambda: written(spark.range(5)))
+        assert [t.count() for t in tables] == [4, 5]
+        assert len(set(folder.iterdir()) - before) == 2
+        raise RuntimeError
+    assert set(folder.iterdir()) == before
+    assert kept.count() == 3
+
+
+def test_relational_read_needs_a_driver_for_the_url(spark):
+    with pytest.raises(Exception, match="No suitable driver"):
+        read_relational(spark, "jdbc:nowhere:x", "user_purchase", "customer_id", 0, 10, 4)
+
+
 def test_relational_options_cut_the_table_into_ranges():
     options = relational_options("jdbc:x:y", "user_purchase", "invoice_date", "2010-01-01", "2012-01-01", 64, 500)
     assert options["dbtable"] == "user_purchase"
@@ -191,6 +211,8 @@ def test_command_line_jobs(spark, database, tmp_path):
     logs, reviews, purchases = _inputs(spark)
     for name, df in (("logs", logs), ("reviews", reviews), ("purchases", purchases)):
         write_csv(df, f"{tmp_path}/{name}")
+    scratch = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(scratch.iterdir())
     main(["parse-logs", f"{tmp_path}/logs", f"{tmp_path}/out_logs"])
     main(["classify-reviews", f"{tmp_path}/reviews", f"{tmp_path}/out_reviews", "--keyword", "bad"])
     main(["stage-purchases", f"{tmp_path}/purchases", f"{tmp_path}/out_purchases"])
@@ -202,4 +224,5 @@ def test_command_line_jobs(spark, database, tmp_path):
     assert read_log_reviews(spark, f"{tmp_path}/logs").count() == 4
     main(["refresh", "--logs", f"{tmp_path}/logs", "--reviews", f"{tmp_path}/reviews",
           "--purchases", f"{tmp_path}/purchases", "--database", database, "--as-of", "2024-01-01"])
+    assert set(scratch.iterdir()) == before
     assert spark.table(f"{database}.fact_movie_analytics").count() == 2
