@@ -80,14 +80,13 @@ _SPEND = f"""
     FROM ({_PURCHASES}) GROUP BY customer_id
 """
 
+# Seasons by counting months from December, three at a time.
 _DIM_DATE = f"""
     SELECT row_number() OVER (ORDER BY log_date NULLS FIRST) AS id_dim_date, log_date,
            strftime(log_date, '%d') AS day, strftime(log_date, '%b') AS month,
            strftime(log_date, '%Y') AS year,
-           CASE WHEN month(log_date) IN (12, 1, 2) THEN 'Winter'
-                WHEN month(log_date) IN (3, 4, 5) THEN 'Spring'
-                WHEN month(log_date) IN (6, 7, 8) THEN 'Summer'
-                ELSE 'Fall' END AS season
+           coalesce(['Winter', 'Spring', 'Summer', 'Fall'][month(log_date) % 12 // 3 + 1], 'Fall')
+               AS season
     FROM (SELECT DISTINCT log_date FROM ({_LOGS}))
 """
 
@@ -104,24 +103,23 @@ _DIM_LOCATION = _dim("location", "id_dim_location")
 _DIM_OS = _dim("os", "id_dim_os")
 
 _LOOKUP = f"""
-    SELECT lr.log_id, ddt.id_dim_date, dd.id_dim_devices, dl.id_dim_location, dos.id_dim_os
-    FROM ({_LOGS}) lr
-    LEFT JOIN ({_DIM_DATE}) ddt ON ddt.log_date = lr.log_date
-    LEFT JOIN ({_DIM_DEVICES}) dd ON dd.device = lr.device
-    LEFT JOIN ({_DIM_LOCATION}) dl ON dl.location = lr.location
-    LEFT JOIN ({_DIM_OS}) dos ON dos.os = lr.os
+    SELECT log_id, id_dim_date, id_dim_devices, id_dim_location, id_dim_os
+    FROM ({_LOGS})
+    LEFT JOIN ({_DIM_DATE}) USING (log_date)
+    LEFT JOIN ({_DIM_DEVICES}) USING (device)
+    LEFT JOIN ({_DIM_LOCATION}) USING (location)
+    LEFT JOIN ({_DIM_OS}) USING (os)
 """
 
 
 def _fact(keyword: str) -> str:
     return f"""
-    SELECT up.customer_id AS customerid, k.id_dim_date, k.id_dim_devices, k.id_dim_location,
-           k.id_dim_os, up.amount_spent, mr.review_score, mr.review_count,
-           DATE '{AS_OF.isoformat()}' AS insert_date
-    FROM ({_SPEND}) up
-    JOIN ({_scores(keyword)}) mr ON up.customer_id = mr.user_id
-    JOIN ({_classified(keyword)}) mr2 ON up.customer_id = mr2.user_id
-    JOIN ({_LOOKUP}) k ON mr2.review_id = k.log_id
+    SELECT customer_id AS customerid, id_dim_date, id_dim_devices, id_dim_location, id_dim_os,
+           amount_spent, review_score, review_count, DATE '{AS_OF.isoformat()}' AS insert_date
+    FROM ({_classified(keyword)})
+    JOIN ({_scores(keyword)}) USING (user_id)
+    JOIN ({_SPEND}) ON customer_id = user_id
+    JOIN ({_LOOKUP}) ON log_id = review_id
     """
 
 
