@@ -37,6 +37,16 @@ def test_hot_keys_are_found_with_null(tables):
     assert hot["lv"] == ["x"]
 
 
+def test_no_hot_key_is_missed_among_many_rare_ones(spark):
+    # Twenty keys with 0.25 % of the rows each, among a million keys of one row.
+    rows = spark.range(0, 1_000_000, 1, 16).selectExpr(
+        "if(id % 400 < 20, -1 - id % 400 % 20, xxhash64(id)) AS k", "cast(id % 3 as string) AS s"
+    )
+    hot = hot_keys(written(rows), "k", "s", hot_rows=0)
+    assert sorted(hot["k"]) == list(range(-20, 0))
+    assert sorted(hot["s"]) == ["0", "1", "2"]
+
+
 def test_small_tables_have_no_hot_keys(tables):
     assert hot_keys(tables[0], "lk") == {"lk": []}
 
