@@ -106,8 +106,9 @@ def _fact(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
 
 
 def _fact_with_hot_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The 150 users hold more than one review in 500 each: all of them are split.
-    return _fact(spark, sf_dir, hot_rows=0)
+    # As with too many customers to broadcast. The 150 users hold more than one review in 500 each:
+    # all of them are split.
+    return _fact(spark, sf_dir, hot_rows=0, broadcast_bytes=0)
 
 
 def _csv_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

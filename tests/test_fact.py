@@ -99,6 +99,34 @@ def test_fact_equals_brute_force(spark, seed, limits):
     )
 
 
+def test_hot_users_are_split_only_where_totals_are_shuffled(spark):
+    purchases, reviews, logs = _data(1)
+    log_table = written(spark.createDataFrame(logs, LOG))
+    dims = {name: written(build_dimension(log_table, name)) for name in DIMENSIONS}
+
+    def plan(**limits):
+        fact = build_fact(
+            spark.createDataFrame(purchases, PURCHASE),
+            written(spark.createDataFrame([(u, p, None) for u, p, _ in reviews], REVIEW)),
+            log_table.withColumn("log_id", log_table.log_id * 0),
+            dims,
+            AS_OF,
+            hot_rows=0,
+            **limits,
+        )
+        return fact._jdf.queryExecution().executedPlan().toString()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "BroadcastHashJoin [user_id" in plan()
+        assert "_left_salt" not in plan()
+        assert "Broadcast" not in plan(broadcast_bytes=0)
+        assert "hashpartitioning(user_id#" in plan(broadcast_bytes=0)
+        assert "_left_salt" in plan(broadcast_bytes=0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_load_date_is_today_unless_given(spark):
     log_table = written(spark.createDataFrame([(1, None, "A", "X", "Y", "", "")], LOG))
     dims = {name: written(build_dimension(log_table, name)) for name in DIMENSIONS}
