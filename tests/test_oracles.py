@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from testbed.catalogue import catalogue
+from testbed.oracles import oracles
 
 SF_DIR = "/root/testdata/sf0.01"
 TABLES = (
@@ -25,15 +27,15 @@ def _sorted(rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(catalogue()) == set(oracles())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(catalogue()))
 def test_query_matches_oracle(spark, duck, name):
-    result = queries()[name](spark, SF_DIR)
+    result = catalogue()[name](spark, SF_DIR)
     columns = sorted(result.columns)
     found = [tuple(row[c] for c in columns) for row in result.collect()]
-    cursor = duck.execute(oracle_sql()[name])
+    cursor = duck.execute(oracles()[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     expected = [tuple(row[names.index(c)] for c in columns) for row in cursor.fetchall()]

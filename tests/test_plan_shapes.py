@@ -2,16 +2,16 @@
 
 import pytest
 
-from __spark_entry__ import queries
+from testbed.catalogue import catalogue
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
 def _plan(spark, name):
-    return queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    return catalogue()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(catalogue()))
 def test_no_cross_join_no_python_no_row_loop(spark, name):
     plan = _plan(spark, name)
     for unwanted in ("CartesianProduct", "NestedLoop", "EvalPython", "InPandas", "MapInArrow", "Limit"):
