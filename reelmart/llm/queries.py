@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmart.llm import mixing, warc
+from reelmart.llm import decontamination, mixing, near_duplicates, token_counts, warc
 from reelmart.scratch import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,33 @@ def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def counted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"),
+    )
+
+
+def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_warc": archived_pages,
         "op3_mixing": mixed_documents,
+        "op4_token_counts": counted_tokens,
+        "op5_decontamination": contaminated_documents,
+        "op10_near_duplicates": near_duplicate_documents,
     }
