@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmart.llm import decontamination, mixing, near_duplicates, token_counts, warc
+from reelmart.llm import decontamination, html_text, mixing, near_duplicates, token_counts, warc
 from reelmart.scratch import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -68,5 +72,6 @@ def llm_queries() -> dict[str, Query]:
         "op3_mixing": mixed_documents,
         "op4_token_counts": counted_tokens,
         "op5_decontamination": contaminated_documents,
+        "op9_html_text": extracted_pages,
         "op10_near_duplicates": near_duplicate_documents,
     }
