@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmart.llm import decontamination, html_text, mixing, near_duplicates, token_counts, warc
+from reelmart.llm import decontamination, html_text, language_id, mixing, near_duplicates, secret_scan, token_counts, warc
 from reelmart.scratch import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,30 @@ def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def found_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("findings", lambda f: f["kind"] != "model")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("findings")).alias("spans"),
+    )
+
+
+def predicted_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    is_held_out = F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False))
+    found = language_id.predict_languages(docs, docs.where(~is_held_out))
+    return found.select("doc_id", is_held_out.alias("held_out"), "lang_pred", "score")
+
+
 def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
 
@@ -72,6 +96,8 @@ def llm_queries() -> dict[str, Query]:
         "op3_mixing": mixed_documents,
         "op4_token_counts": counted_tokens,
         "op5_decontamination": contaminated_documents,
+        "op7_secret_scan": found_secrets,
+        "op8_language_id": predicted_languages,
         "op9_html_text": extracted_pages,
         "op10_near_duplicates": near_duplicate_documents,
     }
