@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmart.llm import decontamination, html_text, language_id, mixing, near_duplicates, secret_scan, token_counts, warc
+from reelmart.llm import decontamination, html_text, language_id, mixing, near_duplicates, secret_scan, substring_dedup, token_counts, warc
 from reelmart.scratch import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,13 @@ def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("runs").cast("bigint").alias("n_spans"), "kept_sha256"
+    )
+
+
 def found_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -96,6 +103,7 @@ def llm_queries() -> dict[str, Query]:
         "op3_mixing": mixed_documents,
         "op4_token_counts": counted_tokens,
         "op5_decontamination": contaminated_documents,
+        "op6_substring_dedup": repeated_bytes,
         "op7_secret_scan": found_secrets,
         "op8_language_id": predicted_languages,
         "op9_html_text": extracted_pages,
