@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmart.llm import decontamination, html_text, language_id, mixing, near_duplicates, secret_scan, substring_dedup, token_counts, warc
+from reelmart.llm import (
+    decontamination,
+    html_text,
+    language_id,
+    mixing,
+    near_duplicates,
+    neighbours,
+    secret_scan,
+    substring_dedup,
+    token_counts,
+    warc,
+)
 from reelmart.scratch import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +44,11 @@ def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), wanted=5)
+
+
 def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     weights = mixing.cyclic_weights(docs, MIX_WEIGHTS)
@@ -100,6 +116,7 @@ def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_warc": archived_pages,
+        "op2_neighbours": nearest_vectors,
         "op3_mixing": mixed_documents,
         "op4_token_counts": counted_tokens,
         "op5_decontamination": contaminated_documents,
