@@ -37,6 +37,7 @@ TEXTS_PER_LANGUAGE = 400
 LONGEST_TEXT = 20_000
 LEARNED_CHARACTERS = 160_000
 MOST_CHARACTERS = 40_000
+MOST_BREAKS = 0.5
 LANE = 256
 # Letters that are parsed side by side.
 TOGETHER = 1 << 21
@@ -166,9 +167,10 @@ class LanguageModel:
         return total, length
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """``(language, score, phrases per letter)`` of each text.
+        """``(language, score, break rate)`` of each text.
 
-        The score is the share of phrases that the winner saves against the next language.
+        The score is the share of phrases that the winner saves against the next language, the break
+        rate the share of letters at which its phrases break off.
         """
         readable = [i for i, t in enumerate(texts) if t and _has_letter(t)]
         found = [(UNDETERMINED, 0.0, 1.0)] * len(texts)
@@ -180,7 +182,8 @@ class LanguageModel:
             best = phrases[place, order[place, 0]]
             second = phrases[place, order[place, 1]] if len(self.languages) > 1 else length[place] + 1
             score = max(0.0, min(1.0, 1 - best / second))
-            found[i] = (self.languages[order[place, 0]], float(score), float(best / length[place]))
+            breaks = (best - -(-length[place] // LANE)) / length[place]
+            found[i] = (self.languages[order[place, 0]], float(score), float(breaks))
         return found
 
 
@@ -244,15 +247,15 @@ def learned_texts(labelled: DataFrame) -> dict[str, list[str]]:
 
 
 def predict_languages(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Per document: doc_id, lang_pred, score and phrase_rate (phrases per letter).
+    """Per document: doc_id, lang_pred, score and break_rate.
 
     Learns from ``labelled`` (doc_id, text, lang); predicts from the text of ``docs`` alone.
     """
     ship_package(docs.sparkSession)
-    learned = learned_texts(labelled)
+    learned = tuple((language, tuple(texts)) for language, texts in learned_texts(labelled).items())
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(tuple((k, tuple(v)) for k, v in learned.items()))
+        model = _model(learned)
         for batch in batches:
             found = model.predict(batch.column(1).to_pylist())
             languages, scores, rates = zip(*found) if found else ((), (), ())
@@ -263,10 +266,31 @@ def predict_languages(docs: DataFrame, labelled: DataFrame) -> DataFrame:
                     pa.array(scores, pa.float64()),
                     pa.array(rates, pa.float64()),
                 ],
-                names=["doc_id", "lang_pred", "score", "phrase_rate"],
+                names=["doc_id", "lang_pred", "score", "break_rate"],
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        predict, f"doc_id {id_type}, lang_pred string, score double, phrase_rate double"
+        predict, f"doc_id {id_type}, lang_pred string, score double, break_rate double"
     )
+
+
+def keep_identified(docs: DataFrame, labelled: DataFrame, most_breaks: float = MOST_BREAKS) -> DataFrame:
+    """``docs`` without texts that are undetermined or in none of the learned languages.
+
+    A text is in none of them if phrases of the best one break off at more than ``most_breaks`` of its
+    letters. All columns and all other rows are kept as they are, in one pass.
+    """
+    ship_package(docs.sparkSession)
+    learned = tuple((language, tuple(texts)) for language, texts in learned_texts(labelled).items())
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(learned)
+        for batch in batches:
+            found = model.predict(batch.column(at).to_pylist())
+            yield batch.filter(
+                pa.array([x != UNDETERMINED and rate <= most_breaks for x, _, rate in found], pa.bool_())
+            )
+
+    return docs.mapInArrow(keep, schema)
