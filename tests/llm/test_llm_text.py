@@ -1,0 +1,169 @@
+"""Token counts, HTML extraction, language identification."""
+
+import random
+
+import pytest
+from llm_frames import documents, edge_rows, same_rows, with_clashes, words
+from pyspark.sql import functions as F
+
+from reelmart.llm import html_text, language_id, token_counts
+
+# Token counts ------------------------------------------------------------------------------------
+
+AWKWARD = [
+    "", " ", "\n\n  \n", "a", "don't we'll I'VE", "aaaaaaaaaaaaaaaa", "x" * 3_000, "ab" * 900, "  lead", "trail  ",
+    "12345678901234567890", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext", "é ü ß 中文字 😀👍🏽",
+    "  x​", "\x00\x01\x7f", "!!!???...", "\t\ttabs\r\n", "ﬀ Ⅷ ² ½", "नमस्ते दुनिया", "áè",
+]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    tokenizers = pytest.importorskip("tokenizers")
+    return tokenizers.Tokenizer.from_file(token_counts.vocabulary_file("byte_bpe_50k.json"))
+
+
+def _expected(tokenizer, texts):
+    return [len(x.ids) for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_counts_of_awkward_texts(tokenizer):
+    draw = random.Random(3)
+    letters = "ab é\n\t 0.'-<|endoftext|>ß中😀ABC  "
+    texts = AWKWARD + ["".join(draw.choice(letters) for _ in range(draw.randint(1, 300))) for _ in range(150)]
+    counter = token_counts.TokenCounter(token_counts.vocabulary_file("byte_bpe_50k.json"))
+    assert counter.count(texts) == _expected(tokenizer, texts)
+
+
+def test_small_memory_gives_the_same_counts(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 20)
+    monkeypatch.setattr(token_counts, "TOKENS_TOGETHER", 7)
+    counter = token_counts.TokenCounter(token_counts.vocabulary_file("byte_bpe_50k.json"))
+    texts = AWKWARD + [words(random.Random(4), 200)]
+    assert counter.count(texts) == _expected(tokenizer, texts)
+
+
+def test_token_counts_of_edge_rows(spark, tokenizer):
+    rows = edge_rows()
+    expected = [
+        (r[0], len((r[1] or "").encode()), n, n > 512)
+        for r, n in zip(rows, _expected(tokenizer, [r[1] for r in rows]))
+    ]
+    same_rows(token_counts.token_counts(with_clashes(documents(spark))).collect(), expected)
+    assert token_counts.token_counts(documents(spark, [])).collect() == []
+
+
+# HTML --------------------------------------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head>
+<body><header><a href=/>Home</a></header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>
+<div class="cookie-notice">We use cookies, all of them, always.</div>
+<div id=wrap class="page has-sidebar">{article}
+<div class="sidebar"><p>Other news, of today, and of yesterday, for all readers.</p></div>
+<section id="comments"><p>First, I think, this is great, really, very great, thanks.</p></section></div>
+<form><label>Name</label><input></form><footer>&copy; all rights</footer></body></html>"""
+ARTICLE = """<h1>Title &amp; more</h1><p>One, two,
+   three &eacute; four.</p><p>Five <b>six</b>, <a href=x>seven</a>, eight<br>nine.<ul><li>ten, ten<li>eleven</ul>
+<table><tr><td>a, b<td>c</table><!-- no --><div class="ad">buy</div><p>Last, but &lt;not&gt; least.</p>"""
+LINES = [
+    "Title & more", "One, two, three é four.", "Five six, seven, eight nine.", "ten, ten", "eleven", "a, b", "c",
+    "Last, but <not> least.",
+]
+
+
+@pytest.mark.parametrize("outer", ["article", "main", 'div class="content"', "div"])
+def test_article_is_found(outer):
+    tag = outer.split()[0]
+    page = PAGE.format(article=f"<{outer}>{ARTICLE}</{tag}>")
+    assert html_text.main_text(page).split("\n") == LINES
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a\nb"), ("<", "<"),
+        ("</p></div>x", "x"), ("<script>var x", ""), ("<!-- never ends", ""), ("<p>a<!-- b --> c</p>", "a c"),
+        ("<nav>only menu</nav>", ""), ("<p title='a>b'>x</p>", "x"), ("<p>  \n </p>", ""),
+        ("<article>" * 500 + "deep", "deep"),
+    ],
+)
+def test_odd_markup(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_long_page():
+    body = "".join(f"<p>Paragraph {i}, with a comma.</p>" for i in range(20_000))
+    found = html_text.main_text(f"<body><nav>menu</nav><article>{body}</article></body>")
+    assert found.count("\n") == 19_999
+
+
+def test_pages_table(spark):
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None), (2, None, "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
+    found = html_text.extract_text(pages).collect()
+    same_rows(found, [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0), (2, None, "", 0)])
+    assert html_text.extract_text(pages.limit(0)).collect() == []
+
+
+# Languages ---------------------------------------------------------------------------------------
+
+
+def _brute_phrases(text, learned):
+    """Phrases of the longest matches of ``text`` in ``learned``, lane by lane."""
+    total = 0
+    for start in range(0, len(text), language_id.LANE):
+        lane = text[start : start + language_id.LANE]
+        at = 0
+        total += 1
+        phrase = ""
+        while at < len(lane):
+            if phrase + lane[at] in learned:
+                phrase += lane[at]
+            else:
+                total += 1
+                phrase = lane[at] if lane[at] in learned else ""
+            at += 1
+    return total
+
+
+def test_phrases_equal_longest_matches():
+    draw = random.Random(5)
+    learned = {"aa": [words(draw, 60, "abcd")], "bb": [words(draw, 60, "cdef"), words(draw, 5, "xyz")]}
+    model = language_id.LanguageModel(learned)
+    texts = [words(draw, draw.randint(1, 400), draw.choice(["abcd", "cdefx", "abcdefq"])) for _ in range(30)]
+    phrases, length = model.measure(texts)
+    for row, text, n in zip(phrases, texts, length):
+        assert n == len(text)
+        for k, language in enumerate(model.languages):
+            assert row[k] == _brute_phrases(text, " ".join(learned[language]) + " ")
+
+
+def test_edge_rows(spark):
+    docs = with_clashes(documents(spark))
+    rows = language_id.predict_languages(docs, docs).collect()
+    assert len(rows) == len(edge_rows())
+    by_id = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert {by_id[i].lang_pred for i in (5, 6, 7, 8, 14)} == {"und"}
+    assert {by_id[i].lang_pred for i in (1, 2, 3, 4, 9, 15, 16, 18)} == {"aa"}
+    assert {by_id[i].lang_pred for i in (10, 11)} == {"bb"}
+    assert all(0 <= r.score <= 1 for r in rows)
+    kept = language_id.keep_identified(docs, docs)
+    assert kept.columns == docs.columns
+    assert not {5, 6, 7, 8, 14} & {r.doc_id for r in kept.collect()}
+    assert kept.count() == len(edge_rows()) - 6
+
+
+def test_nothing_to_learn_from(spark):
+    docs = documents(spark)
+    for labelled in (documents(spark, []), docs.withColumn("lang", F.lit(None).cast("string"))):
+        assert {r.lang_pred for r in language_id.predict_languages(docs, labelled).collect()} == {"und"}
+    assert language_id.predict_languages(documents(spark, []), docs).collect() == []
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = language_id.held_out(F.col("doc_id"))
+    found = language_id.predict_languages(docs.where(held), docs.where(~held)).toPandas()
+    truth = docs.select("doc_id", "lang").toPandas()
+    both = found.merge(truth, on="doc_id")
+    assert len(both) > 300 and (both.lang == both.lang_pred).mean() > 0.98
