@@ -210,17 +210,22 @@ def learned_texts(labelled: DataFrame) -> dict[str, list[str]]:
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
         F.col("lang"), F.col("doc_id"), F.length("text").alias("size"), "text"
     ).where(F.col("size").between(1, LONGEST_TEXT))
-    languages = [
-        row[0]
-        for row in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    ]
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    counts = {row[0]: row[1] for row in counts.collect()}
+    languages = list(counts)
     if not languages:
         return {}
+    # A first draw of some more texts than are wanted, so that none of the steps below grows with the
+    # number of texts of a language.
+    shares = F.create_map(
+        *(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * TEXTS_PER_LANGUAGE / n)))
+    )
+    first_draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30)
     drawn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
     so_far = drawn.rowsBetween(Window.unboundedPreceding, -1)
     share = min(MOST_CHARACTERS, LEARNED_CHARACTERS // len(languages))
     chosen = (
-        usable.where(F.col("lang").isin(languages))
+        usable.where(F.col("lang").isin(languages) & first_draw)
         .select("lang", "doc_id", "size")
         .withColumn("place", F.row_number().over(drawn))
         .where(F.col("place") <= TEXTS_PER_LANGUAGE)
