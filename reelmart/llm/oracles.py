@@ -41,5 +41,81 @@ FROM placed
 """
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Base32: five hexadecimal digits make four of its letters.
+OP1 = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS digest
+  FROM pages),
+parts AS (
+  SELECT DISTINCT digest, g, ('0x' || digest[g * 5 + 1 : g * 5 + 5])::INT AS bits
+  FROM hashed, range(8) AS t(g)),
+letters AS (
+  SELECT digest, string_agg(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(bits >> 15) + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((bits >> 10) & 31) + 1]
+    || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((bits >> 5) & 31) + 1] || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(bits & 31) + 1],
+    '' ORDER BY g) AS payload_digest
+  FROM parts GROUP BY digest),
+firsts AS (SELECT digest, min(page_id) AS first_page FROM hashed GROUP BY digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_page THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_page THEN first_page END AS refers_to
+FROM hashed JOIN letters USING (digest) JOIN firsts USING (digest)
+"""
+
+_BENCHMARK_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP5 = f"""
+WITH items AS (
+  SELECT item_id::VARCHAR AS item, {_BENCHMARK_WORDS} AS w FROM benchmark WHERE len({_BENCHMARK_WORDS}) > 0),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS part
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items)),
+docs AS (SELECT doc_id, coalesce({_BENCHMARK_WORDS}, []) AS w FROM documents),
+hits AS (
+  SELECT doc_id, item, i, d.n
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM docs, (SELECT DISTINCT n FROM windows)) d
+  JOIN windows ON windows.n = d.n AND part = array_to_string(w[i : i + d.n - 1], ' ')),
+covered AS (
+  SELECT doc_id, count(DISTINCT place)::BIGINT AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(DISTINCT item)::BIGINT AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS listed
+  FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+OP10 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS part
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+    FROM shingles x JOIN shingles y ON x.part = y.part AND x.doc_id < y.doc_id GROUP BY 1, 2)
+  JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+  WHERE 100 * common >= 75 * (s.n + t.n - common)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT reached.doc_id, b FROM reached JOIN steps ON a = other)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op3_mixing": OP3}
+    return {
+        "op1_warc": OP1,
+        "op3_mixing": OP3,
+        "op5_decontamination": OP5,
+        "op10_near_duplicates": OP10,
+    }
