@@ -24,11 +24,23 @@ _SCHEMA = (
     f"{RECORD} array<struct<{', '.join(f'{name}: array<string>' for name in FIELDS)}>>, {_BAD} string"
 )
 
-# Name of the first element, past declaration, comments and doctype.
-_FIRST_ELEMENT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([^\s/>!?]+)"
+# What may stand between the parts of a document without being one: its text is not looked at.
+_REMARK = r"<!--.*?-->|<\?.*?\?>"
+_DOCTYPE = r"""<!DOCTYPE(?:[^>\["']|"[^"]*"|'[^']*')*(?:\[(?:"[^"]*"|'[^']*'|<!--.*?-->|[^\]"'])*\]\s*)?>"""
 
-# The closing root tag with something after it that may not be there.
-_AFTER_ROOT = rf"</{ROOT}\s*>\s*(?!\s|<!--|<\?|$)"
+# Name of the first element, past declaration, remarks and doctype.
+_FIRST_ELEMENT = rf"(?s)^\s*(?:(?:{_REMARK}|{_DOCTYPE})\s*)*<([^\s/>!?]+)"
+
+# The closing root tag with something after it, once remarks and CDATA sections are taken out.
+_AFTER_ROOT = rf"</{ROOT}\s*>\s*\S"
+_AFTER_EMPTY_ROOT = r"""^\s*<[^\s/>]+(?:\s(?:[^>"'/]|"[^"]*"|'[^']*')*)?/>\s*\S"""
+
+# An entity that XML does not know by itself.
+_ENTITY = r"&(?!(?:lt|gt|amp|apos|quot);)([A-Za-z_:][\w:.-]*);"
+
+# A tag whose name differs from one of the fixed names in case only.
+_NAMES = "|".join((ROOT, RECORD, *FIELDS))
+_OTHER_CASE = rf"<(?!/?(?:{_NAMES})[\s/>])/?(?i:{_NAMES})[\s/>]"
 
 
 def document_of(log: Column) -> Column:
@@ -54,10 +66,54 @@ def has_review_root(document: Column) -> Column:
     return F.regexp_extract(document, _FIRST_ELEMENT, 1) == ROOT
 
 
+def _body(document: Column) -> Column:
+    return F.when(
+        document.contains("<!DOCTYPE"), F.regexp_replace(document, rf"(?s){_DOCTYPE}", "")
+    ).otherwise(document)
+
+
+def _names_entity(document: Column) -> Column:
+    """Whether the document has a doctype and names an entity that is not built in."""
+    return document.contains("<!DOCTYPE") & _body(document).rlike(_ENTITY)
+
+
+def plain_document(document: Column) -> Column:
+    """The document without its doctype, of which Spark's XML parser knows nothing.
+
+    Entities that the doctype declares become a letter. A document that names an entity it does not
+    declare itself is cut off, so that it counts as malformed: nothing outside it is ever loaded.
+    """
+    declared = F.regexp_extract_all(document, F.lit(r"<!ENTITY\s+([A-Za-z_:][\w:.-]*)\s"), F.lit(1))
+    named = F.regexp_extract_all(_body(document), F.lit(_ENTITY), F.lit(1))
+    external = document.rlike(r"(?s)<!DOCTYPE\s+\S+\s+(?:SYSTEM|PUBLIC)\s")
+    resolved = (F.size(F.array_except(named, declared)) == 0) & ~external
+    replaced = F.regexp_replace(_body(document), _ENTITY, "x")
+    return F.when(
+        _names_entity(document), F.when(resolved, replaced).otherwise("<cut")
+    ).otherwise(_body(document))
+
+
+def needs_xpath(document: Column) -> Column:
+    """Whether only the slow route reads the document as XPath does.
+
+    The XML parser ignores the case of names and declares no entities; both are rare.
+    """
+    return document.rlike(_OTHER_CASE) | _names_entity(document)
+
+
 def is_malformed(document: Column, parsed: Column) -> Column:
     """True for a document that cannot be read as XML, NULL without a document."""
     # The parser stops at the end of the root element, so what follows is looked at here.
-    return parsed[_BAD].isNotNull() | document.rlike(_AFTER_ROOT)
+    marked = document.contains("<!") | document.contains("<?")
+    told = F.regexp_replace(document, rf"(?s){_REMARK}|<!\[CDATA\[.*?\]\]>|{_DOCTYPE}", "")
+    told = F.when(marked, told).otherwise(document)
+    return parsed[_BAD].isNotNull() | told.rlike(_AFTER_ROOT) | told.rlike(_AFTER_EMPTY_ROOT)
+
+
+def text_by_xpath(document: Column, name: str) -> Column:
+    """The text of an element by the slow route; the document must be sound."""
+    source = F.when(_names_entity(document), document).otherwise(_body(document))
+    return F.xpath_string(source, F.lit(f"/{ROOT}/{RECORD}/{name}"))
 
 
 def first_text(parsed: Column, name: str) -> Column:
@@ -76,5 +132,4 @@ def without_markup(text: Column, document: Column, name: str) -> Column:
     Only a text with an angle bracket can differ, by markup inside the element: such a rare one is
     read again by the much slower ``xpath_string``.
     """
-    path = F.lit(f"/{ROOT}/{RECORD}/{name}")
-    return F.when(text.contains("<"), F.xpath_string(document, path)).otherwise(text)
+    return F.when(text.contains("<"), text_by_xpath(document, name)).otherwise(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reelmart.functions import review_xml as xml
@@ -13,14 +13,25 @@ _BLANKS = "".join(map(chr, range(0x21)))
 
 
 def parse_review_logs(
-    raw: DataFrame, date_format: str = "yyyy-MM-dd", fail_on_malformed: bool = False
+    raw: DataFrame,
+    date_format: str = "yyyy-MM-dd",
+    fail_on_malformed: bool = False,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """``(id_review, log)`` to the seven columns of ``log_reviews_transformed``.
 
     Each document is parsed once, in the scan's own stage. Fields are NULL without a document and for
     a malformed one, which fails the job with ``fail_on_malformed``; an element that a sound
     document lacks is an empty string. A date that does not follow ``date_format`` becomes NULL.
+    ``observation`` counts what was rejected while the rows are computed, see ``log_quality``.
     """
+    rows = _parsed_rows(raw, date_format, fail_on_malformed)
+    if observation:
+        rows = rows.observe(observation, *_quality())
+    return rows.drop("_malformed", "_written_date")
+
+
+def _parsed_rows(raw: DataFrame, date_format: str, fail_on_malformed: bool) -> DataFrame:
     document = F.col("_document")
     parsed = F.col("_parsed")
     malformed = xml.is_malformed(document, parsed)
@@ -28,15 +39,14 @@ def parse_review_logs(
         failure = F.raise_error(F.concat(F.lit("malformed document: "), document))
         malformed = F.when(malformed, failure.cast("boolean")).otherwise(malformed)
     texts = (
-        raw.select(
-            F.col("id_review").alias("log_id"), xml.document_of(F.col("log")).alias("_document")
-        )
-        .withColumn("_parsed", xml.parsed_log(document, fail_on_malformed))
+        raw.select("id_review", xml.document_of(F.col("log")).alias("_document"))
+        .withColumn("_parsed", xml.parsed_log(xml.plain_document(document), fail_on_malformed))
         .select(
-            "log_id",
+            F.col("id_review").alias("log_id"),
             "_document",
             malformed.alias("_malformed"),
             xml.has_review_root(document).alias("_rooted"),
+            xml.needs_xpath(document).alias("_by_xpath"),
             *(xml.first_text(parsed, name).alias(column) for name, column in xml.FIELDS.items()),
         )
     )
@@ -44,21 +54,42 @@ def parse_review_logs(
         column: F.when(
             ~F.col("_malformed"),
             F.coalesce(
-                F.when(F.col("_rooted"), xml.without_markup(F.col(column), document, name)),
+                F.when(F.col("_by_xpath"), xml.text_by_xpath(document, name)).when(
+                    F.col("_rooted"), xml.without_markup(F.col(column), document, name)
+                ),
                 F.lit(""),
             ),
         )
         for name, column in xml.FIELDS.items()
     }
-    fields["log_date"] = F.try_to_date(F.trim(fields["log_date"], F.lit(_BLANKS)), date_format)
-    return texts.select("log_id", *(value.alias(column) for column, value in fields.items()))
+    written_date = F.trim(fields["log_date"], F.lit(_BLANKS))
+    fields["log_date"] = F.try_to_date(written_date, date_format)
+    return texts.select(
+        "log_id",
+        *(value.alias(column) for column, value in fields.items()),
+        F.col("_malformed"),
+        written_date.alias("_written_date"),
+    )
+
+
+def _quality() -> list[Column]:
+    unreadable = F.col("log_date").isNull() & (F.col("_written_date") != "")
+    return [
+        F.count("*").alias("total_logs"),
+        F.count_if("_malformed").alias("malformed_logs"),
+        F.count_if(unreadable).alias("unreadable_dates"),
+        F.count_if(F.col("log_id").isNull()).alias("logs_without_id"),
+    ]
+
+
+def log_quality(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """One row: all logs, malformed ones, dates that do not follow the format, logs without an id."""
+    return _parsed_rows(raw, date_format, False).agg(*_quality())
 
 
 def malformed_logs(raw: DataFrame) -> DataFrame:
     """One row: how many logs there are and how many of them are not readable as XML."""
-    document = xml.document_of(F.col("log"))
-    flag = xml.is_malformed(document, xml.parsed_log(document))
-    return raw.agg(F.count("*").alias("total_logs"), F.count_if(flag).alias("malformed_logs"))
+    return log_quality(raw).select("total_logs", "malformed_logs")
 
 
 def trimmed(df: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from reelmart.functions.review_xml import FIELDS
-from reelmart.operators.logs import malformed_logs, parse_review_logs, trimmed
+from reelmart.operators.logs import log_quality, malformed_logs, parse_review_logs, trimmed
 
 FULL = (
     "<reviewlog><log><logDate>2021-04-25</logDate><device>Mobile</device><os>Linux</os>"
@@ -30,11 +31,32 @@ SOUND = [
     "<reviewlog><wrap><log><device>A</device></log></wrap></reviewlog>",
     "<other><log><device>A</device></log></other>",
     "<reviewlogs><log><device>A</device></log></reviewlogs>",
+    "<reviewlog><log><Device>Q</Device><device>B</device></log></reviewlog>",
+    "<reviewlog><log><Device>Q</Device></log></reviewlog>",
+    "<reviewlog><LOG><device>Q</device></LOG><log><OS>x</OS><device>R</device></log></reviewlog>",
+    "<ReviewLog><log><device>A</device></log></ReviewLog>",
+    '<!DOCTYPE reviewlog [<!ENTITY e "v">]><reviewlog><log><device>A</device></log></reviewlog>',
+    '<!DOCTYPE reviewlog [<!ENTITY e "v">]><reviewlog><log><device>a&e;b &amp; c</device></log></reviewlog>',
+    '<!DOCTYPE reviewlog [<!ENTITY e "]>"><!-- ] -->]>\n<reviewlog><log><device>&e;</device></log></reviewlog>',
+    "<!DOCTYPE reviewlog><reviewlog><log><device>A</device></log></reviewlog>",
+    "<reviewlog><log><device><![CDATA[</reviewlog>x]]></device></log></reviewlog>",
+    "<reviewlog><log><device>A</device><!-- </reviewlog>x --></log></reviewlog><!-- </reviewlog> -->",
+    "<reviewlog><log><device>&#65;&lt;</device></log></reviewlog>",
     "",
     None,
 ]
 
 MALFORMED = [FULL + "<x>", FULL + FULL, FULL + " end", "<reviewlog><log>", "no markup", "   ", "<reviewlog><log><device>A</log></reviewlog>"]
+MALFORMED += [
+    FULL + "<!-- a --> junk",
+    FULL + "<!-- a --><?b?>" + FULL,
+    "<reviewlog/> junk",
+    "<reviewlog><log><device>&e;</device></log></reviewlog>",
+    "<!DOCTYPE reviewlog><reviewlog><log><device>&e;</device></log></reviewlog>",
+    '<!DOCTYPE reviewlog [<!ENTITY e "v">]><reviewlog><log><device>&e;</log></reviewlog>',
+    '<!DOCTYPE reviewlog SYSTEM "file:///nowhere.dtd"><reviewlog><log><device>&e;</device></log></reviewlog>',
+    "<reviewlog><log><Device>A</device></log></reviewlog>",
+]
 
 
 def _raw(spark, documents):
@@ -78,6 +100,16 @@ def test_date_format_is_a_parameter_and_bad_dates_are_null(spark):
     assert dates == {0: dt.date(2021, 4, 25), 1: None, 2: None, 3: None}
 
 
+def test_rejects_are_counted_while_rows_are_written(spark):
+    raw = _raw(spark, [*MALFORMED, *SOUND, FULL.replace("2021-04-25", "25.4.2021")])
+    raw = raw.union(spark.createDataFrame([(None, FULL)], raw.schema))
+    expected = (len(MALFORMED) + len(SOUND) + 2, len(MALFORMED), 1, 1)
+    assert tuple(log_quality(raw).first()) == expected
+    observation = Observation()
+    parse_review_logs(raw, observation=observation).collect()
+    assert tuple(observation.get.values()) == expected
+
+
 def test_trimmed_cuts_text_columns_only(spark):
     df = spark.createDataFrame([(1, "  a b ")], "id long, t string")
     assert trimmed(df).collect() == [(1, "a b")]
