@@ -2,19 +2,20 @@
 
 Fields may hold quotes (doubled), commas and line breaks. Spark's own reader handles line breaks by
 giving a file to one task. That is right for many files of a moderate size; a larger file is cut into
-records by ``quoted_records``, which spreads one file over many tasks. Where no field holds a line
-break, ``multiline=False`` lets Spark's reader split every file. Either way the jobs read the CSV
-once and go on from parquet.
+records by ``quoted_records``, which spreads one file over many tasks by the same rules. Where no
+field holds a line break, ``multiline=False`` lets Spark's reader split every file.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reelmart import schemas
-from reelmart.sources.csv_records import largest_file_bytes, quoted_records
+from reelmart.sources.csv_records import by_line_break, quoted_records
 
 # An unquoted empty field is NULL, a quoted one ("") an empty string: the NULL marker
 # must be something that no text holds.
@@ -41,11 +42,20 @@ def read_csv(
         "nullValue": _NO_TEXT,
         "mode": "FAILFAST" if fail_on_bad_rows else "PERMISSIVE",
     }
-    if multiline and largest_file_bytes(spark, path) > file_bytes_per_task:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        row = F.from_csv("value", fields, options)
-        return quoted_records(spark, path).select(row.alias("row")).select("row.*")
-    return spark.read.schema(schema).option("header", True).options(**options).csv(path)
+    plain = spark.read.schema(schema).option("header", True).options(**options)
+    if not multiline:
+        return plain.csv(path)
+    found = by_line_break(spark, path, file_bytes_per_task)
+    if not (found.line_feed or found.return_and_feed):
+        return plain.csv(path)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    row = F.from_csv("value", fields, options)
+    parts = [plain.csv(found.others)] if found.others else []
+    for files, cut_returns in ((found.line_feed, False), (found.return_and_feed, True)):
+        if files:
+            records = quoted_records(spark, files, cut_returns)
+            parts.append(records.select(row.alias("row")).select("row.*"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def read_log_reviews(spark: SparkSession, path: str | list[str], **options) -> DataFrame:

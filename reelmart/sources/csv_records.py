@@ -1,99 +1,297 @@
 """Records of large CSV files whose quoted fields may hold line breaks.
 
-A line starts a record when an even number of quotes comes before it in its file. Every file split
-counts its own quotes, the sums of the splits before it tell whether it begins inside a field, and
-only the lines of records that do span lines are brought together.
+A quote opens a field only where it is the field's first character; elsewhere it is text, as Spark's
+own reader has it. So whether a line starts a record depends on whether the line before it ended
+within a quoted field. Every file split is read in order, twice: the first pass finds what the split
+makes of either state, one row per split; the second one, with the state known, yields the records.
+Only the pieces of records that cross the border of a split are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelmart.scratch import written
+from reelmart.shipping import ship_package
+
+# States of all splits are sent to every executor, up to this many bytes.
+_BROADCAST_BYTES = 64 * 1024 * 1024
+_ROW_BYTES = 64
+
+# Suffixes by which Hadoop's codecs know compressed files, which cannot be split.
+_COMPRESSED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".xz")
+
+# Bytes of a file that are looked at for its first line break, as Spark's reader does.
+_LOOK_AHEAD = 1024 * 1024
+
+_BATCH_BYTES = 4 * 1024 * 1024
+
+
+class LargeFiles(NamedTuple):
+    """Files to be cut into records, by the line break that each of them uses."""
+
+    line_feed: list[str]
+    return_and_feed: list[str]
+    others: list[str]
+
+
+def by_line_break(
+    spark: SparkSession, path: str | list[str], file_bytes_per_task: int
+) -> LargeFiles:
+    """The files below ``path``: large ones by their line break, all others to be read whole.
+
+    Compressed files cannot be split, and files whose lines end in a lone carriage return have no
+    line feeds to split at; both are among the others.
+    """
+    listing = spark.read.format("binaryFile").load(path).select("path", "length")
+    files = listing.collect()  # one short row per file, as Spark's own listing
+    found = LargeFiles([], [], [])
+    for name, length in sorted(map(tuple, files)):
+        if length <= file_bytes_per_task or name.endswith(_COMPRESSED):
+            found.others.append(name)
+            continue
+        ending = _first_break(spark, name)
+        kinds = {"\n": found.line_feed, "\r\n": found.return_and_feed}
+        kinds.get(ending, found.others).append(name)
+    return found
+
 
-# Splits whose state is sent to every executor (at about a hundred bytes each).
-_BROADCAST_SPLITS = 1_000_000
+def _first_break(spark: SparkSession, file: str) -> str:
+    """The first line break of a file; empty if there is none in the bytes looked at."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        start = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(
+            jvm.org.apache.commons.io.input.BoundedInputStream(stream, _LOOK_AHEAD)
+        ))
+    finally:
+        stream.close()
+    feed, turn = start.find(b"\n"), start.find(b"\r")
+    if turn < 0 or 0 <= feed < turn:
+        return "\n" if feed >= 0 else ""
+    return "\r\n" if feed == turn + 1 else "\r"
 
 
-def largest_file_bytes(spark: SparkSession, path: str | list[str]) -> int:
-    """Size of the largest file below ``path``, from the file listing alone."""
-    listing = spark.read.format("binaryFile").load(path)
-    return listing.agg(F.max("length")).first()[0] or 0
+def _after_quoted(line: bytes, at: int) -> int:
+    """The place after the quote that closes the field open at ``at``; -1 if none does."""
+    while True:
+        at = line.find(b'"', at)
+        if at < 0:
+            return -1
+        if line[at + 1 : at + 2] != b'"':
+            return at + 1
+        at += 2
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines with their place and, relative to the start of their split, the quotes before them."""
-    text = spark.read.option("lineSep", "\n").text(path)
-    lines = text.select(
+def ends_inside(line: bytes, inside: bool) -> bool:
+    """Whether a quoted field is open at the end of ``line``, given whether one was before it."""
+    if b'"' not in line:
+        return inside
+    at = 0
+    if inside:
+        at = _after_quoted(line, 0)
+        if at < 0:
+            return True
+    elif line[:1] == b'"':
+        at = _after_quoted(line, 1)
+        if at < 0:
+            return True
+    while True:
+        # The next field that begins with a quote.
+        at = line.find(b',"', at)
+        if at < 0:
+            return False
+        at = _after_quoted(line, at + 2)
+        if at < 0:
+            return True
+
+
+def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, int | None, bytes]]:
+    """``(file, split, state, line)`` in file order."""
+    for batch in batches:
+        files, splits = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        states = batch.column(2).to_pylist()
+        yield from zip(files, splits, states, batch.column(3).to_pylist())
+
+
+def _outcomes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per split the state at its end, begun outside and begun inside a quoted field."""
+    current, outside, inside = None, False, True
+    rows = []
+    for file, split, _, line in _lines(batches):
+        if (file, split) != current:
+            if current:
+                rows.append((*current, int(outside), int(inside)))
+            current, outside, inside = (file, split), False, True
+        outside, inside = ends_inside(line, outside), ends_inside(line, inside)
+    if current:
+        rows.append((*current, int(outside), int(inside)))
+    if rows:
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), types)],
+            names=["file", "split", "from_outside", "from_inside"],
+        )
+
+
+# What a row of the second pass is: a whole record, the beginning of one that goes on in the next
+# split, its further pieces, and the piece that ends it.
+_WHOLE, _HEAD, _MIDDLE, _TAIL = range(4)
+
+_PIECES = "file string, split bigint, kind int, is_header boolean, value string"
+
+
+def _pieces(batches: Iterable[pa.RecordBatch], cut_returns: bool) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    held = 0
+    current: tuple[str, int] | None = None
+    parts: list[bytes] = []
+    within = begun_here = seek_header = False
+
+    def as_batch() -> pa.RecordBatch:
+        nonlocal held
+        types = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), types)],
+            names=["file", "split", "kind", "is_header", "value"],
+        )
+        rows.clear()
+        held = 0
+        return batch
+
+    def add(kind: int) -> None:
+        nonlocal held, seek_header
+        value = b"\n".join(parts)
+        parts.clear()
+        # Records without a character are no records; a header is the first one that is.
+        if kind == _WHOLE and not value:
+            return
+        rows.append((*current, kind, seek_header, value))
+        held += len(value)
+        seek_header = False
+
+    for file, split, state, line in _lines(batches):
+        if (file, split) != current:
+            if parts:
+                add(_HEAD if begun_here else _MIDDLE)
+            current, within = (file, split), bool(state)
+            begun_here, seek_header = not within, split == 0
+        if cut_returns and line.endswith(b"\r"):
+            line = line[:-1]
+        parts.append(line)
+        within = ends_inside(line, within)
+        if not within:
+            add(_WHOLE if begun_here else _TAIL)
+            begun_here = True
+        if held >= _BATCH_BYTES:
+            yield as_batch()
+    if parts:
+        add(_HEAD if begun_here else _MIDDLE)
+    if rows:
+        yield as_batch()
+
+
+def _text(spark: SparkSession, files: list[str]) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(files).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
-        (
-            (F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2
-        ).alias("odd"),
-    )
-    so_far = Window.partitionBy("file", "split").orderBy("line").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    before = (F.sum("odd").over(so_far) - F.col("odd")) % 2
-    return (
-        lines.withColumn("before", before)
-        # latest record start up to here, for a split that begins outside or inside a field
-        .withColumn("start_outside", F.max(F.when(F.col("before") == 0, F.col("line"))).over(so_far))
-        .withColumn("start_inside", F.max(F.when(F.col("before") == 1, F.col("line"))).over(so_far))
-        .withColumn(
-            "is_header", (F.col("split") == 0) & (F.min("line").over(so_far) == F.col("line"))
-        )
+        F.col("value").cast("binary").alias("value"),
     )
 
 
-def _splits(lines: DataFrame) -> DataFrame:
-    """Per split: whether it begins inside a field, and which record is open when it begins."""
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        lines.groupBy("file", "split")
-        .agg(
-            F.sum("odd").alias("odd"),
-            F.max("start_outside").alias("start_outside"),
-            F.max("start_inside").alias("start_inside"),
+def _split_states(text: DataFrame) -> DataFrame:
+    """Per split: whether it begins inside a quoted field."""
+    outcomes = written(
+        text.select("file", "split", F.lit(None).cast("int").alias("state"), "value").mapInArrow(
+            _outcomes, "file string, split bigint, from_outside int, from_inside int"
         )
-        .withColumn("inside", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    )
+    so_far = Window.partitionBy("file").orderBy("split").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    # A split sets the state, keeps it or turns it round: what was set last, turned as often since.
+    fixed = F.when(F.col("from_outside") == F.col("from_inside"), F.col("from_outside"))
+    turned = F.sum(F.when(F.col("from_outside") > F.col("from_inside"), 1).otherwise(0)).over(so_far)
+    ended = (
+        outcomes.withColumn("fixed", fixed)
+        .withColumn("turned", turned)
+        .withColumn("set", F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "turned")), True).over(so_far))
         .withColumn(
-            "last_start",
-            F.when(F.col("inside") == 0, F.col("start_outside")).otherwise(F.col("start_inside")),
+            "ends",
+            F.pmod(
+                F.coalesce(F.col("set.fixed"), F.lit(0))
+                + F.col("turned")
+                - F.coalesce(F.col("set.turned"), F.lit(0)),
+                F.lit(2),
+            ).cast("int"),
         )
-        .select(
+    )
+    in_file = Window.partitionBy("file").orderBy("split")
+    return written(
+        ended.select(
             "file",
             "split",
-            "inside",
-            F.last("last_start", ignorenulls=True).over(before).alias("open_start"),
+            F.coalesce(F.lag("ends").over(in_file), F.lit(0)).alias("state"),
+            F.when(F.lead("split").over(in_file).isNull(), F.col("ends")).alias("ends_file"),
         )
     )
 
 
-def quoted_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per record, in column ``value``; header and blank records left out."""
-    lines = written(_lines(spark, path))
-    splits = written(_splits(lines))
-    if splits.count() <= _BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
-    placed = lines.where(~F.col("is_header")).join(splits, ["file", "split"])
-    starts_record = F.col("before") == F.col("inside")
-    on_one_line = starts_record & (F.col("odd") == 0)
-    start = F.coalesce(
-        F.when(F.col("inside") == 0, F.col("start_outside")).otherwise(F.col("start_inside")),
-        F.col("open_start"),
+def quoted_records(spark: SparkSession, files: list[str], cut_returns: bool) -> DataFrame:
+    """One row per record of ``files``, in column ``value``; header and empty records left out.
+
+    With ``cut_returns`` lines end in carriage return and line feed. A quoted field that is still
+    open at the end of a file raises, with the file and the split in which its record begins.
+    """
+    ship_package(spark)
+    text = _text(spark, files)
+    states = _split_states(text)
+    measured = states.agg(
+        F.sum(F.octet_length("file") + _ROW_BYTES).alias("bytes"),
+        F.max(F.when(F.col("ends_file") == 1, F.struct("file", "split"))).alias("open"),
+    ).first()
+    if measured["open"]:
+        last = F.max(F.when(F.col("state") == 0, F.col("split")))
+        begins = states.where(F.col("file") == measured["open"]["file"]).agg(last).first()[0]
+        raise ValueError(
+            f"{measured['open']['file']}: a quoted field that begins at byte {begins} or later is never closed"
+        )
+    if (measured["bytes"] or 0) > _BROADCAST_BYTES:
+        raise ValueError("too many file splits: raise spark.sql.files.maxPartitionBytes")
+
+    lines = text.join(F.broadcast(states.drop("ends_file")), ["file", "split"]).select(
+        "file", "split", "state", "value"
     )
-    spanning = (
-        placed.where(~on_one_line)
-        .groupBy(start.alias("start"))
-        .agg(F.array_sort(F.collect_list(F.struct("split", "line", "value"))).alias("parts"))
+    pieces = lines.mapInArrow(lambda batches: _pieces(batches, cut_returns), _PIECES.replace("value string", "value binary"))
+    pieces = pieces.withColumn("value", F.col("value").cast("string"))
+    whole = pieces.where((F.col("kind") == _WHOLE) & ~F.col("is_header")).select("value")
+
+    # A record that crosses borders: its head, and the pieces up to the next tail.
+    crossing = pieces.where(F.col("kind") != _WHOLE)
+    in_file = Window.partitionBy("file").orderBy("split", F.desc("kind"))
+    begun = crossing.select(
+        "file",
+        "split",
+        "kind",
+        "is_header",
+        "value",
+        F.sum((F.col("kind") == _HEAD).cast("int"))
+        .over(in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        .alias("record"),
+    )
+    joined = (
+        begun.groupBy("file", "record")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("split", "value"))).alias("parts"),
+            F.max("is_header").alias("is_header"),
+        )
+        .where(~F.col("is_header"))
         .select(F.array_join(F.col("parts.value"), "\n").alias("value"))
     )
-    records = placed.where(on_one_line).select("value").unionAll(spanning)
-    ended = F.when(
-        F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")
-    ).otherwise(F.col("value"))
-    return records.select(ended.alias("value")).where(F.trim("value") != "")
+    return whole.unionAll(joined)
