@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmart.scratch import written
+from reelmart.scratch import measured, written
 
 # Keys that one task numbers on its own.
 KEYS_PER_TASK = 1_000_000
@@ -49,8 +49,8 @@ def dense_ids(
     keys: DataFrame, key: str, id_col: str, keys_per_task: int = KEYS_PER_TASK
 ) -> DataFrame:
     """``(id_col, key)`` for distinct ``keys``; the number of tasks follows the number of keys."""
-    keys = written(keys.select(key))
-    ranges = math.ceil(keys.count() / keys_per_task)
+    keys, found = measured(keys.select(key), rows=F.count("*"))
+    ranges = math.ceil(found["rows"] / keys_per_task)
     if ranges <= 1:
         return number_in_one_task(keys, key, id_col)
     return number_by_ranges(keys, key, id_col, ranges)

@@ -62,7 +62,7 @@ def lookup_ids(
         key, id_col = DIMENSIONS[name]
         ids = _single_ids(dim, key, id_col)
         if name in large:
-            logs = balanced_join(logs, ids, key, "_key", "left", left_hot=hot[key])
+            logs = balanced_join(logs, ids, key, "_key", "left", left_hot=hot[key], hot_rows=hot_rows)
         else:
             logs = logs.join(F.broadcast(ids), F.col(key) == F.col("_key"), "left").drop("_key")
         two_ids = F.raise_error(F.lit(f"{name}: more than one {id_col} for one {key}"))

@@ -19,6 +19,8 @@ def _table(*columns: tuple[str, DataType]) -> StructType:
     return StructType([StructField(name, dtype, True) for name, dtype in columns])
 
 
+# Fixed values that must match: names, order and declared types of all columns below.
+
 # Raw inputs
 LOG_REVIEWS = _table(("id_review", LongType()), ("log", StringType()))
 

@@ -6,13 +6,17 @@ with its real size known to the optimizer.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
@@ -24,16 +28,21 @@ def scratch_folder(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``.
 
     Only a ``local`` session may leave the setting empty: all its tasks share one machine, so a
-    temporary folder of that machine is enough.
+    temporary folder of that machine is enough; it is removed when Python ends. On a cluster of several
+    machines the folder must not lie on a local file system, of which every executor has its own.
     """
     root = spark.conf.get(_SETTING, None)
+    context = spark.sparkContext
     if not root:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
         if context.applicationId not in _local_folders:
-            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="reelmart-")
+            folder = tempfile.mkdtemp(prefix="reelmart-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _local_folders[context.applicationId] = folder
         root = _local_folders[context.applicationId]
+    elif not context.master.startswith("local") and _is_machine_local(spark, root):
+        raise ValueError(f"{_SETTING} is on a local file system: {root}")
     folder = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     to_clear = _to_clear.get()
     if to_clear is not None:
@@ -41,12 +50,27 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _is_machine_local(spark: SparkSession, folder: str) -> bool:
+    """Whether the folder's file system, by its scheme or as the default, is the machine's own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a scratch parquet table, read back under the same schema."""
+    return measured(df)[0]
+
+
+def measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """``written`` with aggregates of its rows, taken by the write itself."""
     spark = df.sparkSession
     path = scratch_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not measures:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), {}
+    taken = Observation()
+    df.observe(taken, *(c.alias(name) for name, c in measures.items())).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), taken.get
 
 
 @contextmanager

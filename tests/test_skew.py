@@ -3,7 +3,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reelmart.operators.skew import balanced_join, hot_keys, numbered_rows
+from reelmart.operators.skew import (
+    _every_salt,
+    _salts,
+    _shared_out,
+    balanced_join,
+    hot_keys,
+    numbered_rows,
+    salts_of,
+)
 from reelmart.scratch import written
 from testbed import inputs
 
@@ -33,8 +41,8 @@ def _bag(df):
 def test_hot_keys_are_found_with_null(tables):
     left, _, _ = tables
     hot = hot_keys(left, "lk", "lv", hot_rows=100)
-    assert hot["lk"] == [7, None]
-    assert hot["lv"] == ["x"]
+    assert hot["lk"] == {7: left.where("lk = 7").count(), None: left.where("lk IS NULL").count()}
+    assert hot["lv"] == {"x": 3000}
 
 
 def test_no_hot_key_is_missed_among_many_rare_ones(spark):
@@ -48,12 +56,12 @@ def test_no_hot_key_is_missed_among_many_rare_ones(spark):
 
 
 def test_small_tables_have_no_hot_keys(tables):
-    assert hot_keys(tables[0], "lk") == {"lk": []}
+    assert hot_keys(tables[0], "lk") == {"lk": {}}
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("left_hot", [[], [7], [7, 9, None], [None]])
-@pytest.mark.parametrize("right_hot", [[], [9], [7, 9]])
+@pytest.mark.parametrize("left_hot", [{}, {7: 1100}, {7: 1100, 9: 5, None: 300}, {None: 300}])
+@pytest.mark.parametrize("right_hot", [{}, {9: 270}, {7: 2, 9: 270}])
 def test_balanced_join_equals_plain_join(tables, how, left_hot, right_hot):
     left, right, _ = tables
     plain = left.join(right, F.col("lk") == F.col("rk"), how).select("lk", "lv", "rv")
@@ -63,7 +71,7 @@ def test_balanced_join_equals_plain_join(tables, how, left_hot, right_hot):
             balanced_join(left, right, "lk", "rk", how, left_hot, right_hot)
         return
     salted = balanced_join(
-        numbered_rows(left), numbered_rows(right), "lk", "rk", how, left_hot, right_hot, salts=5
+        numbered_rows(left), numbered_rows(right), "lk", "rk", how, left_hot, right_hot, hot_rows=100
     ).select("lk", "lv", "rv")
     assert _bag(salted) == _bag(plain)
 
@@ -78,7 +86,7 @@ def test_hot_rows_are_spread_over_the_tasks(spark, tables):
             return max(r["count"] for r in sizes)
 
         plain = left.join(unique, F.col("lk") == F.col("rk"))
-        salted = balanced_join(numbered_rows(left), unique, "lk", "rk", left_hot=[7], salts=64)
+        salted = balanced_join(numbered_rows(left), unique, "lk", "rk", left_hot={7: 1100}, hot_rows=20)
         rows = left.where("lk < 300").count()
         assert largest(plain) > 0.4 * rows
         assert largest(salted) < 0.3 * rows
@@ -87,6 +95,28 @@ def test_hot_rows_are_spread_over_the_tasks(spark, tables):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_partner_rows_are_repeated_as_the_count_asks(spark, tables):
+    left, _, unique = tables
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2000)
+    try:
+        hot = hot_keys(left, "lk", hot_rows=200)["lk"]
+        asked = -(-hot[7] // 200)
+        joined = balanced_join(numbered_rows(left), unique, "lk", "rk", left_hot=hot, hot_rows=200)
+        assert _bag(joined.select("lk", "rv")) == _bag(
+            left.join(unique, F.col("lk") == F.col("rk")).select("lk", "rv")
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    salts = salts_of(hot, 200, 2000)
+    assert salts[7] == asked < 10
+    repeated = unique.withColumn("salt", _every_salt(_salts("rk", salts)))
+    assert repeated.count() == unique.count() - 1 + asked
+    assert salts_of({1: 10**9}, 200, 2000) == {1: 2000}
+    left_salts, right_salts = _shared_out({7: 1500, 8: 3}, {7: 1000, 9: 4}, 2000)
+    assert left_salts[7] * right_salts[7] <= 2000 and left_salts[8] == 3 and right_salts[9] == 4
+
+
 def test_without_hot_keys_the_join_is_plain(tables):
     left, right, _ = tables
     plan = balanced_join(left, right, "lk", "rk")._jdf.queryExecution().optimizedPlan().toString()
