@@ -5,62 +5,109 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
+from reelmart import schemas
 from reelmart.operators.logs import parse_review_logs
 from reelmart.operators.purchases import stage_user_purchase
 from reelmart.operators.reviews import classify_reviews
-from reelmart.plans.warehouse import build_warehouse
+from reelmart.plans.warehouse import build_warehouse, load_stage_tables
 from reelmart.scratch import cleared_scratch
 from reelmart.session import build_session
 from reelmart.sinks.csv_files import write_csv
 from reelmart.sources.csv_files import read_log_reviews, read_movie_reviews, read_user_purchase
+from reelmart.sources.relational import read_relational
+
+
+_RELATIONAL = ("url", "table", "column", "lower", "upper", "partitions")
 
 
 def _arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="reelmart")
     jobs = parser.add_subparsers(dest="job", required=True)
-    for name in ("parse-logs", "classify-reviews", "stage-purchases"):
+    for name in ("parse-logs", "classify-reviews"):
         job = jobs.add_parser(name)
         job.add_argument("input")
         job.add_argument("output")
+    purchases = jobs.add_parser("stage-purchases")
+    purchases.add_argument("input", nargs="?", help="CSV; or give the --jdbc arguments")
+    purchases.add_argument("output")
+    tables = jobs.add_parser("load-stage-tables")
+    for name in schemas.STAGE_TABLES:
+        tables.add_argument(f"--{name.replace('_', '-')}", dest=name, help="staged CSV folder")
     refresh = jobs.add_parser("refresh")
     refresh.add_argument("--logs", required=True)
     refresh.add_argument("--reviews", required=True)
-    refresh.add_argument("--purchases", required=True)
-    refresh.add_argument("--database", required=True)
+    refresh.add_argument("--purchases", help="CSV; or give the --jdbc arguments")
     refresh.add_argument("--as-of", type=dt.date.fromisoformat)
+    for job in (tables, refresh):
+        job.add_argument("--database", required=True)
+    for job in (purchases, refresh):
+        for name in _RELATIONAL:
+            kind = int if name == "partitions" else str
+            job.add_argument(f"--jdbc-{name}", type=kind, help="purchases from a relational table")
     for name in ("parse-logs", "refresh"):
         jobs.choices[name].add_argument("--date-format", default="yyyy-MM-dd")
+        jobs.choices[name].add_argument("--fail-on-malformed", action="store_true")
     for name in ("classify-reviews", "refresh"):
         jobs.choices[name].add_argument("--keyword", default="good")
+    for name in ("parse-logs", "classify-reviews", "refresh"):
+        jobs.choices[name].add_argument("--fail-on-bad-rows", action="store_true")
     for job in jobs.choices.values():
         job.add_argument("--single-line", action="store_true", help="no field holds a line break")
     return parser
 
 
+def _purchases(spark: SparkSession, args: argparse.Namespace, path: str | None) -> DataFrame:
+    """The purchase lines from the CSV, or from the relational table if one is named."""
+    if not args.jdbc_url:
+        if not path:
+            raise SystemExit("purchases: a CSV or the --jdbc arguments are needed")
+        return read_user_purchase(spark, path, multiline=not args.single_line)
+    given = {name: getattr(args, f"jdbc_{name}") for name in _RELATIONAL}
+    missing = [f"--jdbc-{name}" for name, value in given.items() if value is None]
+    if missing:
+        raise SystemExit(f"purchases: {', '.join(missing)} missing")
+    return read_relational(spark, **given)
+
+
 def _run(spark: SparkSession, args: argparse.Namespace) -> None:
-    multiline = not args.single_line
+    multiline = {"multiline": not args.single_line}
+    if args.job == "load-stage-tables":
+        given = {name: getattr(args, name) for name in schemas.STAGE_TABLES if getattr(args, name)}
+        load_stage_tables(spark, args.database, given, **multiline)
+        return
+    if args.job == "stage-purchases":
+        write_csv(stage_user_purchase(_purchases(spark, args, args.input)), args.output)
+        return
+    options = {**multiline, "fail_on_bad_rows": args.fail_on_bad_rows}
     if args.job == "parse-logs":
-        raw = read_log_reviews(spark, args.input, multiline=multiline)
-        write_csv(parse_review_logs(raw, args.date_format), args.output, trim=True)
+        raw = read_log_reviews(spark, args.input, **options)
+        report = Observation()
+        rows = parse_review_logs(raw, args.date_format, args.fail_on_malformed, report)
+        write_csv(rows, args.output, trim=True)
+        _print_report(report.get)
     elif args.job == "classify-reviews":
-        raw = read_movie_reviews(spark, args.input, multiline=multiline)
+        raw = read_movie_reviews(spark, args.input, **options)
         write_csv(classify_reviews(raw, args.keyword), args.output, trim=True)
-    elif args.job == "stage-purchases":
-        raw = read_user_purchase(spark, args.input, multiline=multiline)
-        write_csv(stage_user_purchase(raw), args.output)
     else:
-        build_warehouse(
+        report = build_warehouse(
             spark,
             args.database,
-            read_log_reviews(spark, args.logs, multiline=multiline),
-            read_movie_reviews(spark, args.reviews, multiline=multiline),
-            read_user_purchase(spark, args.purchases, multiline=multiline),
+            read_log_reviews(spark, args.logs, **options),
+            read_movie_reviews(spark, args.reviews, **options),
+            _purchases(spark, args, args.purchases),
             args.as_of,
             args.keyword,
             args.date_format,
+            args.fail_on_malformed,
         )
+        _print_report(report)
+
+
+def _print_report(counts: dict[str, int]) -> None:
+    for name, count in counts.items():
+        print(f"{name}: {count}")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -8,12 +8,13 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reelmart import schemas
 from reelmart.operators.dims import DIMENSIONS, build_dimension
 from reelmart.operators.fact import build_fact
 from reelmart.operators.keys import number_by_ranges
-from reelmart.operators.logs import parse_review_logs
+from reelmart.operators.logs import log_quality, parse_review_logs
 from reelmart.operators.lookup import lookup_ids
 from reelmart.operators.purchases import (
     customer_review_spend,
@@ -23,7 +24,7 @@ from reelmart.operators.purchases import (
 )
 from reelmart.operators.reviews import classify_reviews, review_scores, review_tokens
 from reelmart.plans.together import together
-from reelmart.plans.warehouse import build_warehouse
+from reelmart.plans.warehouse import build_warehouse, load_stage_tables
 from reelmart.scratch import scratch_folder, written
 from reelmart.sinks.csv_files import write_csv
 from reelmart.sinks.tables import append_rows, create_table, has_rows, replace_rows
@@ -136,6 +137,36 @@ def _csv_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv_review_text(spark, sf_dir, file_bytes_per_task=0)
 
 
+def _csv_stray_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Whole lines as the only column, so that the writer leaves their quotes alone.
+    reviews = inputs.reviews_with_stray_quotes(spark, sf_dir)
+    field = F.when(
+        F.col("id_review") % 2 == 0, F.col("review_str")
+    ).otherwise(F.concat(F.lit('"'), F.replace("review_str", F.lit('"'), F.lit('""')), F.lit('"')))
+    lines = reviews.select(F.concat_ws(",", "cid", field, "id_review").alias("cid,review_str,id_review"))
+    raw = scratch_folder(spark)
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "").csv(raw)
+    return read_movie_reviews(spark, raw, file_bytes_per_task=0)
+
+
+def _loaded_stage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folders = {name: scratch_folder(spark) for name in schemas.STAGE_TABLES}
+    write_csv(_logs(spark, sf_dir), folders["log_reviews_transformed"], trim=True)
+    write_csv(_reviews(spark, sf_dir, "data"), folders["classified_movie_reviews"], trim=True)
+    write_csv(_purchases(spark, sf_dir), folders["user_purchase"])
+    database = _database(spark)
+    load_stage_tables(spark, database, folders)
+    # One row per review with what its log and its user's purchases say: all three tables take part.
+    purchases = spark.table(f"{database}.user_purchase").groupBy("customer_id").agg(F.count("*").alias("lines"))
+    reviews = spark.table(f"{database}.classified_movie_reviews")
+    logs = spark.table(f"{database}.log_reviews_transformed").select("log_id", "device")
+    return (
+        reviews.join(logs, F.col("review_id") == F.col("log_id"))
+        .join(purchases, F.col("user_id") == F.col("customer_id"), "left")
+        .select("review_id", "positive_review", "device", "lines")
+    )
+
+
 def _csv_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_folder(spark)
     write_csv(_purchases(spark, sf_dir), path)
@@ -199,6 +230,10 @@ def catalogue() -> dict[str, Query]:
             customer_spend(_purchases(spark, sf_dir)), _scores(spark, sf_dir)
         ),
         "parse_review_logs": _logs,
+        "parse_review_logs_mixed": lambda spark, sf_dir: parse_review_logs(
+            inputs.mixed_log_reviews(spark, sf_dir)
+        ),
+        "log_quality": lambda spark, sf_dir: log_quality(inputs.mixed_log_reviews(spark, sf_dir)),
         "dim_date": _dimension("dim_date"),
         "dim_devices": _dimension("dim_devices"),
         "dim_location": _dimension("dim_location"),
@@ -211,9 +246,11 @@ def catalogue() -> dict[str, Query]:
         "csv_review_logs": _csv_logs,
         "csv_movie_reviews": _csv_review_text,
         "csv_large_files": _csv_large_files,
+        "csv_stray_quotes": _csv_stray_quotes,
         "csv_classified_reviews": _csv_reviews,
         "csv_user_purchase": _csv_purchases,
         "replace_user_purchase": _replaced_purchases,
         "append_dim_devices": _appended_devices,
+        "load_stage_tables": _loaded_stage_table,
         "refresh_warehouse": _refreshed_fact,
     }

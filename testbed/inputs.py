@@ -20,27 +20,63 @@ def movie_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reviews_with_stray_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews on one line each; those of even ids hold an inch mark and no comma."""
+    flat = F.regexp_replace("review_str", "[\\r\\n]", " ")
+    plain = F.concat(F.regexp_replace(flat, '[,"]', " "), F.lit(' 5" screen'))
+    even = F.col("id_review") % 2 == 0
+    return movie_reviews(spark, sf_dir).withColumn("review_str", F.when(even, plain).otherwise(flat))
+
+
 def _element(name: str, value: Column) -> list[Column]:
     return [F.lit(f"<{name}>"), value.cast("string"), F.lit(f"</{name}>")]
 
 
-def log_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return table(spark, sf_dir, "events").join(nation, F.col("n_nationkey") == F.col("user_id") % 25)
+
+
+def _document(device: list[Column]) -> Column:
     moved = F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 365).cast("int"))
-    document = F.concat(
+    return F.concat(
         F.lit("<reviewlog><log>"),
         *_element("logDate", F.date_format(moved, "yyyy-MM-dd")),
-        *_element("device", F.col("event_type")),
+        *device,
         *_element("os", F.concat(F.lit("os_"), F.col("event_id") % 4)),
         *_element("location", F.col("n_name")),
         *_element("ipAddress", F.concat(F.lit("10.0.0."), F.col("user_id"))),
         *_element("phoneNumber", F.concat(F.lit("555-"), F.col("user_id"))),
         F.lit("</log></reviewlog>"),
     )
-    return events.join(nation, F.col("n_nationkey") == F.col("user_id") % 25).select(
-        F.col("event_id").alias("id_review"), document.alias("log")
-    )
+
+
+def log_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document = _document(_element("device", F.col("event_type")))
+    return _events(spark, sf_dir).select(F.col("event_id").alias("id_review"), document.alias("log"))
+
+
+def mixed_log_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs that lack, repeat, pad or re-case the device, bear a doctype, or are broken, by event_id."""
+    device = F.col("event_type")
+    whole = _document(_element("device", device))
+    forms = [
+        whole,
+        _document([]),
+        _document([*_element("device", device), *_element("device", F.lit("second"))]),
+        _document(_element("device", F.concat(F.lit("  "), device, F.lit(" ")))),
+        _document(_element("Device", device)),
+        _document([*_element("Device", F.lit("other")), *_element("device", device)]),
+        whole.substr(F.lit(1), F.length(whole) - 15),
+        F.concat(F.lit('<!DOCTYPE reviewlog [<!ENTITY e "v">]>'), whole),
+        F.concat(whole, F.lit("<!-- end --> rest")),
+        F.regexp_replace(whole, "<logDate>", "<logDate>on "),
+    ]
+    kind = F.col("event_id") % len(forms)
+    log = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        log = F.when(kind == i, form).otherwise(log)
+    return _events(spark, sf_dir).select(F.col("event_id").alias("id_review"), log.alias("log"))
 
 
 def user_purchase(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -55,12 +91,14 @@ def user_purchase(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) ->
     orders, order_hot = with_hot_keys(orders, "o_custkey", hot_rows=hot_rows)
     # Orders, parts and customers are unique under their keys: only the other side can be hot.
     bought = balanced_join(
-        orders, buyers, "o_custkey", "c_custkey", left_hot=order_hot["o_custkey"]
+        orders, buyers, "o_custkey", "c_custkey", left_hot=order_hot["o_custkey"], hot_rows=hot_rows
     )
     lines = balanced_join(
-        lineitem, bought, "l_orderkey", "o_orderkey", left_hot=line_hot["l_orderkey"]
+        lineitem, bought, "l_orderkey", "o_orderkey", left_hot=line_hot["l_orderkey"], hot_rows=hot_rows
+    )
+    sold = balanced_join(
+        lines, part, "l_partkey", "p_partkey", left_hot=line_hot["l_partkey"], hot_rows=hot_rows
     )
-    sold = balanced_join(lines, part, "l_partkey", "p_partkey", left_hot=line_hot["l_partkey"])
     return sold.select(
         F.col("l_orderkey").cast("string").alias("invoice_number"),
         F.col("l_partkey").cast("string").alias("stock_code"),

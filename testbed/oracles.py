@@ -19,6 +19,26 @@ _LOGS = """
     FROM events JOIN nation ON n_nationkey = user_id % 25
 """
 
+# The forms of the documents by event_id % 10, see mixed_log_reviews.
+_MIXED_LOGS = f"""
+    SELECT log_id,
+           CASE WHEN log_id % 10 NOT IN (6, 8, 9) THEN log_date END AS log_date,
+           CASE WHEN log_id % 10 IN (1, 4) THEN ''
+                WHEN log_id % 10 = 3 THEN '  ' || device || ' '
+                WHEN log_id % 10 NOT IN (6, 8) THEN device END AS device,
+           CASE WHEN log_id % 10 NOT IN (6, 8) THEN os END AS os,
+           CASE WHEN log_id % 10 NOT IN (6, 8) THEN location END AS location,
+           CASE WHEN log_id % 10 NOT IN (6, 8) THEN ip END AS ip,
+           CASE WHEN log_id % 10 NOT IN (6, 8) THEN phone_number END AS phone_number
+    FROM ({_LOGS})
+"""
+
+_LOG_QUALITY = """
+    SELECT count(*) AS total_logs, count(*) FILTER (event_id % 10 IN (6, 8)) AS malformed_logs,
+           count(*) FILTER (event_id % 10 = 9) AS unreadable_dates, 0::BIGINT AS logs_without_id
+    FROM events JOIN nation ON n_nationkey = user_id % 25
+"""
+
 _PURCHASES = """
     SELECT CAST(o_orderkey AS VARCHAR) AS invoice_number,
            CAST(l_partkey AS VARCHAR) AS stock_code,
@@ -37,6 +57,13 @@ _PURCHASES = """
 
 _REVIEW_TEXT = "SELECT doc_id % 150 AS cid, text AS review_str, doc_id AS id_review FROM documents"
 
+_STRAY_QUOTES = f"""
+    SELECT cid, id_review,
+           CASE WHEN id_review % 2 = 0 THEN regexp_replace(flat, '[,"]', ' ', 'g') || ' 5" screen' ELSE flat END
+               AS review_str
+    FROM (SELECT cid, id_review, regexp_replace(review_str, '[\\r\\n]', ' ', 'g') AS flat FROM ({_REVIEW_TEXT}))
+"""
+
 _STOP_WORDS = ", ".join("'" + word.replace("'", "''") + "'" for word in ENGLISH_STOP_WORDS)
 
 _TOKENS = """
@@ -81,13 +108,18 @@ _SPEND = f"""
 """
 
 # Seasons by counting months from December, three at a time.
+# Fixed values that must match: the season of each month; a date that is not known counts as Fall.
+_SEASONS = """
+    VALUES (1, 'Winter'), (2, 'Winter'), (3, 'Spring'), (4, 'Spring'), (5, 'Spring'), (6, 'Summer'),
+           (7, 'Summer'), (8, 'Summer'), (9, 'Fall'), (10, 'Fall'), (11, 'Fall'), (12, 'Winter')
+"""
+
 _DIM_DATE = f"""
     SELECT row_number() OVER (ORDER BY log_date NULLS FIRST) AS id_dim_date, log_date,
            strftime(log_date, '%d') AS day, strftime(log_date, '%b') AS month,
-           strftime(log_date, '%Y') AS year,
-           coalesce(['Winter', 'Spring', 'Summer', 'Fall'][month(log_date) % 12 // 3 + 1], 'Fall')
-               AS season
+           strftime(log_date, '%Y') AS year, coalesce(season, 'Fall') AS season
     FROM (SELECT DISTINCT log_date FROM ({_LOGS}))
+    LEFT JOIN ({_SEASONS}) AS seasons (month_number, season) ON month_number = month(log_date)
 """
 
 
@@ -155,6 +187,15 @@ def oracles() -> dict[str, str]:
         "csv_review_logs": _LOGS,
         "csv_movie_reviews": _REVIEW_TEXT,
         "csv_large_files": _REVIEW_TEXT,
+        "csv_stray_quotes": _STRAY_QUOTES,
+        "parse_review_logs_mixed": _MIXED_LOGS,
+        "log_quality": _LOG_QUALITY,
+        "load_stage_tables": f"""
+            SELECT review_id, positive_review, device, lines
+            FROM ({_classified("data")}) JOIN ({_LOGS}) ON log_id = review_id
+            LEFT JOIN (SELECT customer_id, count(*) AS lines FROM ({_PURCHASES}) GROUP BY customer_id)
+                ON customer_id = user_id
+        """,
         "csv_classified_reviews": _classified("data"),
         "csv_user_purchase": _PURCHASES,
         "replace_user_purchase": _PURCHASES,

@@ -1,6 +1,9 @@
 import datetime as dt
+import subprocess
+import sys
 from decimal import Decimal
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from reelmart.__main__ import main
 from reelmart.operators.logs import trimmed
 from reelmart.plans.warehouse import build_warehouse, create_tables, load
 from reelmart.plans.together import together
-from reelmart.scratch import cleared_scratch, scratch_folder, written
+from reelmart.scratch import cleared_scratch, measured, scratch_folder, written
 from reelmart.sinks.csv_files import write_csv
 from reelmart.sinks.tables import append_rows, create_table, has_rows, replace_rows
 from reelmart.sources.csv_files import (
@@ -135,6 +138,49 @@ def test_scratch_lies_in_the_checkpoint_folder(spark):
     assert all(file.removeprefix("file://").startswith(root) for file in df.inputFiles())
 
 
+class _Session:
+    """A session of another master, as far as the scratch folder looks at it."""
+
+    def __init__(self, spark, master, folder):
+        self.conf = {"spark.checkpoint.dir": folder}
+        self.sparkContext = SimpleNamespace(master=master, applicationId=f"app-{master}")
+        self._jvm, self._jsc = spark._jvm, spark._jsc
+
+
+@pytest.mark.parametrize("folder", ["file:/data/scratch", "/data/scratch", "relative"])
+def test_a_cluster_needs_a_shared_scratch_folder(spark, folder):
+    # The default file system of the test session is the local one.
+    for master in ("yarn", "spark://host:7077", "k8s://host"):
+        with pytest.raises(ValueError, match="local file system"):
+            scratch_folder(_Session(spark, master, folder))
+    assert scratch_folder(_Session(spark, "local-cluster[2,1,1024]", folder)).startswith(folder)
+
+
+def test_only_a_local_session_may_leave_the_setting_empty(spark):
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="every executor"):
+            scratch_folder(_Session(spark, master, None))
+    first = scratch_folder(_Session(spark, "local[2]", None))
+    assert Path(first).parent == Path(scratch_folder(_Session(spark, "local[2]", None))).parent
+
+
+def test_a_temporary_scratch_folder_goes_when_python_ends(tmp_path):
+    script = (
+        "from types import SimpleNamespace as S\n"
+        "from reelmart.scratch import scratch_folder\n"
+        "print(scratch_folder(S(conf={}, sparkContext=S(master='local[1]', applicationId='a'))))\n"
+    )
+    root = Path(__file__).resolve().parent.parent
+    ran = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, check=True)
+    folder = Path(ran.stdout.strip()).parent
+    assert folder.name.startswith("reelmart-") and not folder.exists()
+
+
+def test_measured_counts_while_writing(spark):
+    table, found = measured(spark.range(100), rows=F.count("*"), largest=F.max("id"))
+    assert found == {"rows": 100, "largest": 99} and table.count() == 100
+
+
 def test_scratch_is_deleted_at_the_end_of_a_job(spark):
     folder = Path(spark.conf.get("spark.checkpoint.dir"))
     kept = written(spark.range(3))
@@ -181,7 +227,11 @@ def _inputs(spark):
 
 def test_refresh_twice_gives_the_same_tables(spark, database):
     for _ in range(2):
-        build_warehouse(spark, database, *_inputs(spark), as_of=dt.date(2024, 1, 1))
+        report = build_warehouse(spark, database, *_inputs(spark), as_of=dt.date(2024, 1, 1))
+    assert report["total_logs"] == 4 and report["malformed_logs"] == 0
+    assert report["total_reviews"] == spark.table(f"{database}.classified_movie_reviews").count()
+    assert report["total_purchases"] == 2 and report["purchases_without_customer"] == 0
+
     def rows(name):
         return sorted(map(tuple, spark.table(f"{database}.{name}").collect()), key=str)
 
@@ -207,7 +257,7 @@ def test_appending_a_dimension_twice_makes_the_load_fail(spark, database):
     assert spark.table(f"{database}.dim_devices").count() == 2
 
 
-def test_command_line_jobs(spark, database, tmp_path):
+def test_command_line_jobs(spark, database, tmp_path, capsys):
     logs, reviews, purchases = _inputs(spark)
     for name, df in (("logs", logs), ("reviews", reviews), ("purchases", purchases)):
         write_csv(df, f"{tmp_path}/{name}")
@@ -226,3 +276,28 @@ def test_command_line_jobs(spark, database, tmp_path):
           "--purchases", f"{tmp_path}/purchases", "--database", database, "--as-of", "2024-01-01"])
     assert set(scratch.iterdir()) == before
     assert spark.table(f"{database}.fact_movie_analytics").count() == 2
+    assert "malformed_logs: 0" in capsys.readouterr().out
+    main(["load-stage-tables", "--database", database, "--user-purchase", f"{tmp_path}/out_purchases",
+          "--log-reviews-transformed", f"{tmp_path}/out_logs"])
+    assert spark.table(f"{database}.user_purchase").count() == 2
+    assert spark.table(f"{database}.log_reviews_transformed").count() == 4
+
+
+def test_command_line_can_fail_on_rejects(spark, database, tmp_path):
+    bad = spark.createDataFrame([(1, "<reviewlog><log>")], "id_review long, log string")
+    write_csv(bad, f"{tmp_path}/logs")
+    main(["parse-logs", f"{tmp_path}/logs", f"{tmp_path}/out"])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        main(["parse-logs", f"{tmp_path}/logs", f"{tmp_path}/out2", "--fail-on-malformed"])
+    (tmp_path / "reviews.csv").write_text("cid,review_str,id_review\nx,text,1\n")
+    main(["classify-reviews", f"{tmp_path}/reviews.csv", f"{tmp_path}/out3"])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        main(["classify-reviews", f"{tmp_path}/reviews.csv", f"{tmp_path}/out4", "--fail-on-bad-rows"])
+
+
+def test_command_line_asks_for_all_relational_arguments(tmp_path):
+    with pytest.raises(SystemExit, match="needed"):
+        main(["stage-purchases", f"{tmp_path}/out"])
+    with pytest.raises(SystemExit, match="--jdbc-table, --jdbc-column"):
+        main(["stage-purchases", f"{tmp_path}/out", "--jdbc-url", "jdbc:x", "--jdbc-lower", "0",
+              "--jdbc-upper", "9", "--jdbc-partitions", "2"])
