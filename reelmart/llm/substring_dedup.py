@@ -16,8 +16,9 @@ begin with equal strings when their suffixes stay in one bucket down to that dep
    strings have in common, and those that still share a bucket place by place.
 4. **Removal.** The strings found are merged to runs of bytes and cut out.
 
-Buckets are counted by aggregation, never gathered, and blocks of equal content go on as one; so a
-passage in every document costs a few rows for each occurrence.
+Buckets are counted by aggregation, never gathered; equal texts go on as one, and so do blocks of equal
+content, so a passage in every document costs a few rows for each occurrence. Texts are shuffled packed,
+and blocks by number: what belongs to a number is found again from the text.
 
 Defined results: NULL and shorter texts lose nothing; matches never cross texts; rows that repeat a
 doc_id are texts of their own, also when they are equal (then both lose what repeats, their whole
@@ -34,10 +35,11 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmart.scratch import written
+from reelmart.scratch import cleared_scratch, scratch_folder, written
 from reelmart.shipping import ship_package
 
 MIN_BYTES = 400
@@ -48,8 +50,7 @@ TOGETHER = 1 << 19
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xC2B2AE3D27D4EB4F)
 
-_BLOCKS = "array<struct<bucket:bigint,low:int,high:int,pointer:int>>"
-_SPANS = "array<struct<low:int,high:int>>"
+_RUNS = "array<struct<low:bigint,high:bigint>>"
 
 
 def _mix(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -124,83 +125,105 @@ def _bytes(scalar: pa.Scalar) -> memoryview:
     return memoryview(scalar.as_buffer()) if scalar.is_valid else memoryview(b"")
 
 
-def _sign(batches: Iterable[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct(
-        [("bucket", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("pointer", pa.int32())]
+def _all_blocks(text: memoryview, min_bytes: int) -> list[np.ndarray]:
+    """``[bucket, low, high, pointer]`` of all blocks of a text, in their order."""
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    for start, piece in _pieces(text, min_bytes):
+        bucket, *places = blocks(piece, min_bytes)
+        for held, values in zip(found, (bucket, *(p + start for p in places))):
+            held.append(values)
+    return [np.concatenate(held) if held else np.empty(0, np.int64) for held in found]
+
+
+def _as_batch(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, fields.values())], names=list(fields)
     )
+
+
+def _sign(batches: Iterable[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Size, hash and buckets of each text."""
     for batch in batches:
-        found: list[list[np.ndarray]] = [[], [], [], []]
-        sizes, digests, offsets = [], [], [0]
+        sizes, digests, found = [], [], []
         for scalar in batch.column(2):
             text = _bytes(scalar)
             sizes.append(len(text))
             digests.append(sha256(text).hexdigest())
-            count = offsets[-1]
-            for start, piece in _pieces(text, min_bytes):
-                bucket, low, high, pointer = blocks(piece, min_bytes)
-                for held, values in zip(found, (bucket, low + start, high + start, pointer + start)):
-                    held.append(values)
-                count += len(bucket)
-            offsets.append(count)
-        columns = [
-            pa.array(np.concatenate(held) if held else np.empty(0, np.int64), pa.int64()).cast(field.type)
-            for held, field in zip(found, kind)
-        ]
-        structs = pa.StructArray.from_arrays(columns, fields=list(kind))
+            found.append(_all_blocks(text, min_bytes)[0])
+        ends = np.cumsum([0, *map(len, found)])
+        buckets = pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(1),
                 pa.array(sizes, pa.int64()),
                 pa.array(digests, pa.string()),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), buckets),
             ],
-            names=["key", "doc_id", "n_bytes", "whole_sha256", "blocks"],
+            names=["key", "doc_id", "n_bytes", "whole_sha256", "buckets"],
         )
 
 
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = [packer.compress(_bytes(scalar)) for scalar in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["key", "packed"])
+
+
+def _unpacked(scalar: pa.Scalar) -> memoryview:
+    return memoryview(zstandard.ZstdDecompressor().decompress(scalar.as_buffer()))
+
+
+_GROWN = {"text_id": pa.int64(), "copies": pa.int64(), "number": pa.int32(), "bucket": pa.int64(), "content": pa.binary()}
+
+
 def _grown(batches: Iterable[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The content of all strings of each block, as a hash."""
+    """The content of all strings of each remaining block, as a hash."""
     for batch in batches:
         rows: list[tuple] = []
-        for key, scalar, copies, own in zip(*batch.columns):
-            text = _bytes(scalar)
-            for block in own.as_py():
-                content = xxhash.xxh3_128_digest(text[block["low"] : block["high"] + min_bytes])
-                place = (block["low"], block["high"], block["pointer"])
-                rows.append((key.as_py(), copies.as_py(), block["bucket"], *place, content))
-        if rows:
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                names=["key", "copies", "bucket", "low", "high", "pointer", "content"],
-            )
+        for text_id, packed, copies, numbers in zip(*batch.columns):
+            text = _unpacked(packed)
+            bucket, low, high, _ = (x.tolist() for x in _all_blocks(text, min_bytes))
+            for n in numbers.as_py():
+                content = xxhash.xxh3_128_digest(text[low[n] : high[n] + min_bytes])
+                rows.append((text_id.as_py(), copies.as_py(), n, bucket[n], content))
+        yield _as_batch(rows, _GROWN)
+
+
+_CELLS = {
+    "text_id": pa.int64(), "alone": pa.bool_(), "last": pa.int32(), "least": pa.int32(), "most": pa.int32(),
+    "shared": pa.binary(), "before": pa.binary(), "after": pa.binary(),
+}
 
 
 def _cells(batches: Iterable[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The cells of each block: what their strings share, and the strings place by place."""
+    """The cells of each example: a hash of what their strings share, and the bytes around it.
+
+    The string that begins ``i`` bytes before ``last``, for ``i`` from ``least`` to ``most``, is the last
+    ``i`` bytes of ``before``, the shared bytes, and the first ``CELL - 1 - i`` bytes of ``after``.
+    """
     for batch in batches:
         rows: list[tuple] = []
-        for key, scalar, own in zip(*batch.columns):
-            text = _bytes(scalar)
-            for block in own.as_py():
-                low, high, pointer = block["low"], block["high"], block["pointer"]
+        for text_id, packed, examples in zip(*batch.columns):
+            text = _unpacked(packed)
+            _, lows, highs, pointers = (x.tolist() for x in _all_blocks(text, min_bytes))
+            for example in examples.as_py():
+                n = example["number"]
+                low, high, pointer = lows[n], highs[n], pointers[n]
                 # Cells are counted back from the pointer, alike wherever the strings occur.
                 for cell in range((pointer - high) // CELL, (pointer - low) // CELL + 1):
                     last = pointer - cell * CELL
-                    shared = xxhash.xxh3_128(text[last : last - CELL + 1 + min_bytes])
+                    end = last - CELL + 1 + min_bytes
+                    shared = xxhash.xxh3_128(text[last:end])
                     shared.update(cell.to_bytes(4, "little"))
-                    first = max(low, last - CELL + 1)
-                    strings = b"".join(
-                        xxhash.xxh3_128_digest(text[p : p + min_bytes]) for p in range(first, min(high, last) + 1)
-                    )
-                    rows.append((key.as_py(), block["alone"], first, shared.digest(), strings))
-        if rows:
-            types = [pa.binary(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                names=["key", "alone", "first", "shared", "strings"],
-            )
+                    first, final = max(low, last - CELL + 1), min(high, last)
+                    rows.append((
+                        text_id.as_py(), example["alone"], last, last - final, last - first, shared.digest(),
+                        bytes(text[first:last]), bytes(text[end : final + min_bytes]),
+                    ))
+        yield _as_batch(rows, _CELLS)
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -223,123 +246,156 @@ def _cut(text: memoryview, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
-def _runs(own: pa.Scalar) -> list[tuple[int, int]]:
-    return merged((s["low"], s["high"]) for s in own.as_py() or ())
-
-
-def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_texts(batches: Iterable[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
+    """What goes of each text: its blocks but for those alone, and single strings."""
+    kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+    fields = {"its_key": pa.binary(), "n_removed": pa.int64(), "runs": kind, "kept_sha256": pa.string()}
     for batch in batches:
-        removed, runs_of, digests = [], [], []
-        for scalar, own in zip(batch.column(1), batch.column(2)):
-            text, runs = _bytes(scalar), _runs(own)
-            removed.append(sum(high - low for low, high in runs))
-            runs_of.append([{"low": low, "high": high} for low, high in runs])
-            digests.append(sha256(_cut(text, runs)).hexdigest())
-        kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(removed, pa.int64()), pa.array(runs_of, kind), pa.array(digests)],
-            names=["its_key", "n_removed", "runs", "kept_sha256"],
-        )
-
-
-def text_key(doc_id: Column, text: Column) -> Column:
-    """Names a text: rows with equal keys are equal in doc_id and text."""
-    named = F.concat(
-        F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit(""))
+        rows: list[tuple] = []
+        for key, packed, copies, numbers, alone, singles in zip(*batch.columns):
+            text = _unpacked(packed)
+            if copies.as_py() > 1:
+                runs = [(0, len(text))]
+            else:
+                _, low, high, _ = (x.tolist() for x in _all_blocks(text, min_bytes))
+                repeated = set(numbers.as_py()).difference(alone.as_py() or ())
+                spans = [(low[n], high[n] + min_bytes) for n in repeated]
+                runs = merged(spans + [(p, p + min_bytes) for p in singles.as_py() or ()])
+            listed = [{"low": low, "high": high} for low, high in runs]
+            removed = sum(high - low for low, high in runs)
+            rows.append((key.as_py(), removed, listed, sha256(_cut(text, runs)).hexdigest()))
+        yield _as_batch(rows, fields)
+
+
+def text_key(text: Column) -> Column:
+    """Equal for equal texts."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _candidates(keyed: DataFrame, min_bytes: int, signed: DataFrame, folder: str) -> DataFrame:
+    """Texts with blocks whose pointer shares its bucket, written to ``folder``, one row per text.
+
+    text_id, key, packed (the text), copies (rows that have it) and numbers (of the remaining blocks).
+    """
+    spark = keyed.sparkSession
+    pointed = signed.select("row_id", F.posexplode("buckets").alias("number", "bucket"))
+    shared = pointed.groupBy("bucket").count().where("count > 1").select("bucket")
+    remaining = (
+        pointed.join(shared, "bucket", "left_semi")
+        .groupBy("row_id")
+        .agg(F.collect_list("number").alias("numbers"))
+        .join(signed.select("row_id", F.col("key").alias("its_key")), "row_id")
+        # Equal texts have equal blocks.
+        .groupBy("its_key")
+        .agg(F.first("numbers").alias("numbers"))
     )
-    return F.unhex(F.md5(named))
+    texts = (
+        keyed.where(F.octet_length("text") >= min_bytes)
+        .select("key", "text")
+        .mapInArrow(_packed, "key binary, packed binary")
+        .groupBy("key")
+        .agg(F.first("packed").alias("packed"), F.count("*").alias("copies"))
+        .join(remaining, F.col("key") == F.col("its_key"))
+        .select(F.monotonically_increasing_id().alias("text_id"), "key", "packed", "copies", "numbers")
+    )
+    texts.write.parquet(folder)
+    return spark.read.schema(texts.schema).parquet(folder)
 
 
-def _with_text(texts: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """``texts`` (one row per key) that have ``rows``, with all of these as an array."""
-    of_text = rows.groupBy(F.col("key").alias("its_key")).agg(F.collect_set(column).alias(column))
-    return texts.join(of_text, F.col("key") == F.col("its_key")).drop("its_key")
+def _single_strings(texts: DataFrame, contents: DataFrame, min_bytes: int) -> DataFrame:
+    """``(text_id, low)``: strings that repeat within blocks that as a whole do not."""
+    several = contents.groupBy("bucket").count().where("count > 1").select("bucket")
+    examples = (
+        contents.join(several, "bucket", "left_semi")
+        .groupBy(F.col("example.text_id").alias("its_id"))
+        .agg(F.collect_list(F.struct("example.number", (F.col("blocks") == 1).alias("alone"))).alias("examples"))
+    )
+    cells = written(
+        texts.join(examples, F.col("text_id") == F.col("its_id"))
+        .select("text_id", "packed", "examples")
+        .mapInArrow(
+            lambda batches: _cells(batches, min_bytes),
+            "text_id bigint, alone boolean, last int, least int, most int, shared binary, before binary, after binary",
+        )
+    )
+    still = cells.groupBy("shared").count().where("count > 1").select("shared")
+    strings = written(
+        cells.join(still, "shared", "left_semi")
+        .withColumn("back", F.explode(F.sequence("least", "most")))
+        .select(
+            "text_id",
+            "alone",
+            (F.col("last") - F.col("back")).alias("low"),
+            "shared",
+            "back",
+            F.substring("before", F.col("most") - F.col("back") + 1, F.col("back")).alias("before"),
+            F.substring("after", F.lit(1), F.lit(CELL - 1) - F.col("back")).alias("after"),
+        )
+    )
+    string = ["shared", "back", "before", "after"]
+    twice = strings.groupBy(*string).count().where("count > 1").select(*string)
+    return strings.where("alone").join(twice, string, "left_semi").select("text_id", "low")
 
 
 def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Per row: key, doc_id, n_bytes, n_removed, runs (low, high: bytes, end exclusive), kept_sha256."""
     if min_bytes < 64:
         raise ValueError("strings of 64 bytes at least")
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select(text_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", "text")
-    signed = written(
+    keyed = docs.select(text_key(F.col("text")).alias("key"), "doc_id", "text")
+    signed = (
         keyed.mapInArrow(
             lambda batches: _sign(batches, min_bytes),
-            f"key binary, doc_id {id_type}, n_bytes bigint, whole_sha256 string, blocks {_BLOCKS}",
+            f"key binary, doc_id {id_type}, n_bytes bigint, whole_sha256 string, buckets array<bigint>",
         )
+        .withColumn("row_id", F.monotonically_increasing_id())
     )
+    signed = written(signed)
+    texts = _candidates(keyed, min_bytes, signed, scratch_folder(spark))
 
-    # Blocks whose pointer shares its bucket.
-    pointed = signed.select("key", F.explode("blocks").alias("block"))
-    shared = (
-        pointed.groupBy(F.col("block.bucket").alias("bucket")).count().where("count > 1").select("bucket")
-    )
-    remaining = pointed.join(shared, F.col("block.bucket") == F.col("bucket"), "left_semi")
-    long_texts = (
-        keyed.where(F.octet_length("text") >= min_bytes)
-        .groupBy("key")
-        .agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    )
-    texts = written(_with_text(long_texts, remaining, "block"))
-
-    # Blocks by the content of all their strings.
-    grown = written(
-        texts.mapInArrow(
+    # What the steps in between write is deleted as soon as it has been used.
+    edges = scratch_folder(spark)
+    with cleared_scratch(spark):
+        grown = texts.select("text_id", "packed", "copies", "numbers").mapInArrow(
             lambda batches: _grown(batches, min_bytes),
-            "key binary, copies bigint, bucket bigint, low int, high int, pointer int, content binary",
+            "text_id bigint, copies bigint, number int, bucket bigint, content binary",
         )
-    )
-    contents = written(
-        grown.groupBy("bucket", "content").agg(
-            F.sum("copies").alias("blocks"), F.min(F.struct("key", "low", "high", "pointer")).alias("example")
+        contents = written(
+            grown.groupBy("bucket", "content").agg(
+                F.sum("copies").alias("blocks"), F.min(F.struct("text_id", "number")).alias("example")
+            )
         )
-    )
-    repeated = contents.where("blocks > 1").select("bucket", "content")
-    spans = grown.join(repeated, ["bucket", "content"], "left_semi").select(
-        "key", F.struct("low", (F.col("high") + min_bytes).cast("int").alias("high")).alias("span")
-    )
-
-    # One block of each content, where a bucket holds several contents.
-    several = contents.groupBy("bucket").count().where("count > 1").select("bucket")
-    examples = contents.join(several, "bucket", "left_semi").select(
-        "example.key",
-        F.struct(
-            "example.low", "example.high", "example.pointer", (F.col("blocks") == 1).alias("alone")
-        ).alias("block"),
-    )
-    one_each = texts.select("key", "text")
-    cells = written(
-        _with_text(one_each, examples, "block").mapInArrow(
-            lambda batches: _cells(batches, min_bytes),
-            "key binary, alone boolean, first int, shared binary, strings binary",
+        alone = (
+            contents.where("blocks = 1")
+            .groupBy(F.col("example.text_id").alias("its_id"))
+            .agg(F.collect_list("example.number").alias("alone"), F.array().cast("array<int>").alias("singles"))
+        )
+        singles = (
+            _single_strings(texts, contents, min_bytes)
+            .groupBy(F.col("text_id").alias("its_id"))
+            .agg(F.array().cast("array<int>").alias("alone"), F.collect_set("low").alias("singles"))
+        )
+        alone.unionByName(singles).groupBy("its_id").agg(
+            F.flatten(F.collect_list("alone")).alias("alone"), F.flatten(F.collect_list("singles")).alias("singles")
+        ).write.parquet(edges)
+    edges = spark.read.schema("its_id bigint, alone array<int>, singles array<int>").parquet(edges)
+
+    cut = (
+        texts.join(edges, F.col("text_id") == F.col("its_id"), "left")
+        .select("key", "packed", "copies", "numbers", "alone", "singles")
+        .mapInArrow(
+            lambda batches: _cut_texts(batches, min_bytes),
+            f"its_key binary, n_removed bigint, runs {_RUNS}, kept_sha256 string",
         )
     )
-    still = cells.groupBy("shared").count().where("count > 1").select("shared")
-    place = F.posexplode(
-        F.expr("transform(sequence(0, cast(length(strings) div 16 as int) - 1), i -> substring(strings, 16 * i + 1, 16))")
-    ).alias("place", "string")
-    strings = written(
-        cells.join(still, "shared", "left_semi")
-        .select("key", "alone", "first", place)
-        .select("key", "alone", (F.col("first") + F.col("place")).alias("low"), "string")
-    )
-    twice = strings.groupBy("string").count().where("count > 1").select("string")
-    single = (
-        strings.where("alone")
-        .join(twice, "string", "left_semi")
-        .select("key", F.struct("low", (F.col("low") + min_bytes).cast("int").alias("high")).alias("span"))
-    )
-
-    cut = _with_text(one_each, spans.union(single), "span").mapInArrow(
-        _summed, f"its_key binary, n_removed bigint, runs {_SPANS}, kept_sha256 string"
-    )
-    return signed.join(cut, F.col("key") == F.col("its_key"), "left").select(
+    return signed.drop("buckets").join(cut, F.col("key") == F.col("its_key"), "left").select(
         "key",
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("runs", F.array().cast(_SPANS)).alias("runs"),
+        F.coalesce("runs", F.array().cast(_RUNS)).alias("runs"),
         F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
     )
 
@@ -352,7 +408,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         .select(F.col("key").alias("__cut_key"), F.col("runs").alias("__cut_runs"))
         .dropDuplicates(["__cut_key"])
     )
-    joined = docs.join(runs, text_key(docs["doc_id"], docs["text"]) == F.col("__cut_key"), "left")
+    joined = docs.join(runs, text_key(docs["text"]) == F.col("__cut_key"), "left")
     at, schema = docs.columns.index("text"), docs.schema
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +416,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(
                 [
-                    _cut(_bytes(text), _runs(own)).decode("utf-8", "replace") if own.is_valid else text.as_py()
+                    _cut(_bytes(text), [(r["low"], r["high"]) for r in own.as_py()]).decode("utf-8", "replace") if own.is_valid else text.as_py()
                     for text, own in zip(batch.column(at), batch.columns[-1])
                 ],
                 pa.string(),
