@@ -75,6 +75,11 @@ _UNWANTED = re.compile(
     r"login|paywall|comments?|disqus|replies|reply|respond|responses|share|sharing|social|follow|"
     r"toolbar|skip|hidden)(?:$|[^a-z])"
 )
+# Of these, names that a layout may also give to what is around the article.
+_AROUND = re.compile(
+    r"(?:^|[^a-z])(?:sidebar|side|rail|header|topbar|banner|notice|alert|popup|modal|overlay|paywall|"
+    r"login|subscribe|subscription|follow|toolbar|hidden|widget)(?:$|[^a-z])"
+)
 _WANTED = re.compile(
     r"(?:^|[^a-z])(?:article|content|main|body|entry|post|story|text|page|blog)(?:$|[^a-z])"
 )
@@ -131,13 +136,25 @@ def _is_dropped(tag: str, found: dict[str, str], parent: _Node) -> bool:
 
 
 def _keep_around(node: _Node | None) -> None:
-    """What holds an article or the main element is not left out for its names alone."""
+    """What holds an article or the main element is not left out for the names of a layout alone.
+
+    Comments, menus and the like stay out, and with them articles that lie within.
+    """
+    inside = node
+    while inside is not None:
+        if inside.dropped and not (inside.by_name and _is_layout(inside.names)):
+            return
+        inside = inside.parent
     while node is not None:
-        if node.by_name:
-            node.by_name = node.dropped = False
+        node.by_name = node.dropped = False
         node = node.parent
 
 
+def _is_layout(names: str) -> bool:
+    """Whether the unwanted names are all such as a layout may have."""
+    return not _UNWANTED.search(_AROUND.sub(" ", _NO_MARK.sub(" ", names)))
+
+
 def _within(node: _Node | None, tags: tuple[str, ...]) -> bool:
     while node is not None:
         if node.tag in tags:

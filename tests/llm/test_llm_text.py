@@ -91,6 +91,23 @@ def test_odd_markup(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        # A layout's names around the article, and articles within what is no article.
+        ('<div class="left-sidebar"><article><p>a, b, c</p></article></div>', "a, b, c"),
+        ('<div class="comments"><article><p>no</p></article></div><div><p>yes, and yes</p></div>', "yes, and yes"),
+        ('<article class="comment"><p>no</p></article><article><p>yes, it is</p></article>', "yes, it is"),
+        ('<article><header><h1>T</h1></header><p>x, y</p><aside>no</aside><div id="comments">no</div></article>', "T\nx, y"),
+        ('<article><p>x, y</p><div class="related-posts"><a href=/>no</a></div><footer>no</footer></article>', "x, y"),
+        ('<div role="navigation">no</div><p>x</p><p hidden>no</p><p style="display: none">no</p>', "x"),
+        ('<main><div class="post-header"><h1>T</h1></div><div class="post-body"><p>x, y, z</p></div></main>', "T\nx, y, z"),
+    ],
+)
+def test_names_of_containers(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_long_page():
     body = "".join(f"<p>Paragraph {i}, with a comma.</p>" for i in range(20_000))
     found = html_text.main_text(f"<body><nav>menu</nav><article>{body}</article></body>")
