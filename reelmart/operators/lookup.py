@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reelmart.operators.dims import DIMENSIONS
 from reelmart.operators.skew import HOT_ROWS, ROW, balanced_join, with_hot_keys
 
-# Largest dimension that is sent to every executor, and what a row costs there beside its key text.
+# What all dimensions sent to every executor may take, and what a row costs there beside its key text.
 BROADCAST_BYTES = 64 * 1024 * 1024
 _ROW_BYTES = 64
 
@@ -31,6 +31,16 @@ def dimension_bytes(dims: dict[str, DataFrame]) -> dict[str, int]:
     return {r["name"]: r["bytes"] or 0 for r in reduce(DataFrame.unionAll, sizes).collect()}
 
 
+def broadcastable(sizes: dict[str, int], limit: int) -> set[str]:
+    """The smallest dimensions that together stay within ``limit`` bytes."""
+    chosen, used = set(), 0
+    for name in sorted(sizes, key=lambda n: (sizes[n], n)):
+        used += sizes[name]
+        if used <= limit:
+            chosen.add(name)
+    return chosen
+
+
 def _single_ids(dim: DataFrame, key: str, id_col: str) -> DataFrame:
     return dim.groupBy(F.col(key).alias("_key")).agg(
         F.min(id_col).alias("_id"), F.count("*").alias("_matches")
@@ -42,16 +52,18 @@ def lookup_ids(
     dims: dict[str, DataFrame],
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
+    sizes: dict[str, int] | None = None,
 ) -> DataFrame:
     """``logs`` with one id column per dimension.
 
     A key without a match, or no key at all, gives a NULL id and keeps the row; a key that has two
     ids in its dimension fails the job. ``logs`` and ``dims`` should be tables, as both are read more
-    than once. A dimension is broadcast when its measured size allows it; a larger one is
-    joined by shuffle, with the log rows of hot keys split.
+    than once. Dimensions are broadcast, the smallest first, as far as their measured ``sizes`` (from
+    ``dimension_bytes``) allow it together; larger ones are joined by shuffle, with the log rows of
+    hot keys split.
     """
-    sizes = dimension_bytes(dims)
-    large = [name for name in dims if sizes[name] > broadcast_bytes]
+    small = broadcastable(sizes or dimension_bytes(dims), broadcast_bytes)
+    large = [name for name in dims if name not in small]
     numbered = ROW in logs.columns
     hot = {}
     if large:

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from reelmart.operators.lookup import dimension_bytes, lookup_ids
+from reelmart.operators.lookup import broadcastable, dimension_bytes, lookup_ids
 from reelmart.operators.skew import ROW
 from reelmart.scratch import written
 
@@ -70,3 +70,10 @@ def test_small_dimensions_are_broadcast_and_large_ones_are_not(spark, dims):
             assert "NestedLoop" not in text and "Cartesian" not in text
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_dimensions_share_one_bound():
+    sizes = {"a": 50, "b": 30, "c": 40, "d": 10}
+    assert broadcastable(sizes, 0) == set()
+    assert broadcastable(sizes, 80) == {"d", "b", "c"}
+    assert broadcastable(sizes, 130) == set(sizes)
