@@ -279,7 +279,8 @@ def _candidates(keyed: DataFrame, min_bytes: int, signed: DataFrame, folder: str
     """
     spark = keyed.sparkSession
     pointed = signed.select("row_id", F.posexplode("buckets").alias("number", "bucket"))
-    shared = pointed.groupBy("bucket").count().where("count > 1").select("bucket")
+    # Counts are written before they are joined: only then can a bucket with many rows be split.
+    shared = written(pointed.groupBy("bucket").count().where("count > 1").select("bucket"))
     remaining = (
         pointed.join(shared, "bucket", "left_semi")
         .groupBy("row_id")
@@ -304,7 +305,7 @@ def _candidates(keyed: DataFrame, min_bytes: int, signed: DataFrame, folder: str
 
 def _single_strings(texts: DataFrame, contents: DataFrame, min_bytes: int) -> DataFrame:
     """``(text_id, low)``: strings that repeat within blocks that as a whole do not."""
-    several = contents.groupBy("bucket").count().where("count > 1").select("bucket")
+    several = written(contents.groupBy("bucket").count().where("count > 1").select("bucket"))
     examples = (
         contents.join(several, "bucket", "left_semi")
         .groupBy(F.col("example.text_id").alias("its_id"))
@@ -318,7 +319,7 @@ def _single_strings(texts: DataFrame, contents: DataFrame, min_bytes: int) -> Da
             "text_id bigint, alone boolean, last int, least int, most int, shared binary, before binary, after binary",
         )
     )
-    still = cells.groupBy("shared").count().where("count > 1").select("shared")
+    still = written(cells.groupBy("shared").count().where("count > 1").select("shared"))
     strings = written(
         cells.join(still, "shared", "left_semi")
         .withColumn("back", F.explode(F.sequence("least", "most")))
@@ -333,7 +334,7 @@ def _single_strings(texts: DataFrame, contents: DataFrame, min_bytes: int) -> Da
         )
     )
     string = ["shared", "back", "before", "after"]
-    twice = strings.groupBy(*string).count().where("count > 1").select(*string)
+    twice = written(strings.groupBy(*string).count().where("count > 1").select(*string))
     return strings.where("alone").join(twice, string, "left_semi").select("text_id", "low")
 
 
