@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelmart.scratch import written
 from reelmart.shipping import ship_package
 
 # Fixed values of the formats.
@@ -323,7 +324,8 @@ def first_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     hashed = pages.select(
         F.col("page_id").alias("its_page"), _payload_hash("html").alias("its_hash")
     ).where(F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes)
-    first = (
+    # Written, so that the join can split a payload that many pages have.
+    first = written(
         hashed.groupBy(F.col("its_hash").alias("hash"))
         .agg(F.min("its_page").alias("refers_to"), F.count("*").alias("pages"))
         .where("pages > 1")
