@@ -20,6 +20,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from reelmart.llm.batches import slices
 from reelmart.shipping import ship_package
 
 # A comment, a declaration, a tag, or the text up to the next "<". Attribute values may hold ">".
@@ -369,7 +370,7 @@ def main_text(html: str | None) -> str:
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = [main_text(html.as_py()) for html in batch.column(2)]
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmart.llm.batches import slices
 from reelmart.shipping import ship_package
 
 UNDETERMINED = "und"
@@ -36,7 +37,7 @@ MOST_LANGUAGES = 256
 TEXTS_PER_LANGUAGE = 400
 LONGEST_TEXT = 20_000
 LEARNED_CHARACTERS = 160_000
-MOST_CHARACTERS = 40_000
+MOST_CHARACTERS = 25_000
 MOST_BREAKS = 0.5
 LANE = 256
 # Letters that are parsed side by side.
@@ -63,36 +64,36 @@ def _is_letter() -> np.ndarray:
 
 
 def _automaton(codes: list[int], classes: int) -> np.ndarray:
-    """The transitions of the suffix automaton of ``codes``, -1 where there is none."""
-    size = 2 * len(codes) + 2
-    following = [[-1] * classes]
+    """The transitions of the suffix automaton of ``codes``, 0 where there is none.
+
+    State 0 is the beginning, to which no transition leads back.
+    """
+    following = np.zeros((2 * len(codes) + 2, classes), np.int32)
     link, length = [-1], [0]
     last = 0
     for c in codes:
-        current = len(following)
-        following.append([-1] * classes)
+        current = len(length)
         length.append(length[last] + 1)
         link.append(0)
         state = last
-        while state != -1 and following[state][c] == -1:
-            following[state][c] = current
+        while state != -1 and following[state, c] == 0:
+            following[state, c] = current
             state = link[state]
         if state != -1:
-            target = following[state][c]
+            target = int(following[state, c])
             if length[state] + 1 == length[target]:
                 link[current] = target
             else:
-                copy = len(following)
-                following.append(following[target][:])
+                copy = len(length)
+                following[copy] = following[target]
                 length.append(length[state] + 1)
                 link.append(link[target])
-                while state != -1 and following[state][c] == target:
-                    following[state][c] = copy
+                while state != -1 and following[state, c] == target:
+                    following[state, c] = copy
                     state = link[state]
                 link[target] = link[current] = copy
         last = current
-    assert len(following) <= size
-    return np.array(following, dtype=np.int32)
+    return following[: len(length)].copy()
 
 
 class LanguageModel:
@@ -111,9 +112,7 @@ class LanguageModel:
         self.width = len(used) + 1
         self.automata = []
         for language in self.languages:
-            following = _automaton(self.classes[texts[language]].tolist(), self.width)
-            # State 0 is the beginning, and no transition leads back to it: it stands for none.
-            self.automata.append(np.where(following < 0, 0, following).ravel())
+            self.automata.append(_automaton(self.classes[texts[language]].tolist(), self.width).ravel())
 
     def _phrases(self, lanes: np.ndarray, used: np.ndarray) -> np.ndarray:
         """Phrases per lane and language; ``lanes`` holds classes by step, ``used`` lengths."""
@@ -191,7 +190,7 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _model(learned: tuple[tuple[str, tuple[str, ...]], ...]) -> LanguageModel:
     """One model per worker process, built from the labelled texts themselves."""
     return LanguageModel({language: list(texts) for language, texts in learned})
@@ -261,7 +260,7 @@ def predict_languages(docs: DataFrame, labelled: DataFrame) -> DataFrame:
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(learned)
-        for batch in batches:
+        for batch in slices(batches):
             found = model.predict(batch.column(1).to_pylist())
             languages, scores, rates = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -292,7 +291,7 @@ def keep_identified(docs: DataFrame, labelled: DataFrame, most_breaks: float = M
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(learned)
-        for batch in batches:
+        for batch in slices(batches):
             found = model.predict(batch.column(at).to_pylist())
             yield batch.filter(
                 pa.array([x != UNDETERMINED and rate <= most_breaks for x, _, rate in found], pa.bool_())

@@ -12,9 +12,9 @@ more; linked documents form components. The steps:
 3. **Skip merging.** In each posting list the class with the most shared values is the centre, and
    every other member is compared with it: matches are counted on the signatures, pairs above the
    threshold are confirmed on the full sets, and links are contracted to components. Then only
-   lists that still hold different components are merged, and only pairs across components are
-   compared. Pairs within a component can add nothing, so a large group of copies costs its size, not
-   its square.
+   lists that still hold different components are merged, and in these only the members outside the
+   main component are compared with the others. Pairs within a component can add nothing, so a large
+   group of copies costs its size, not its square.
 4. **Bitmaps.** The join of two postings also compares bitmaps in which every shingle flips one of
    ``BITS`` bits. Sets differ in as many shingles at least as their bitmaps in bits, so pairs that
    cannot be similar are never emitted, and no link is lost.
@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelmart.llm.batches import slices
 from reelmart.scratch import written
 from reelmart.shipping import ship_package
 
@@ -50,7 +51,7 @@ BITS = 1024
 SIMILAR_PERCENT = 75
 
 # Words whose hashes a worker remembers, and shingles that are hashed together.
-_WORDS_KNOWN = 500_000
+_WORDS_KNOWN = 100_000
 _TOGETHER = 1 << 15
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,30 +118,29 @@ def may_be_similar(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column) ->
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, keys, signatures, bitmaps = [], [], [], []
-        for text in batch.column(1):
+    for batch in slices(batches):
+        sizes, keys = [], []
+        values = np.zeros((batch.num_rows, COORDINATES), np.int64)
+        bits = np.zeros((batch.num_rows, BITS // 64), np.int64)
+        for i, text in enumerate(batch.column(1)):
             hashes = shingle_hashes(text.as_py())
             sizes.append(len(hashes))
             keys.append(blake2b(hashes.tobytes(), digest_size=16).digest())
-            signatures.append(signature(hashes).tolist() if len(hashes) else None)
-            bitmaps.append(bitmap(hashes))
-        # As signed values, since Spark has no unsigned type.
-        values = pa.array(signatures, pa.list_(pa.uint32())).cast(pa.list_(pa.int64()))
+            values[i] = signature(hashes)
+            bits[i] = bitmap(hashes)
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(sizes, pa.int64()),
-                pa.array(keys, pa.binary()),
-                values,
-                pa.array(bitmaps, pa.list_(pa.int64())),
-            ],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(values), _lists(bits)],
             names=["doc_id", "n_shingles", "set_key", "signature", "bitmap"],
         )
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_key (equal for equal sets), signature (NULL if empty), bitmap."""
+    """Per row: doc_id, n_shingles, set_key (equal for equal sets), signature and bitmap."""
     ship_package(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
@@ -179,13 +179,6 @@ def posting_lists(classes: DataFrame) -> DataFrame:
     )
 
 
-def _count_matches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (c.flatten().to_numpy().reshape(-1, COORDINATES) for c in batch.columns[2:4])
-        pairs = pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"])
-        yield pairs.filter(pa.array((a == b).sum(axis=1) >= MATCHES))
-
-
 def _of_pair(side: str, column: str, values: DataFrame) -> DataFrame:
     return values.select(F.col("member").alias(side), F.col(column).alias(f"{column}_{side}"))
 
@@ -195,29 +188,22 @@ def _with_matches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     both = pairs.join(_of_pair("a", "signature", classes), "a").join(
         _of_pair("b", "signature", classes), "b"
     )
-    id_type = classes.schema["member"].dataType.simpleString()
-    return both.select("a", "b", "signature_a", "signature_b").mapInArrow(
-        _count_matches, f"a {id_type}, b {id_type}"
+    matches = F.aggregate(
+        F.zip_with("signature_a", "signature_b", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x
     )
+    return both.where(matches >= MATCHES).select("a", "b")
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = pa.array([shingle_hashes(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
+    for batch in slices(batches):
+        found = [shingle_hashes(text.as_py()).view(np.int64) for text in batch.column(1)]
+        ends = np.cumsum([0, *map(len, found)])
+        sets = pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found]))
+        )
         yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["member", "hashes"])
 
 
-def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        linked = []
-        for a, b in zip(batch.column(2), batch.column(3)):
-            one, other = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-            common = len(np.intersect1d(one, other, assume_unique=True))
-            linked.append(100 * common >= SIMILAR_PERCENT * (len(one) + len(other) - common))
-        kept = pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"])
-        yield kept.filter(pa.array(linked, pa.bool_()))
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs that are linked by their full sets; ``texts`` has member and text."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
@@ -225,12 +211,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sets = written(
         texts.join(needed, "member", "left_semi")
         .select("member", "text")
-        .mapInArrow(_sets, f"member {id_type}, hashes binary")
+        .mapInArrow(_sets, f"member {id_type}, hashes array<bigint>")
     )
     both = pairs.join(_of_pair("a", "hashes", sets), "a").join(_of_pair("b", "hashes", sets), "b")
-    return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(
-        _confirm, f"a {id_type}, b {id_type}"
-    )
+    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    together = F.size("hashes_a") + F.size("hashes_b") - common
+    return both.where(common * 100 >= together * SIMILAR_PERCENT).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -286,6 +272,42 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def pairs_across(postings: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of one list and different components that may be similar.
+
+    ``postings`` are ``posting_lists`` with the component of each member. In each list the members of
+    its main component are met by those of the others only, so a list costs its size times the number
+    of members outside the main component.
+    """
+    posting = ["coordinate", "value"]
+    main = written(
+        postings.groupBy(*posting, "component")
+        .count()
+        .groupBy(*posting)
+        .agg(
+            F.max_by("component", F.struct("count", "component")).alias("main"),
+            F.count("*").alias("components"),
+        )
+        .where("components > 1")
+        .select(*posting, "main")
+    )
+    mixed = written(postings.join(main, posting))
+
+    def side(name: str) -> DataFrame:
+        columns = {"member": name, "component": f"of_{name}", "n": f"n_{name}", "bits": f"bits_{name}"}
+        return mixed.select(*posting, "main", *(F.col(c).alias(to) for c, to in columns.items()))
+
+    similar = may_be_similar(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"))
+    return (
+        side("a")
+        .where("of_a <> main")
+        .join(side("b").drop("main"), posting)
+        .where(F.expr("of_a <> of_b AND (of_b = main OR a < b)") & similar)
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and kept (it is its component's smallest)."""
     signed = written(signatures(docs))
@@ -302,8 +324,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("member"), "text")
     lists = written(posting_lists(single))
 
-    centres = lists.groupBy("coordinate", "value").agg(
-        F.max_by(F.struct("member", "n", "bits"), F.struct("weight", "member")).alias("centre")
+    # Written, as are the main components below, so that the join can split a list of many members.
+    centres = written(
+        lists.groupBy("coordinate", "value").agg(
+            F.max_by(F.struct("member", "n", "bits"), F.struct("weight", "member")).alias("centre")
+        )
     )
     to_centre = (
         lists.join(centres, ["coordinate", "value"])
@@ -318,27 +343,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(_confirmed(near, texts))
 
     found = written(components(links))
-    labelled = _labelled(lists, found)
-    mixed = (
-        labelled.groupBy("coordinate", "value")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high")
-        .select("coordinate", "value")
-    )
-    rest = written(labelled.join(mixed, ["coordinate", "value"]))
-
-    def side(name: str) -> DataFrame:
-        columns = {"member": name, "component": f"of_{name}", "n": f"n_{name}", "bits": f"bits_{name}"}
-        return rest.select("coordinate", "value", *(F.col(c).alias(to) for c, to in columns.items()))
-
-    similar = may_be_similar(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"))
-    across = (
-        side("a")
-        .join(side("b"), ["coordinate", "value"])
-        .where(F.expr("a < b AND of_a <> of_b") & similar)
-        .select("a", "b")
-        .distinct()
-    )
+    across = pairs_across(_labelled(lists, found))
     more = written(_with_matches(across, single))
     links = links.union(_confirmed(more, texts))
     found = written(components(links))

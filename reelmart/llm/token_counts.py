@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelmart.llm.batches import slices
 from reelmart.shipping import ship_package
 
 # Fixed value: the pattern of the byte-level pre-tokenizer.
@@ -197,7 +198,7 @@ def token_counts(
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             totals = counter.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(totals, pa.int64()), batch.column(2)],
