@@ -11,6 +11,12 @@ the smallest hashes of their doc_id are taken, ``TEXTS_PER_LANGUAGE`` of them at
 ``LANE`` letters that are parsed side by side, so that numpy makes one step of all lanes at once; a
 phrase ends at the end of a lane, for every language alike.
 
+What is in none of the learned languages is told by its break rate, the share of letters at which phrases
+break off. Scripts and learned sizes differ in it, so each language has its own cut: up to ``HELD_TEXTS``
+labelled texts that were not learned are parsed against it, and the cut lies a margin above the
+``HELD_QUANTILE`` of their rates. A language that has no text to spare is cut by parts of its learned
+texts against the others. Short texts have an allowance of one over the root of their letters.
+
 Letters are compared in lower case, other characters as one blank. What no learned text holds is one
 class of its own, on which each phrase ends.
 
@@ -21,6 +27,7 @@ are predicted each for itself; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -38,7 +45,12 @@ TEXTS_PER_LANGUAGE = 400
 LONGEST_TEXT = 20_000
 LEARNED_CHARACTERS = 160_000
 MOST_CHARACTERS = 25_000
-MOST_BREAKS = 0.5
+# Labelled texts per language that cuts are taken from, and the characters of each.
+HELD_TEXTS = 100
+HELD_CHARACTERS = 2_000
+HELD_QUANTILE = 0.99
+# Of the way from the quantile to 1.
+MARGIN = 0.15
 LANE = 256
 # Letters that are parsed side by side.
 TOGETHER = 1 << 21
@@ -165,14 +177,14 @@ class LanguageModel:
         settle()
         return total, length
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """``(language, score, break rate)`` of each text.
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, int]]:
+        """``(language, score, break rate, letters)`` of each text.
 
         The score is the share of phrases that the winner saves against the next language, the break
         rate the share of letters at which its phrases break off.
         """
         readable = [i for i, t in enumerate(texts) if t and _has_letter(t)]
-        found = [(UNDETERMINED, 0.0, 1.0)] * len(texts)
+        found = [(UNDETERMINED, 0.0, 1.0, 0)] * len(texts)
         if not self.languages or not readable:
             return found
         phrases, length = self.measure([texts[i] for i in readable])
@@ -181,11 +193,20 @@ class LanguageModel:
             best = phrases[place, order[place, 0]]
             second = phrases[place, order[place, 1]] if len(self.languages) > 1 else length[place] + 1
             score = max(0.0, min(1.0, 1 - best / second))
-            breaks = (best - -(-length[place] // LANE)) / length[place]
-            found[i] = (self.languages[order[place, 0]], float(score), float(breaks))
+            breaks = _break_rate(best, length[place])
+            found[i] = (self.languages[order[place, 0]], float(score), float(breaks), int(length[place]))
         return found
 
 
+def _break_rate(phrases, length):
+    """Phrases that break off, per letter; the last one of each lane ends with it."""
+    return (phrases - -(-length // LANE)) / length
+
+
+def _allowance(length):
+    return 1 / np.sqrt(length)
+
+
 def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -201,7 +222,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learned_texts(labelled: DataFrame) -> dict[str, list[str]]:
-    """The bounded sample of ``labelled`` (doc_id, text, lang) that is learned from.
+    """The bounded sample of ``labelled`` (doc_id, text, lang) that is learned from."""
+    return _drawn_texts(labelled, 0)[0]
+
+
+def _drawn_texts(labelled: DataFrame, held_texts: int) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """The texts to learn, and beginnings of the next ``held_texts`` texts of each language.
 
     Texts are drawn by the hash of their doc_id. The choice is made on ids and lengths; only texts
     that are chosen come to the driver.
@@ -213,7 +239,7 @@ def learned_texts(labelled: DataFrame) -> dict[str, list[str]]:
     counts = {row[0]: row[1] for row in counts.collect()}
     languages = list(counts)
     if not languages:
-        return {}
+        return {}, {}
     # A first draw of some more texts than are wanted, so that none of the steps below grows with the
     # number of texts of a language.
     shares = F.create_map(
@@ -227,27 +253,64 @@ def learned_texts(labelled: DataFrame) -> dict[str, list[str]]:
         usable.where(F.col("lang").isin(languages) & first_draw)
         .select("lang", "doc_id", "size")
         .withColumn("place", F.row_number().over(drawn))
-        .where(F.col("place") <= TEXTS_PER_LANGUAGE)
+        .where(F.col("place") <= TEXTS_PER_LANGUAGE + held_texts)
         .withColumn("before", F.coalesce(F.sum("size").over(so_far), F.lit(0)))
-        .where(F.col("before") < share)
-        .select(F.col("lang").alias("its_lang"), F.col("doc_id").alias("its_id"))
-        .distinct()
+        .withColumn("learn", (F.col("before") < share) & (F.col("place") <= TEXTS_PER_LANGUAGE))
+        .withColumn("last", F.max(F.when(F.col("learn"), F.col("place"))).over(Window.partitionBy("lang")))
+        .where(F.col("place") <= F.col("last") + held_texts)
+        # Rows that repeat a doc_id are learned together.
+        .groupBy(F.col("lang").alias("its_lang"), F.col("doc_id").alias("its_id"))
+        .agg(F.max("learn").alias("learn"))
     )
-    # At most TEXTS_PER_LANGUAGE short rows per language.
+    # At most TEXTS_PER_LANGUAGE + held_texts short rows per language.
     rows = (
         usable.join(
             F.broadcast(chosen),
             (F.col("lang") == F.col("its_lang")) & F.col("doc_id").eqNullSafe(F.col("its_id")),
         )
-        .select("lang", "doc_id", "text")
+        .select(
+            "lang",
+            "doc_id",
+            F.when(F.col("learn"), F.col("text")).otherwise(F.substring("text", 1, HELD_CHARACTERS)).alias("text"),
+            "learn",
+        )
         .distinct()
         .collect()
     )
     # The most frequent language first: it wins ties.
     learned: dict[str, list[str]] = {language: [] for language in languages}
+    held: dict[str, list[str]] = {language: [] for language in languages}
     for row in sorted(rows, key=lambda r: (r.lang, r.doc_id is None, r.doc_id, r.text)):
-        learned[row.lang].append(row.text)
-    return learned
+        (learned if row.learn else held)[row.lang].append(row.text)
+    return learned, held
+
+
+def _parted(texts: list[str]) -> tuple[list[str], list[str]]:
+    """Four fifths of the learned texts of a language, and the others; of a single text, of its letters."""
+    if len(texts) > 1:
+        return [t for i, t in enumerate(texts) if i % 5], [t[:HELD_CHARACTERS] for t in texts[::5]]
+    at = len(texts[0]) * 4 // 5
+    return [texts[0][:at]], [texts[0][at:][:HELD_CHARACTERS]]
+
+
+def break_cuts(learned: dict[str, list[str]], held: dict[str, list[str]]) -> dict[str, float]:
+    """The highest break rate, less the allowance, that a text of each language may have."""
+    cuts = {}
+    for language, texts in learned.items():
+        own, apart = texts, [t for t in held.get(language, ()) if _has_letter(t)]
+        if not apart:
+            own, apart = _parted(texts)
+            apart = [t for t in apart if _has_letter(t)]
+        if not apart:
+            cuts[language] = 1.0
+            continue
+        phrases, length = LanguageModel({language: own}).measure(apart)
+        rates = np.sort(_break_rate(phrases[:, 0], length) - _allowance(length))
+        high = max(0.0, float(rates[math.ceil(HELD_QUANTILE * len(rates)) - 1]))
+        # The highest of few texts is passed by the next one once in as many and one.
+        margin = min(1.0, MARGIN + 0.5 / (len(rates) + 1))
+        cuts[language] = high + margin * (1 - high)
+    return cuts
 
 
 def predict_languages(docs: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -262,7 +325,7 @@ def predict_languages(docs: DataFrame, labelled: DataFrame) -> DataFrame:
         model = _model(learned)
         for batch in slices(batches):
             found = model.predict(batch.column(1).to_pylist())
-            languages, scores, rates = zip(*found) if found else ((), (), ())
+            languages, scores, rates, _ = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -279,14 +342,16 @@ def predict_languages(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, labelled: DataFrame, most_breaks: float = MOST_BREAKS) -> DataFrame:
+def keep_identified(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """``docs`` without texts that are undetermined or in none of the learned languages.
 
-    A text is in none of them if phrases of the best one break off at more than ``most_breaks`` of its
-    letters. All columns and all other rows are kept as they are, in one pass.
+    A text is in none of them if its break rate lies above the cut of the best one by more than its
+    allowance. All columns and all other rows are kept as they are, in one pass.
     """
     ship_package(docs.sparkSession)
-    learned = tuple((language, tuple(texts)) for language, texts in learned_texts(labelled).items())
+    texts, held = _drawn_texts(labelled, HELD_TEXTS)
+    cuts = break_cuts(texts, held)
+    learned = tuple((language, tuple(own)) for language, own in texts.items())
     at, schema = docs.columns.index("text"), docs.schema
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +359,7 @@ def keep_identified(docs: DataFrame, labelled: DataFrame, most_breaks: float = M
         for batch in slices(batches):
             found = model.predict(batch.column(at).to_pylist())
             yield batch.filter(
-                pa.array([x != UNDETERMINED and rate <= most_breaks for x, _, rate in found], pa.bool_())
+                pa.array([x != UNDETERMINED and r - _allowance(n) <= cuts[x] for x, _, r, n in found], pa.bool_())
             )
 
     return docs.mapInArrow(keep, schema)

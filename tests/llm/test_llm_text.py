@@ -184,3 +184,44 @@ def test_held_out_accuracy(spark):
     truth = docs.select("doc_id", "lang").toPandas()
     both = found.merge(truth, on="doc_id")
     assert len(both) > 300 and (both.lang == both.lang_pred).mean() > 0.98
+
+
+def _language(draw, letters, number=400, longest=6):
+    """A maker of texts in an invented language: words drawn by rank from a vocabulary of its own."""
+    vocabulary = ["".join(draw.choices(letters, k=draw.randint(1, longest))) for _ in range(number)]
+    weights = [1 / (i + 3) for i in range(number)]
+    return lambda n, gap=" ": gap.join(draw.choices(vocabulary, weights, k=n))
+
+
+def test_cuts_follow_script_and_learned_size(spark, monkeypatch):
+    draw = random.Random(8)
+    logographic = _language(draw, [chr(0x4E00 + i) for i in range(1_200)], 6_000, 2)
+    alphabetic = _language(draw, "aaeeiionrtslmd")
+    foreign = _language(draw, "aaeeiionrtslmd")
+    rows = [(i, logographic(60, ""), "zh", "s", 0) for i in range(400)]
+    rows += [(1_000 + i, alphabetic(60), "aa", "s", 0) for i in range(300)]
+    labelled = documents(spark, rows)
+    unlabelled = documents(spark, [(2_000 + i, foreign(200), None, "s", 0) for i in range(50)])
+    monkeypatch.setattr(language_id, "MOST_CHARACTERS", 15_000)
+    rates = language_id.predict_languages(labelled, labelled).where("lang_pred = 'zh' AND break_rate > 0.5")
+    assert rates.count() > 20
+    kept = language_id.keep_identified(labelled.union(unlabelled), labelled).toPandas().lang
+    assert (kept == "zh").sum() >= 396 and (kept == "aa").sum() >= 297
+    assert kept.isna().sum() == 0
+
+
+def test_cuts_of_many_languages(spark, monkeypatch):
+    draw = random.Random(9)
+    makers = [_language(draw, draw.sample("abcdefghijklmnopqrstuvwxyz", 20), 1_500) for _ in range(32)]
+    rows = [(100 * k + i, make(40), f"l{k}", "s", 0) for k, make in enumerate(makers) for i in range(30)]
+    docs = documents(spark, rows)
+    monkeypatch.setattr(language_id, "LEARNED_CHARACTERS", 32 * 300)
+    before = language_id.predict_languages(docs, docs).where("break_rate > 0.5").count()
+    assert before > len(rows) / 20
+    assert language_id.keep_identified(docs, docs).count() > 0.98 * len(rows)
+
+
+def test_cut_without_texts_to_spare():
+    text = words(random.Random(10), 200)
+    cuts = language_id.break_cuts({"aa": [text], "bb": ["12", "34"]}, {"aa": [], "bb": []})
+    assert 0 < cuts["aa"] < 1 and cuts["bb"] == 1
