@@ -4,7 +4,9 @@ The page becomes a tree of its elements. Each block of text passes points, for i
 commas, to its parent and half of them to its grandparent; the points of a container are discounted
 by its share of link text. The best container is kept, with those siblings that score well themselves
 or are running text. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are taken out of the tree before; text lies in blocks, one line each.
+reader comments are taken out of the tree before; text lies in blocks, one line each. Headings, paragraphs and
+cells are never taken out by their names, ids count as whole known names only, and blocks whose names
+merely hold an unwanted word come back where they lie in the article and are not full of links.
 
 Defined results: NULL and empty pages, and pages without text, give an empty text; markup that is not
 closed or not opened is read as browsers do; a page without markup is one block; NULL page_id and url
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -93,6 +96,21 @@ _UNWANTED_ROLES = frozenset(
     "toolbar tooltip".split()
 )
 
+# Of the unwanted words, those that also occur in the names of parts of an article. A name of other words
+# is sure if all of its parts are unwanted or say where and how a block lies.
+_UNSURE = frozenset(
+    "sponsor promotion side rail related recommended recommendations header foot legal consent notice alert "
+    "social follow skip".split()
+)
+_LAYOUT = frozenset(
+    "left right top bottom site page main global primary secondary section area list box container wrapper "
+    "wrap block bar link links button buttons form post posts item inner outer content slot unit group".split()
+)
+# What is never left out by its names, as long as it is shown.
+_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p td th".split())
+# Share of links from which a block is left out that has an unsure name.
+NAMED_LINKS = 0.3
+
 # Elements that hold paragraphs, so that text directly within them counts for themselves.
 _CONTAINERS = frozenset("article body div html main section".split())
 
@@ -101,7 +119,7 @@ _SPACE = re.compile(r"[\s\x00]+")
 
 class _Node:
     __slots__ = (
-        "tag", "parent", "children", "names", "score", "text_length", "link_length", "dropped", "by_name",
+        "tag", "parent", "children", "names", "score", "text_length", "link_length", "dropped", "by_name", "unsure",
     )
 
     def __init__(self, tag: str, parent: _Node | None, names: str = ""):
@@ -109,7 +127,7 @@ class _Node:
         self.parent = parent
         self.children: list[_Node | str] = []
         self.names = names
-        self.dropped = self.by_name = False
+        self.dropped = self.by_name = self.unsure = False
         self.score = 0.0
         self.text_length = self.link_length = 0
 
@@ -136,6 +154,28 @@ def _is_dropped(tag: str, found: dict[str, str], parent: _Node) -> bool:
     return tag == "header" and not _within(parent, ("article", "main"))
 
 
+def _parted(name: str) -> str:
+    # Names are read in parts: camel case and digits separate them as well.
+    return re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name).lower()
+
+
+@lru_cache(maxsize=1 << 14)
+def _mark(name: str, whole: bool) -> int:
+    """2 if one name of a class or id marks what is no article, 1 if it may, 0 if not.
+
+    Ids are slugs of headings as well, so they count as ``whole`` known names only.
+    """
+    name = _NO_MARK.sub(" ", _parted(name))
+    if not _UNWANTED.search(name):
+        return 0
+    parts = re.findall("[a-z]+", name)
+    unwanted = {x for x in parts if _UNWANTED.search(x)}
+    known = all(x in unwanted or x in _LAYOUT for x in parts)
+    if known and unwanted - _UNSURE:
+        return 2
+    return 1 if known or not whole else 0
+
+
 def _keep_around(node: _Node | None) -> None:
     """What holds an article or the main element is not left out for the names of a layout alone.
 
@@ -187,13 +227,14 @@ def parse(html: str) -> _Node:
             continue
         node = _close_implied(node, tag)
         found = _attributes(source) if source.strip() else {}
-        names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-        # Names are read in parts: camel case and digits separate them as well.
-        names = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", names).lower()
-        child = _Node(tag, node, names)
+        classes, own_id = found.get("class", ""), found.get("id", "").strip()
+        names = f"{classes} {own_id}".strip()
+        child = _Node(tag, node, _parted(names))
         child.dropped = bool(found or tag in _NEVER or tag == "header") and _is_dropped(tag, found, node)
         if names and not child.dropped and tag not in ("html", "body", "main"):
-            child.dropped = child.by_name = bool(_UNWANTED.search(_NO_MARK.sub(" ", names)))
+            mark = max([_mark(own_id, True), *(_mark(name, False) for name in classes.split())])
+            child.by_name, child.unsure = mark > 0, mark == 1
+            child.dropped = mark > 0 and (tag not in _TEXT or "hidden" in classes.split())
         if tag in ("article", "main") and not child.dropped:
             _keep_around(node)
         node.children.append(child)
@@ -245,8 +286,11 @@ def _clean(text: str) -> str:
     return _SPACE.sub(" ", unescape(text)).strip()
 
 
-def _blocks(node: _Node) -> Iterator[tuple[_Node, str, int]]:
-    """``(element, text, letters in links)`` of each block of text, in page order."""
+def _blocks(node: _Node, unsure: bool = False) -> Iterator[tuple[_Node, str, int]]:
+    """``(element, text, letters in links)`` of each block of text, in page order.
+
+    With ``unsure`` also of what is left out for an unsure name.
+    """
     parts: list[str] = []
     state = {"owner": node, "links": 0}
 
@@ -272,7 +316,7 @@ def _blocks(node: _Node) -> Iterator[tuple[_Node, str, int]]:
                 continue
             if child.tag in _BLOCK:
                 yield from flush()
-            if child.dropped:
+            if child.dropped and not (unsure and child.unsure):
                 continue
             if child.tag in _VOID:
                 if child.tag in ("br", "hr") and parts:
@@ -296,12 +340,33 @@ def _link_density(node: _Node) -> float:
     return node.link_length / node.text_length if node.text_length else 0.0
 
 
+def _restore(node: _Node) -> bool:
+    """Takes back what was left out within ``node`` for an unsure name alone and has few links."""
+    restored = False
+    open_nodes = [node]
+    while open_nodes:
+        for child in open_nodes.pop().children:
+            if isinstance(child, str):
+                continue
+            if child.dropped:
+                if not child.unsure:
+                    continue
+                sizes = [(len(text), links) for _, text, links in _blocks(child, True)]
+                if sum(links for _, links in sizes) >= NAMED_LINKS * sum(size for size, _ in sizes):
+                    continue
+                child.dropped, restored = False, True
+            open_nodes.append(child)
+    return restored
+
+
 def main_text(html: str | None) -> str:
     """The lines of the article of a page."""
     if not html:
         return ""
     root = parse(html)
     blocks = list(_blocks(root))
+    if not blocks and _restore(root):
+        blocks = list(_blocks(root))
     scored: dict[int, _Node] = {}
     for owner, text, links in blocks:
         node: _Node | None = owner
@@ -309,7 +374,8 @@ def main_text(html: str | None) -> str:
             node.text_length += len(text)
             node.link_length += links
             node = node.parent
-        points = _points(text) * (1 - links / len(text))
+        # Text with the name of what is no article does not tell where the article is.
+        points = 0.0 if owner.by_name else _points(text) * (1 - links / len(text))
         # Points go to the container of a paragraph, half of them to the one around it.
         container = owner if owner.tag in _CONTAINERS or owner.parent is None else owner.parent
         for share in (1.0, 0.5):
@@ -336,11 +402,13 @@ def main_text(html: str | None) -> str:
         around = around.parent
     best = around or best
     kept = {id(best)}
+    nodes = {id(best): best}
     if best.parent is not None:
         bound = max(10.0, best.score * (1 - _link_density(best)) * 0.2)
         for sibling in best.parent.children:
-            if isinstance(sibling, str) or sibling is best or sibling.dropped:
+            if isinstance(sibling, str) or sibling is best or sibling.dropped or sibling.by_name:
                 continue
+            nodes[id(sibling)] = sibling
             density = _link_density(sibling)
             good = sibling.score * (1 - density)
             if sibling.names and sibling.names == best.names:
@@ -351,6 +419,9 @@ def main_text(html: str | None) -> str:
             if (id(sibling) in scored and good >= bound) or running:
                 kept.add(id(sibling))
 
+    if any([_restore(nodes[i]) for i in kept]):
+        blocks = list(_blocks(root))
+
     def is_kept(node: _Node | None) -> bool:
         while node is not None:
             if id(node) in kept:

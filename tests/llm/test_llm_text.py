@@ -108,6 +108,30 @@ def test_names_of_containers(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ('<h2 id="social-impact">Impact</h2>', "Impact"),
+        ('<h2 class="header">Head</h2><p class="notice">note</p>', "Head\nnote"),
+        ('<section id="legal-status"><h2>Legal</h2><p>It is.</p></section>', "Legal\nIt is."),
+        ('<section id="side-effects"><p>None, so far.</p></section>', "None, so far."),
+        ('<div class="related-work"><p>Others, before.</p></div>', "Others, before."),
+        ('<div class="alert-levels"><div class="immune-responses"><p>Low, high.</p></div></div>', "Low, high."),
+        ('<table><tr><td class="menu">soup<td id="share">half</table>', "soup\nhalf"),
+        ('<section id="comments"><p>no</p></section><div class="cookie-notice">no</div>', ""),
+        ('<div class="social"><a href=/>no</a></div><div class="related">See <a href=/>no no</a></div>', ""),
+        ('<p class="hidden">no</p><div class="ad-slot">no</div><div id="left-sidebar">no</div>', ""),
+    ],
+)
+def test_names_within_the_article(inner, text):
+    page = f"<body><article><p>First, of all.</p>{inner}</article><p class='legal'>{'no, ' * 40}</p></body>"
+    assert html_text.main_text(page) == f"First, of all.\n{text}".strip()
+
+
+def test_named_block_is_all_of_the_page():
+    assert html_text.main_text('<body><div class="legal-status"><p>a, b</p></div></body>') == "a, b"
+
+
 def test_long_page():
     body = "".join(f"<p>Paragraph {i}, with a comma.</p>" for i in range(20_000))
     found = html_text.main_text(f"<body><nav>menu</nav><article>{body}</article></body>")
