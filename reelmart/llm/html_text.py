@@ -2,8 +2,8 @@
 
 The page becomes a tree of its elements. Each block of text passes points, for its length and its
 commas, to its parent and half of them to its grandparent; the points of a container are discounted
-by its share of link text. The best container is kept, with those siblings that score well themselves
-or are running text. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+by its share of link text. The best container is kept, or the article or main element around it, and
+beside it, up to the body, all running text that is not mostly links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are taken out of the tree before; text lies in blocks, one line each. Headings, paragraphs and
 cells are never taken out by their names, ids count as whole known names only, and blocks whose names
 merely hold an unwanted word come back where they lie in the article and are not full of links.
@@ -114,6 +114,14 @@ NAMED_LINKS = 0.3
 # Elements that hold paragraphs, so that text directly within them counts for themselves.
 _CONTAINERS = frozenset("article body div html main section".split())
 
+# Elements that an article puts its text into.
+_HOLDS_TEXT = frozenset(
+    "h1 h2 h3 h4 h5 h6 p pre blockquote li dt dd td th caption figcaption summary".split()
+)
+_ENDS_SENTENCE = re.compile(r"""[.!?…。！？]["'”’»)\]]*$""")
+# Share of links from which a block beside the article is no running text.
+LINK_HEAVY = 0.5
+
 _SPACE = re.compile(r"[\s\x00]+")
 
 
@@ -359,6 +367,18 @@ def _restore(node: _Node) -> bool:
     return restored
 
 
+def _running_text(blocks: list[tuple[_Node, str, int]]) -> set[int]:
+    """The elements that hold text of an article: in elements for text, or sentences."""
+    found: set[int] = set()
+    for owner, text, _ in blocks:
+        if not owner.by_name and (owner.tag in _HOLDS_TEXT or _ENDS_SENTENCE.search(text)):
+            node: _Node | None = owner
+            while node is not None and id(node) not in found:
+                found.add(id(node))
+                node = node.parent
+    return found
+
+
 def main_text(html: str | None) -> str:
     """The lines of the article of a page."""
     if not html:
@@ -396,29 +416,34 @@ def main_text(html: str | None) -> str:
     best = max(
         scored.values(), key=lambda n: n.score * (1 - _link_density(n)), default=root
     )
-    # An article is kept as a whole when its best container lies within it.
-    around: _Node | None = best
-    while around is not None and around.tag != "article":
-        around = around.parent
-    best = around or best
+    # An article, or the main element, is kept as a whole when its best container lies within it.
+    whole: _Node | None = best
+    while whole is not None and whole.tag != "article":
+        whole = whole.parent
+    if whole is None:
+        whole = best
+        while whole is not None and whole.tag != "main":
+            whole = whole.parent
+    best = whole or best
     kept = {id(best)}
     nodes = {id(best): best}
-    if best.parent is not None:
-        bound = max(10.0, best.score * (1 - _link_density(best)) * 0.2)
-        for sibling in best.parent.children:
-            if isinstance(sibling, str) or sibling is best or sibling.dropped or sibling.by_name:
+    # Elements whose own text is kept, without that of the elements within them.
+    partly = set()
+    running = _running_text(blocks)
+    # Beside the article, or beside all that holds the best container up to the body, running text stays.
+    node = best
+    while node.parent is not None:
+        around = node.parent
+        partly.add(id(around))
+        for sibling in around.children:
+            if isinstance(sibling, str) or sibling is node or sibling.dropped or sibling.by_name:
                 continue
-            nodes[id(sibling)] = sibling
-            density = _link_density(sibling)
-            good = sibling.score * (1 - density)
-            if sibling.names and sibling.names == best.names:
-                good += 0.2 * best.score
-            running = sibling.tag in ("p", "pre", "blockquote", "h1", "h2") and density < 0.25 and (
-                sibling.text_length > 80 or sibling.tag in ("h1", "h2")
-            )
-            if (id(sibling) in scored and good >= bound) or running:
+            if id(sibling) in running and _link_density(sibling) < LINK_HEAVY:
                 kept.add(id(sibling))
-
+                nodes[id(sibling)] = sibling
+        if whole is not None or around.tag in ("body", "html"):
+            break
+        node = around
     if any([_restore(nodes[i]) for i in kept]):
         blocks = list(_blocks(root))
 
@@ -431,11 +456,11 @@ def main_text(html: str | None) -> str:
 
     verdicts: dict[int, bool] = {}
     lines = []
-    for owner, text, _ in blocks:
+    for owner, text, links in blocks:
         verdict = verdicts.get(id(owner))
         if verdict is None:
             verdict = verdicts[id(owner)] = is_kept(owner)
-        if verdict:
+        if verdict or id(owner) in partly and _ENDS_SENTENCE.search(text) and links < LINK_HEAVY * len(text):
             lines.append(text)
     return "\n".join(lines)
 

@@ -132,6 +132,35 @@ def test_named_block_is_all_of_the_page():
     assert html_text.main_text('<body><div class="legal-status"><p>a, b</p></div></body>') == "a, b"
 
 
+SECTION = "<section>" + "<p>One, two, three, four, five, six, seven.</p>" * 25 + "</section>"
+REST = (
+    "<section><h2>Conclusion</h2><p>Short.</p></section><h3>More</h3><ul><li>one<li>two</ul>"
+    "<table><tr><td>a</table><p>so</p><div>Own words.</div>"
+)
+MENU = "<ul><li><a href=/>Elsewhere</a></ul><div><a href=/>Next page.</a></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><main>{SECTION}{REST}</main></body>",
+        f"<body><div><div>{SECTION}{REST}{MENU}</div></div></body>",
+        f"<body>{MENU}<div><div>{SECTION}</div><div>{REST}</div>{MENU}</div></body>",
+        f"<body>{SECTION}{REST}{MENU}</body>",
+        f"<div><div>{SECTION}</div>{MENU}</div>{REST}",
+    ],
+)
+def test_uneven_sections(page):
+    lines = html_text.main_text(page).split("\n")
+    assert lines[:25] == ["One, two, three, four, five, six, seven."] * 25
+    assert lines[25:] == ["Conclusion", "Short.", "More", "one", "two", "a", "so", "Own words."]
+
+
+def test_text_directly_beside_the_best_container():
+    page = f"<body><div><a href=/>Menu.</a><div>{SECTION}</div>And so it ends.<ul><li><a href=/>x</a></ul></div></body>"
+    assert html_text.main_text(page).split("\n")[25:] == ["And so it ends."]
+
+
 def test_long_page():
     body = "".join(f"<p>Paragraph {i}, with a comma.</p>" for i in range(20_000))
     found = html_text.main_text(f"<body><nav>menu</nav><article>{body}</article></body>")
