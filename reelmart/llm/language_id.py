@@ -5,8 +5,8 @@ longest phrases that occur there; the fewer phrases it takes, the lower the cros
 language of the fewest phrases, normalised by the letters read, wins.
 
 Learning is bounded: of each of the ``MOST_LANGUAGES`` most frequent languages the labelled texts with
-the smallest hashes of their doc_id are taken, ``TEXTS_PER_LANGUAGE`` of them at most, of at most
-``LONGEST_TEXT`` characters each, until the language has its share of ``LEARNED_CHARACTERS``, or
+the smallest hashes of their doc_id are taken, ``TEXTS_PER_LANGUAGE`` of them at most, of each its first
+``LONGEST_TEXT`` characters, until the language has its share of ``LEARNED_CHARACTERS``, or
 ``MOST_CHARACTERS``. So the automata have a fixed size together. Prediction reads whole texts. A text is cut into lanes of
 ``LANE`` letters that are parsed side by side, so that numpy makes one step of all lanes at once; a
 phrase ends at the end of a lane, for every language alike.
@@ -44,7 +44,7 @@ MOST_LANGUAGES = 256
 TEXTS_PER_LANGUAGE = 400
 LONGEST_TEXT = 20_000
 LEARNED_CHARACTERS = 160_000
-MOST_CHARACTERS = 25_000
+MOST_CHARACTERS = 40_000
 # Labelled texts per language that cuts are taken from, and the characters of each.
 HELD_TEXTS = 100
 HELD_CHARACTERS = 2_000
@@ -233,8 +233,11 @@ def _drawn_texts(labelled: DataFrame, held_texts: int) -> tuple[dict[str, list[s
     that are chosen come to the driver.
     """
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
-        F.col("lang"), F.col("doc_id"), F.length("text").alias("size"), "text"
-    ).where(F.col("size").between(1, LONGEST_TEXT))
+        "lang",
+        "doc_id",
+        F.least(F.length("text"), F.lit(LONGEST_TEXT)).alias("size"),
+        F.substring("text", 1, LONGEST_TEXT).alias("text"),
+    ).where(F.col("size") > 0)
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     counts = {row[0]: row[1] for row in counts.collect()}
     languages = list(counts)

@@ -278,3 +278,14 @@ def test_cut_without_texts_to_spare():
     text = words(random.Random(10), 200)
     cuts = language_id.break_cuts({"aa": [text], "bb": ["12", "34"]}, {"aa": [], "bb": []})
     assert 0 < cuts["aa"] < 1 and cuts["bb"] == 1
+
+
+def test_long_texts_are_learned_from(spark):
+    draw = random.Random(11)
+    long = words(draw, 8_000, "stuvwxyz")
+    docs = documents(spark, [(1, long, "cc", "s", 0)] + [(i, words(draw, 50), "aa", "s", 0) for i in range(2, 200)])
+    learned = language_id.learned_texts(docs)
+    assert learned["cc"] == [long[: language_id.LONGEST_TEXT]]
+    assert 40_000 <= sum(map(len, learned["aa"])) < 41_000
+    found = language_id.predict_languages(docs, docs).where("doc_id = 1").collect()
+    assert [r.lang_pred for r in found] == ["cc"]
