@@ -19,8 +19,8 @@ more; linked documents form components. The steps:
    ``BITS`` bits. Sets differ in as many shingles at least as their bitmaps in bits, so pairs that
    cannot be similar are never emitted, and no link is lost.
 
-A pair of similarity 0.75 has 36 of 48 matches on average; fewer than the 24 asked for occur once in
-about 70,000 such pairs, and less often the more similar they are.
+A pair of similarity 0.75 has 36 of 48 matches on average; fewer than the 18 asked for occur once in
+about 119 million such pairs, and less often the more similar they are.
 
 Defined results: a text without words, or NULL, has an empty set and is its own component; a text of
 fewer than five words has one shingle, its whole sequence; rows that repeat a doc_id are taken
@@ -46,7 +46,7 @@ from reelmart.shipping import ship_package
 
 SHINGLE = 5
 COORDINATES = 48
-MATCHES = 24
+MATCHES = 18
 BITS = 1024
 SIMILAR_PERCENT = 75
 

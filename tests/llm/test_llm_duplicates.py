@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -232,6 +233,24 @@ def test_edge_rows(spark):
     assert near_duplicates.near_duplicates(documents(spark, [])).collect() == []
 
 
+def test_pairs_at_the_threshold_with_few_matches(spark):
+    rows = []
+    for i, seed in enumerate((3318, 8256, 54102)):
+        drawn = [f"w{seed}x{k}" for k in range(12)]
+        pair = " ".join(drawn[:11]), " ".join(drawn[1:])
+        hashes = [near_duplicates.shingle_hashes(text) for text in pair]
+        assert (near_duplicates.signature(hashes[0]) == near_duplicates.signature(hashes[1])).sum() == 23
+        rows += [(2 * i, pair[0], "aa", "s", 0), (2 * i + 1, pair[1], "aa", "s", 0)]
+    found = near_duplicates.near_duplicates(documents(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_stated_miss_rate():
+    n, k = near_duplicates.COORDINATES, near_duplicates.MATCHES
+    missed = sum(math.comb(n, i) * 0.75**i * 0.25 ** (n - i) for i in range(k))
+    assert 118e6 < 1 / missed < 120e6
+
+
 def test_bitmaps_never_rule_out_a_link():
     draw = random.Random(2)
     for _ in range(200):
