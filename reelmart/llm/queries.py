@@ -14,10 +14,13 @@ from reelmart.llm import (
     mixing,
     near_duplicates,
     neighbours,
+    packing,
     secret_scan,
+    spelling,
     substring_dedup,
     token_counts,
     warc,
+    whitening,
 )
 from reelmart.scratch import scratch_folder
 
@@ -113,6 +116,18 @@ def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, sf_dir, "embeddings"))
+
+
+def variants_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_warc": archived_pages,
@@ -125,4 +140,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_language_id": predicted_languages,
         "op9_html_text": extracted_pages,
         "op10_near_duplicates": near_duplicate_documents,
+        "op11_whitening": whitened_vectors,
+        "op12_spelling_variants": variants_of_words,
+        "op13_best_fit_packing": packed_documents,
     }

@@ -19,10 +19,17 @@ def test_query_returns_whole_tables(spark, name):
         "op1_warc": ("pages", "page_id"),
         "op2_neighbours": ("embeddings", "vec_id"),
         "op9_html_text": ("pages", "page_id"),
+        "op11_whitening": ("embeddings", "vec_id"),
     }.get(name, ("documents", "doc_id"))
     source = spark.read.parquet(f"{SF_DIR}/{table}.parquet")
     if name == "op2_neighbours":
         assert found.count() == 5 * source.where("vec_id % 50 = 0").count()
+    elif name == "op11_whitening":
+        assert found.count() == 16 * source.count()
+    elif name == "op12_spelling_variants":
+        assert found.count() == found.select("word").distinct().count() > 100
+    elif name == "op13_best_fit_packing":
+        assert found.where("piece = 0").count() == source.count()
     else:
         assert {r[key] for r in found.select(key).collect()} == {r[0] for r in source.select(key).collect()}
         assert found.count() == source.count()
