@@ -156,5 +156,5 @@ def test_files_are_told_apart(spark, tmp_path):
         (tmp_path / name).write_bytes(text)
     found = by_line_break(spark, str(tmp_path), 0)
     names = [[f.rsplit("/", 1)[1] for f in part] for part in found]
-    assert names == [["a.csv"], ["b.csv"], ["c.csv", "d.csv.gz", "e.csv"]]
+    assert names == [["a.csv", "e.csv"], ["b.csv"], ["c.csv"], ["d.csv.gz"]]
     assert len(by_line_break(spark, str(tmp_path), 1_000).others) == 5
