@@ -10,9 +10,10 @@ What is still open at the end of a task, ``OPEN`` bins at most, is packed again:
 are pieces of the same packing, in groups of ``GROUP`` bins per task, until one group is left or
 packing joins hardly any. Bins keep their inner order, so a piece's place is the sum of both offsets.
 
-Documents longer than the capacity are cut, others never. Texts are tokenised by the public library, the
-longest in stretches between white space, which no token holds. A task keeps lengths and checksums, the ids
-only if the caller asks for them, and then in windows bounded by their number.
+Documents longer than the capacity are cut, others never. The public library tokenises what stands between
+white spaces, which no token holds, and a worker remembers ids up to a fixed number of words. A task keeps
+lengths and checksums, the ids only if the caller asks for them, and then in windows bounded by their
+number. The vocabulary must be one of lower-case words without white space, as the default one is.
 
 Defined results: a NULL or empty text is the end id alone; rows that repeat a doc_id, and those with a
 NULL one, are packed each for itself; special strings in a text are what the library makes of them by
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmart.llm.batches import slices
-from reelmart.llm.token_counts import vocabulary_file
+from reelmart.llm.token_counts import byte_letters, vocabulary_file
 from reelmart.scratch import measured, written
 from reelmart.shipping import ship_package
 
@@ -52,6 +53,16 @@ GROUP = 65_536
 _CHARACTERS = 500_000
 _BREAK = re.compile(r"[ \t\n\r]")
 
+# Words and chunks that a worker remembers, and the length from which on one is forgotten at once.
+_REMEMBERED = 400_000
+_LONG = 100
+
+# Characters that no normalisation but lower case changes, and what begins a special string.
+_ODD = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]|<\|")
+# Fixed value: the words of the vocabulary's pre-tokenizer, for lower-case text of such characters.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r 0-9a-zß-öø-ÿ]+")
+_LETTERS = byte_letters()
+
 # Bins of one task are numbered below this.
 _BINS_PER_TASK = 1 << 40
 
@@ -112,52 +123,96 @@ def stretches(text: str) -> Iterator[str]:
     yield text[start:]
 
 
+def chunks(text: str) -> list[str]:
+    """What stands between the white spaces of a text, empty strings among it."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+def is_plain(text: str) -> bool:
+    return not _ODD.search(text)
+
+
+class _WordIds(dict):
+    """Ids of single words by the library's model, as little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, library):
+        super().__init__()
+        self.model = library.model
+
+    def __missing__(self, word: str) -> bytes:
+        letters = "".join(map(_LETTERS.__getitem__, word.encode()))
+        ids = np.array([token.id for token in self.model.tokenize(letters)], "<u4").tobytes()
+        if len(word) <= _LONG:
+            self[word] = ids
+        return ids
+
+
+class _ChunkIds(dict):
+    """The same of whole chunks by the whole library."""
+
+    def __init__(self, library):
+        super().__init__({"": b""})
+        self.library = library
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(chunk) <= _LONG:
+            self[chunk] = ids
+        return ids
+
+
+class TextIds:
+    """Ids of texts, with the words and chunks that a worker remembers, up to a fixed number each.
+
+    White space ends every token and is dropped, and neither normalisation nor special strings reach over
+    it, so the ids of a text are those of its chunks in order. Chunks of plain letters, which no
+    normalisation but lower case changes, are cut into words here, and the library's model has the ids of
+    each word; all others go through the library as they are.
+    """
+
+    def __init__(self, vocabulary: str):
+        # Tasks are parallel already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(vocabulary_file(vocabulary))
+        self.words, self.chunks = _WordIds(library), _ChunkIds(library)
+
+    def _of_plain(self, part: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _WORD.findall(part.lower())))
+
+    def _of_chunk(self, chunk: str) -> bytes:
+        return self._of_plain(chunk) if is_plain(chunk) else self.chunks[chunk]
+
+    def of_text(self, text: str) -> bytes:
+        done = []
+        for part in stretches(text):
+            for known in (self.words, self.chunks):
+                if len(known) > _REMEMBERED:
+                    known.clear()
+            done += [self._of_plain(part)] if is_plain(part) else map(self._of_chunk, chunks(part))
+        return b"".join(done)
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(vocabulary: str):
-    """One tokenizer per worker process; tasks are parallel already."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(vocabulary_file(vocabulary))
-
-
-def tokenised(texts: list[str | None], vocabulary: str, end_id: int) -> Iterator[np.ndarray]:
-    """The ids of each text in order, with the end id."""
-    tokenizer = _tokenizer(vocabulary)
-    held: list[tuple[bool, str]] = []
-    characters = 0
-    begun: list[np.ndarray] = []
-
-    def settle() -> Iterator[np.ndarray]:
-        nonlocal characters
-        encoded = tokenizer.encode_batch_fast([part for _, part in held], add_special_tokens=False)
-        for (is_last, _), found in zip(held, encoded):
-            begun.append(np.array(found.ids, np.uint32))
-            if is_last:
-                yield np.concatenate([*begun, np.array([end_id], np.uint32)])
-                begun.clear()
-        held.clear()
-        characters = 0
-
-    for text in texts:
-        parts = list(stretches(text or ""))
-        for i, part in enumerate(parts):
-            held.append((i == len(parts) - 1, part))
-            characters += len(part)
-            if characters >= _CHARACTERS:
-                yield from settle()
-    yield from settle()
-
-
-def _pieces(batches: Iterable[pa.RecordBatch], vocabulary: str, capacity: int, end_id: int, with_ids: bool):
+def _ids(vocabulary: str) -> TextIds:
+    """One memory per worker process and vocabulary."""
+    return TextIds(vocabulary)
+
+
+def _pieces(
+    batches: Iterable[pa.RecordBatch], vocabulary: str, capacity: int, end_id: int, with_ids: bool
+) -> Iterator[tuple[int, tuple]]:
     """``(length, (doc_id, piece, start, crc, ids))`` of the documents in order."""
+    known = _ids(vocabulary)
+    end = np.array([end_id], "<u4").tobytes()
     for batch in slices(batches):
-        ids_of = tokenised(batch.column(1).to_pylist(), vocabulary, end_id)
-        for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of):
-            for piece, start in enumerate(range(0, len(ids), capacity)):
-                part = ids[start : start + capacity]
-                crc = zlib.crc32(part.astype("<u4").tobytes())
-                yield len(part), (doc_id, piece, start, crc, part.astype(np.int32) if with_ids else None)
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids = known.of_text(text.as_py() or "") + end
+            for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[start : start + 4 * capacity]
+                held = np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None
+                yield len(part) // 4, (doc_id, piece, start // 4, zlib.crc32(part), held)
 
 
 def _windows(pieces: Iterable[tuple[int, Any]], most_ids: float) -> Iterator[list[tuple[int, Any]]]:

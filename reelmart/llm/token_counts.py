@@ -41,7 +41,7 @@ TOKENS_TOGETHER = 200_000
 REMEMBERED = 400_000
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in the vocabulary file.
 
     Printable Latin-1 bytes stand for themselves, the others for the letters from 256 on.
@@ -59,7 +59,7 @@ class MergeTable:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        self.byte_ids = np.array([vocab[x] for x in _byte_letters()], dtype=np.int64)
+        self.byte_ids = np.array([vocab[x] for x in byte_letters()], dtype=np.int64)
         # Symbols are vocabulary ids; the span leaves room for the one pair key.
         self.span = max(vocab.values()) + 1
         keys = np.array([vocab[a] * self.span + vocab[b] for a, b in pairs], dtype=np.int64)

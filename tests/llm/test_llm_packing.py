@@ -103,8 +103,29 @@ def test_long_texts_in_stretches(monkeypatch):
     monkeypatch.setattr(packing, "_CHARACTERS", 50)
     parts = list(packing.stretches(text))
     assert "".join(parts) == text and len(parts) > 100
-    found = list(packing.tokenised([text, None, "one", text], "word_bpe_49k.json", 1))
-    assert [f.tolist() for f in found] == [_ids(text), [1], _ids("one"), _ids(text)]
+    monkeypatch.setattr(packing, "_REMEMBERED", 40)
+    known = packing.TextIds("word_bpe_49k.json")
+    for t in (text, "", "one", text, "x" * 5_000 + " " + text):
+        assert np.frombuffer(known.of_text(t), "<u4").tolist() == _ids(t)[:-1]
+    assert len(known.words) + len(known.chunks) <= 200
+
+
+def test_any_characters_as_the_library_has_them():
+    """White space, marks, special strings and signs of all kinds, at all places."""
+    draw = random.Random(15)
+    signs = [" ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u0301", "\u0345", "e", "E", "Σ", "ς"]
+    signs += ["İ", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "1", "٣", "中", "ﬁ", "\ufeff", "\u200d", "😀", "\u1100", "\u1161", "!"]
+    known = packing.TextIds("word_bpe_49k.json")
+    for _ in range(3_000):
+        text = "".join(draw.choices(signs, k=draw.randint(0, 25)))
+        assert np.frombuffer(known.of_text(text), "<u4").tolist() == _ids(text)[:-1], repr(text)
+    plain = [c for c in map(chr, range(0x100)) if packing.is_plain(c)]
+    assert len(plain) > 180
+    for _ in range(3_000):
+        text = "".join(draw.choices(plain, k=draw.randint(0, 40)))
+        assert np.frombuffer(known.of_text(text), "<u4").tolist() == _ids(text)[:-1], repr(text)
+    every = "".join(map(chr, range(0x20, 0x3000))) + " " + " ".join(map(chr, range(0x20, 0x3000)))
+    assert np.frombuffer(known.of_text(every), "<u4").tolist() == _ids(every)[:-1]
 
 
 def test_best_fit_and_fullest_closed_first():
