@@ -40,3 +40,16 @@ def build_dimension(logs: DataFrame, name: str) -> DataFrame:
     """The dimension table called ``name``."""
     key, id_col = DIMENSIONS[name]
     return build_dim_date(logs) if name == "dim_date" else build_dim(logs, key, id_col)
+
+
+def extend_dimension(stored: DataFrame, logs: DataFrame, name: str) -> DataFrame:
+    """The rows that ``logs`` add to a ``stored`` dimension; those it has keep their ids.
+
+    New keys, NULL among them, are numbered in key order from the highest stored id on. Running it
+    again after its rows are stored gives none.
+    """
+    key, id_col = DIMENSIONS[name]
+    known = stored.select(F.col(key).alias("_known"))
+    new = logs.select(key).distinct().join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+    highest = stored.agg(F.max(id_col)).first()[0] or 0
+    return build_dimension(new, name).withColumn(id_col, F.col(id_col) + F.lit(highest).cast("bigint"))

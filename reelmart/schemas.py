@@ -15,18 +15,18 @@ from pyspark.sql.types import (
 )
 
 
-def _table(*columns: tuple[str, DataType]) -> StructType:
+def table_of(*columns: tuple[str, DataType]) -> StructType:
     return StructType([StructField(name, dtype, True) for name, dtype in columns])
 
 
 # Fixed values that must match: names, order and declared types of all columns below.
 
 # Raw inputs
-LOG_REVIEWS = _table(("id_review", LongType()), ("log", StringType()))
+LOG_REVIEWS = table_of(("id_review", LongType()), ("log", StringType()))
 
-MOVIE_REVIEWS = _table(("cid", LongType()), ("review_str", StringType()), ("id_review", LongType()))
+MOVIE_REVIEWS = table_of(("cid", LongType()), ("review_str", StringType()), ("id_review", LongType()))
 
-USER_PURCHASE = _table(
+USER_PURCHASE = table_of(
     ("invoice_number", StringType()),
     ("stock_code", StringType()),
     ("detail", StringType()),
@@ -41,7 +41,7 @@ USER_PURCHASE = _table(
 USER_PURCHASE_LENGTHS = {"invoice_number": 10, "stock_code": 20, "detail": 1000, "country": 20}
 
 # Staged tables
-LOG_REVIEWS_TRANSFORMED = _table(
+LOG_REVIEWS_TRANSFORMED = table_of(
     ("log_id", LongType()),
     ("log_date", DateType()),
     ("device", StringType()),
@@ -51,12 +51,12 @@ LOG_REVIEWS_TRANSFORMED = _table(
     ("phone_number", StringType()),
 )
 
-CLASSIFIED_MOVIE_REVIEWS = _table(
+CLASSIFIED_MOVIE_REVIEWS = table_of(
     ("user_id", LongType()), ("positive_review", IntegerType()), ("review_id", LongType())
 )
 
 # Warehouse tables
-DIM_DATE = _table(
+DIM_DATE = table_of(
     ("id_dim_date", LongType()),
     ("log_date", DateType()),
     ("day", StringType()),
@@ -64,12 +64,12 @@ DIM_DATE = _table(
     ("year", StringType()),
     ("season", StringType()),
 )
-DIM_DEVICES = _table(("id_dim_devices", LongType()), ("device", StringType()))
-DIM_LOCATION = _table(("id_dim_location", LongType()), ("location", StringType()))
-DIM_OS = _table(("id_dim_os", LongType()), ("os", StringType()))
-DIM_BROWSER = _table(("id_dim_browser", LongType()), ("browser", StringType()))
+DIM_DEVICES = table_of(("id_dim_devices", LongType()), ("device", StringType()))
+DIM_LOCATION = table_of(("id_dim_location", LongType()), ("location", StringType()))
+DIM_OS = table_of(("id_dim_os", LongType()), ("os", StringType()))
+DIM_BROWSER = table_of(("id_dim_browser", LongType()), ("browser", StringType()))
 
-FACT_MOVIE_ANALYTICS = _table(
+FACT_MOVIE_ANALYTICS = table_of(
     ("customerid", LongType()),
     ("id_dim_date", LongType()),
     ("id_dim_devices", LongType()),

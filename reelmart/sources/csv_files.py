@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from reelmart import schemas
 from reelmart.scratch import written
 from reelmart.sources.csv_records import all_records, by_line_break
-from reelmart.sources.csv_types import Inferred, infer_types
+from reelmart.sources.csv_types import Inferred, column_kinds, infer_types
 
 # An unquoted empty field is NULL, a quoted one ("") an empty string: the NULL marker
 # must be something that no text holds.
@@ -70,10 +70,22 @@ def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return all_records(spark, by_line_break(spark, path, -1, whole_only=True))
 
 
+def _names(spark: SparkSession, path: str | list[str]) -> list[str]:
+    return spark.read.option("header", True).options(**_OPTIONS, multiLine="true").csv(path).columns
+
+
+def csv_column_kinds(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Per column and kind of value how many there are, and the type of the column: column, kind, n_values, type.
+
+    Empty fields are no values; a column of nothing else has one row, without a kind.
+    """
+    names = _names(spark, path)
+    return column_kinds(_records(spark, path), names, {**_OPTIONS, "multiLine": "true"})
+
+
 def infer_csv(spark: SparkSession, path: str | list[str]) -> Inferred:
     """Names from the header, types from every record, and the first record that widened each type."""
-    header = spark.read.option("header", True).options(**_OPTIONS, multiLine="true")
-    names = header.csv(path).columns
+    names = _names(spark, path)
     if not names:
         return Inferred(StructType(), [])
     return infer_types(spark, _records(spark, path), names, {**_OPTIONS, "multiLine": "true"})

@@ -16,9 +16,10 @@ with ASCII digits only, and whole numbers with a decimal point or an exponent ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
@@ -140,25 +141,39 @@ def first_kinds(by_file: DataFrame) -> DataFrame:
     )
 
 
-def infer_types(spark: SparkSession, records: DataFrame, names: list[str], options: dict[str, str]) -> Inferred:
-    """Schema of ``records`` under the column ``names``, and what widened it.
-
-    Columns times kinds rows reach the driver.
-    """
-    found = first_kinds(written(kinds_by_file(records, names, options)))
-    by_place: dict[int, list] = {i: [] for i in range(len(names))}
-    for row in found.where("kind IS NOT NULL").collect():
-        by_place[row["place"]].append(row)
-    fields, widenings = [], []
+def _types(rows: list[Row], names: list[str]) -> Iterator[tuple[str, DataType, list[Widening]]]:
+    """Per column its type and widenings, from the rows of ``first_kinds``, which are columns times kinds."""
     for place, name in enumerate(names):
         kinds: set[str] = set()
         digits, before = 0, None
-        for row in sorted(by_place[place], key=lambda r: tuple(r["first"])):
+        widenings = []
+        found = [r for r in rows if r["place"] == place and r["kind"] is not None]
+        for row in sorted(found, key=lambda r: tuple(r["first"])):
             kinds.add(row["kind"])
             digits = max(digits, row["digits"])
             after = joined_type(kinds, digits)
             if before is not None and after != before:
                 widenings.append(Widening(name, before.simpleString(), after.simpleString(), *row["first"]))
             before = after
-        fields.append(StructField(name, before or StringType(), True))
-    return Inferred(StructType(fields), widenings)
+        yield name, before or StringType(), widenings
+
+
+def infer_types(spark: SparkSession, records: DataFrame, names: list[str], options: dict[str, str]) -> Inferred:
+    """Schema of ``records`` under the column ``names``, and what widened it.
+
+    Columns times kinds rows reach the driver.
+    """
+    rows = first_kinds(kinds_by_file(records, names, options)).collect()
+    found = list(_types(rows, names))
+    schema = StructType([StructField(name, kind, True) for name, kind, _ in found])
+    return Inferred(schema, [w for *_, widenings in found for w in widenings])
+
+
+def column_kinds(records: DataFrame, names: list[str], options: dict[str, str]) -> DataFrame:
+    """Per column and kind the number of values, and the column's type."""
+    kinds = written(first_kinds(kinds_by_file(records, names, options)))
+    types = [(i, name, kind.simpleString()) for i, (name, kind, _) in enumerate(_types(kinds.collect(), names))]
+    columns = records.sparkSession.createDataFrame(types, "place int, column string, type string")
+    valued = kinds.where("kind IS NOT NULL").select("place", "kind", "n_values")
+    counted = F.coalesce("n_values", F.lit(0)).alias("n_values")
+    return columns.join(valued, "place", "left").select("column", "kind", counted, "type")

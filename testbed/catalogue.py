@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmart import schemas
-from reelmart.operators.dims import DIMENSIONS, build_dimension
+from reelmart.operators.dims import DIMENSIONS, build_dimension, extend_dimension
 from reelmart.operators.fact import build_fact
 from reelmart.operators.keys import number_by_ranges
 from reelmart.operators.logs import log_quality, parse_review_logs
@@ -23,16 +23,20 @@ from reelmart.operators.purchases import (
     stage_user_purchase,
 )
 from reelmart.operators.reviews import classify_reviews, review_scores, review_tokens
+from reelmart.plans.increments import CUSTOMER_TOTALS, load_increment, merged_totals, new_totals
 from reelmart.plans.together import together
-from reelmart.plans.warehouse import build_warehouse, load_stage_tables
+from reelmart.plans.warehouse import build_warehouse, load_stage_tables, refresh_at_once
 from reelmart.scratch import scratch_folder, written
 from reelmart.sinks.csv_files import write_csv
 from reelmart.sinks.tables import append_rows, create_table, has_rows, replace_rows
 from reelmart.sources.csv_files import (
+    csv_column_kinds,
+    read_csv,
     read_log_reviews,
     read_movie_reviews,
     read_stage_table,
     read_user_purchase,
+    read_user_purchase_and_rejects,
 )
 from testbed import inputs
 
@@ -216,6 +220,87 @@ def _refreshed_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(f"{database}.fact_movie_analytics")
 
 
+def _csv_returns_and_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Lone carriage returns in compressed files that are read block by block.
+    raw = scratch_folder(spark)
+    reviews = inputs.movie_reviews(spark, sf_dir)
+    writer = reviews.write.option("header", True).option("escape", '"').option("lineSep", "\r")
+    writer.option("compression", "bzip2").csv(raw)
+    return read_movie_reviews(spark, raw, file_bytes_per_task=0)
+
+
+def _column_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Per column what its values are, and the type that holds them all.
+    raw = scratch_folder(spark)
+    write_csv(inputs.mixed_values(spark, sf_dir), raw)
+    return csv_column_kinds(spark, raw).withColumn("kind", F.coalesce("kind", F.lit("none")))
+
+
+def _inferred_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = scratch_folder(spark)
+    write_csv(_purchases(spark, sf_dir), raw)
+    return read_csv(spark, raw).withColumn("invoice_date", F.col("invoice_date").cast("timestamp_ntz"))
+
+
+def _purchase_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = scratch_folder(spark)
+    write_csv(inputs.rejected_purchase_lines(spark, sf_dir), raw)
+    good, rejects = read_user_purchase_and_rejects(spark, raw)
+    # All records, the good ones by what was read of them.
+    read = F.concat_ws(",", "invoice_number", "detail", F.col("quantity").cast("string"), "country")
+    return good.select(read.alias("record"), F.lit("none").alias("reason")).unionAll(
+        rejects.select(F.col("value").alias("record"), "reason")
+    )
+
+
+def _refreshed_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Two refreshes: readers of the first one keep it while the second one is what others see.
+    database = _database(spark)
+    raw = inputs.log_reviews(spark, sf_dir), inputs.movie_reviews(spark, sf_dir), inputs.user_purchase(spark, sf_dir)
+    refresh_at_once(spark, database, *raw, as_of=AS_OF, keyword="good")
+    before = spark.table(f"{database}.fact_movie_analytics")
+    refresh_at_once(spark, database, *raw, as_of=AS_OF, keyword="data")
+    now = spark.table(f"{database}.fact_movie_analytics")
+    return before.withColumn("seen", F.lit("before")).unionAll(now.withColumn("seen", F.lit("now")))
+
+
+def _loaded_in_turn(spark: SparkSession, sf_dir: str) -> str:
+    database = _database(spark)
+    for load in range(inputs.LOADS):
+        load_increment(spark, database, *inputs.arriving(spark, sf_dir, load), as_of=AS_OF, keyword="data")
+    return database
+
+
+def _incremental_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.table(f"{_loaded_in_turn(spark, sf_dir)}.fact_movie_analytics")
+
+
+def _incremental_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The partial sums alone, merged load by load.
+    stored = spark.createDataFrame([], CUSTOMER_TOTALS)
+    for load in range(inputs.LOADS):
+        _, reviews, purchases = inputs.arriving(spark, sf_dir, load)
+        new = new_totals(stage_user_purchase(purchases), classify_reviews(reviews, "data"))
+        stored = written(merged_totals(stored, new).withColumn("load_date", F.lit(AS_OF)).select(*CUSTOMER_TOTALS.names))
+    return stored.drop("load_date")
+
+
+def _extended_dimension(name: str) -> Query:
+    """A stored table to which each load adds its new keys."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = f"{_database(spark)}.{name}"
+        create_table(spark, table, schemas.WAREHOUSE_TABLES[name])
+        for load in range(inputs.LOADS):
+            logs = written(parse_review_logs(inputs.arriving(spark, sf_dir, load)[0]))
+            # The second turn finds nothing new.
+            for _ in range(2):
+                append_rows(extend_dimension(spark.table(table), logs, name), table)
+        return spark.table(table)
+
+    return query
+
+
 def catalogue() -> dict[str, Query]:
     return {
         "stage_user_purchase": _purchases,
@@ -253,4 +338,13 @@ def catalogue() -> dict[str, Query]:
         "append_dim_devices": _appended_devices,
         "load_stage_tables": _loaded_stage_table,
         "refresh_warehouse": _refreshed_fact,
+        "csv_returns_and_blocks": _csv_returns_and_blocks,
+        "csv_column_kinds": _column_kinds,
+        "csv_inferred_purchases": _inferred_purchases,
+        "purchase_rejects": _purchase_rejects,
+        "refresh_at_once": _refreshed_at_once,
+        "extend_dim_date": _extended_dimension("dim_date"),
+        "extend_dim_location": _extended_dimension("dim_location"),
+        "incremental_totals": _incremental_totals,
+        "incremental_fact": _incremental_fact,
     }

@@ -109,3 +109,53 @@ def user_purchase(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) ->
         F.col("o_custkey").cast("int").alias("customer_id"),
         F.col("n_name").alias("country"),
     )
+
+
+# Loads in which the rows arrive, one after the other.
+LOADS = 3
+
+
+def arriving(spark: SparkSession, sf_dir: str, load: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Logs, reviews and purchases of one load, from 0: ids in blocks of 100 in turn, purchases by year."""
+
+    def block(column: str) -> Column:
+        return F.floor(F.col(column) / 100) % LOADS == load
+
+    return (
+        log_reviews(spark, sf_dir).where(block("id_review")),
+        movie_reviews(spark, sf_dir).where(block("id_review")),
+        user_purchase(spark, sf_dir).where(F.year("invoice_date") % LOADS == load),
+    )
+
+
+def mixed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of orders whose values are of several kinds."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    return orders.select(
+        key.cast("string").alias("whole"),
+        F.when(key % 10 == 0, key * 3_000_000_000).otherwise(key).cast("string").alias("large"),
+        F.when(key % 10 == 1, F.concat(key.cast("string"), F.lit("." ), F.lit("25"))).otherwise(key.cast("string")).alias("fraction"),
+        F.when(key % 10 == 2, F.concat(key.cast("string"), F.lit("0" * 20))).otherwise(key.cast("string")).alias("huge"),
+        F.col("o_orderdate").cast("date").cast("string").alias("day"),
+        F.when(key % 10 == 3, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+        .otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("time"),
+        F.when(key % 10 == 4, F.lit(None)).otherwise((key % 2 == 0).cast("string")).alias("flag"),
+        F.when(key % 10 == 5, F.concat(F.lit("no, "), F.lit('"none"\n'), key)).otherwise(key.cast("string")).alias("text"),
+        F.lit(None).cast("string").alias("nothing"),
+    )
+
+
+def rejected_purchase_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchase lines as text: of every seven orders one has a word for a number, one too long a country,
+    one no date, and the details of all hold quotes and a line break."""
+    lines = user_purchase(spark, sf_dir)
+    kind = F.col("invoice_number").cast("bigint") % 7
+    date = F.date_format("invoice_date", "yyyy-MM-dd HH:mm:ss")
+    changed = {
+        "detail": F.concat("detail", F.lit(', "boxed"\nin two')),
+        "quantity": F.when(kind == 1, F.lit("many")).otherwise(F.col("quantity").cast("string")),
+        "country": F.concat("country", F.when(kind == 3, F.lit(" and its overseas territories")).otherwise("")),
+        "invoice_date": F.concat(F.when(kind == 5, F.lit("on ")).otherwise(""), date),
+    }
+    return lines.select(*(changed.get(c, F.col(c)).cast("string").alias(c) for c in lines.columns))

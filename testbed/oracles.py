@@ -114,47 +114,110 @@ _SEASONS = """
            (7, 'Summer'), (8, 'Summer'), (9, 'Fall'), (10, 'Fall'), (11, 'Fall'), (12, 'Winter')
 """
 
-_DIM_DATE = f"""
-    SELECT row_number() OVER (ORDER BY log_date NULLS FIRST) AS id_dim_date, log_date,
-           strftime(log_date, '%d') AS day, strftime(log_date, '%b') AS month,
-           strftime(log_date, '%Y') AS year, coalesce(season, 'Fall') AS season
-    FROM (SELECT DISTINCT log_date FROM ({_LOGS}))
-    LEFT JOIN ({_SEASONS}) AS seasons (month_number, season) ON month_number = month(log_date)
-"""
+def _dim(key: str, id_col: str, first: str = "0") -> str:
+    """Ids in key order, after the keys whose ``first`` load came before."""
+    return f"""
+    SELECT row_number() OVER (ORDER BY load, {key} NULLS FIRST) AS {id_col}, {key}
+    FROM (SELECT {key}, min({first}) AS load FROM ({_LOGS}) GROUP BY {key})
+    """
 
 
-def _dim(key: str, id_col: str) -> str:
+def _dim_date(first: str = "0") -> str:
     return f"""
-    SELECT row_number() OVER (ORDER BY {key} NULLS FIRST) AS {id_col}, {key}
-    FROM (SELECT DISTINCT {key} FROM ({_LOGS}))
+    SELECT id_dim_date, log_date,
+           strftime(log_date, '%d') AS day, strftime(log_date, '%b') AS month,
+           strftime(log_date, '%Y') AS year, coalesce(season, 'Fall') AS season
+    FROM ({_dim("log_date", "id_dim_date", first)})
+    LEFT JOIN ({_SEASONS}) AS seasons (month_number, season) ON month_number = month(log_date)
     """
 
 
+_DIM_DATE = _dim_date()
 _DIM_DEVICES = _dim("device", "id_dim_devices")
 _DIM_LOCATION = _dim("location", "id_dim_location")
 _DIM_OS = _dim("os", "id_dim_os")
 
-_LOOKUP = f"""
+# The load of a log.
+_LOAD = "(log_id // 100) % 3"
+
+
+def _lookup(first: str = "0") -> str:
+    return f"""
     SELECT log_id, id_dim_date, id_dim_devices, id_dim_location, id_dim_os
     FROM ({_LOGS})
-    LEFT JOIN ({_DIM_DATE}) USING (log_date)
-    LEFT JOIN ({_DIM_DEVICES}) USING (device)
-    LEFT JOIN ({_DIM_LOCATION}) USING (location)
-    LEFT JOIN ({_DIM_OS}) USING (os)
-"""
+    LEFT JOIN ({_dim_date(first)}) USING (log_date)
+    LEFT JOIN ({_dim("device", "id_dim_devices", first)}) USING (device)
+    LEFT JOIN ({_dim("location", "id_dim_location", first)}) USING (location)
+    LEFT JOIN ({_dim("os", "id_dim_os", first)}) USING (os)
+    """
 
 
-def _fact(keyword: str) -> str:
+_LOOKUP = _lookup()
+
+
+def _fact(keyword: str, first: str = "0") -> str:
     return f"""
     SELECT customer_id AS customerid, id_dim_date, id_dim_devices, id_dim_location, id_dim_os,
            amount_spent, review_score, review_count, DATE '{AS_OF.isoformat()}' AS insert_date
     FROM ({_classified(keyword)})
     JOIN ({_scores(keyword)}) USING (user_id)
     JOIN ({_SPEND}) ON customer_id = user_id
-    JOIN ({_LOOKUP}) ON log_id = review_id
+    JOIN ({_lookup(first)}) ON log_id = review_id
     """
 
 
+# Kinds of the values of mixed_values, by the order's key.
+_KIND_ROWS = """
+    SELECT 'whole' AS "column", 'int' AS type, 'int' AS kind FROM orders
+    UNION ALL SELECT 'large', 'bigint', CASE WHEN o_orderkey % 10 = 0 AND o_orderkey > 0 THEN 'bigint' ELSE 'int' END FROM orders
+    UNION ALL SELECT 'fraction', 'double', CASE WHEN o_orderkey % 10 = 1 THEN 'double' ELSE 'int' END FROM orders
+    UNION ALL SELECT 'huge', 'decimal(' || (20 + (SELECT max(length(o_orderkey::VARCHAR)) FROM orders WHERE o_orderkey % 10 = 2)) || ',0)',
+        CASE WHEN o_orderkey % 10 = 2 THEN 'decimal' ELSE 'int' END FROM orders
+    UNION ALL SELECT 'day', 'date', 'date' FROM orders
+    UNION ALL SELECT 'time', 'timestamp', CASE WHEN o_orderkey % 10 = 3 THEN 'timestamp' ELSE 'date' END FROM orders
+    UNION ALL SELECT 'flag', 'boolean', CASE WHEN o_orderkey % 10 <> 4 THEN 'boolean' END FROM orders
+    UNION ALL SELECT 'text', 'string', CASE WHEN o_orderkey % 10 = 5 THEN 'string' ELSE 'int' END FROM orders
+    UNION ALL SELECT 'nothing', 'string', NULL FROM orders
+"""
+
+_COLUMN_KINDS = f"""
+    SELECT "column", coalesce(kind, 'none') AS kind, count(kind) AS n_values, type FROM ({_KIND_ROWS})
+    WHERE kind IS NOT NULL OR "column" = 'nothing' GROUP BY ALL
+"""
+
+# The types that inference finds are wider where the text does not show the declared one.
+_INFERRED_PURCHASES = f"""
+    SELECT invoice_number::INTEGER AS invoice_number, stock_code::INTEGER AS stock_code, detail, quantity,
+           invoice_date, unit_price::DOUBLE AS unit_price, customer_id, country
+    FROM ({_PURCHASES})
+"""
+
+_PURCHASE_REJECTS = f"""
+    SELECT CASE WHEN reason IS NULL
+                THEN concat_ws(',', invoice_number, detail || ', "boxed"' || chr(10) || 'in two', quantity, country)
+                ELSE concat_ws(',', invoice_number, stock_code, '"' || detail || ', ""boxed""' || chr(10) || 'in two"',
+                    CASE WHEN kind = 1 THEN 'many' ELSE quantity::VARCHAR END,
+                    CASE WHEN kind = 5 THEN 'on ' ELSE '' END || strftime(invoice_date, '%Y-%m-%d %H:%M:%S'), unit_price,
+                    customer_id, country || CASE WHEN kind = 3 THEN ' and its overseas territories' ELSE '' END)
+           END AS record,
+           coalesce(reason, 'none') AS reason
+    FROM (SELECT *, invoice_number::BIGINT % 7 AS kind,
+              CASE WHEN invoice_number::BIGINT % 7 IN (1, 5) THEN 'fields' WHEN invoice_number::BIGINT % 7 = 3 THEN 'length of country' END
+                  AS reason
+          FROM ({_PURCHASES}))
+"""
+
+_TOTALS = f"""
+    SELECT customer_id, CAST(amount_spent AS DECIMAL(38,3)) AS amount_spent, coalesce(purchase_lines, 0) AS purchase_lines,
+           review_score, review_count, coalesce(reviews, 0) AS reviews
+    FROM (SELECT customer_id::BIGINT AS customer_id, sum(quantity * unit_price) AS amount_spent, count(*) AS purchase_lines
+          FROM ({_PURCHASES}) GROUP BY customer_id)
+    FULL JOIN (SELECT user_id AS customer_id, sum(positive_review)::BIGINT AS review_score, count(review_id) AS review_count,
+                   count(*) AS reviews
+               FROM ({_classified("data")}) GROUP BY user_id) USING (customer_id)
+"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "stage_user_purchase": _PURCHASES,
@@ -201,4 +264,15 @@ def oracles() -> dict[str, str]:
         "replace_user_purchase": _PURCHASES,
         "append_dim_devices": _DIM_DEVICES,
         "refresh_warehouse": _fact("data"),
+        "csv_returns_and_blocks": _REVIEW_TEXT,
+        "csv_column_kinds": _COLUMN_KINDS,
+        "csv_inferred_purchases": _INFERRED_PURCHASES,
+        "purchase_rejects": _PURCHASE_REJECTS,
+        "refresh_at_once": f"""
+            SELECT *, 'before' AS seen FROM ({_fact("good")}) UNION ALL SELECT *, 'now' AS seen FROM ({_fact("data")})
+        """,
+        "extend_dim_date": _dim_date(_LOAD),
+        "extend_dim_location": _dim("location", "id_dim_location", _LOAD),
+        "incremental_totals": _TOTALS,
+        "incremental_fact": _fact("data", _LOAD),
     }

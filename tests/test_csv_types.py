@@ -219,7 +219,7 @@ def test_rejects_with_their_places(spark, tmp_path, small_splits):
 
 def test_texts_beyond_their_limit_are_rejected(spark, tmp_path):
     _write(tmp_path / "f.csv", ["user_id", "file"], [["1", "short"], ["2", "long enough"], ["3", "short     "]])
-    schema = schemas._table(("user_id", schemas.LongType()), ("file", schemas.StringType()))
+    schema = schemas.table_of(("user_id", schemas.LongType()), ("file", schemas.StringType()))
     rows, rejects = read_csv_and_rejects(spark, str(tmp_path), schema, {"file": 5})
     assert sorted(map(tuple, rows.collect())) == [(1, "short"), (3, "short     ")]
     assert [(r.line, r.value, r.reason) for r in rejects.collect()] == [(3, "2,long enough", "length of file")]

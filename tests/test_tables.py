@@ -301,3 +301,28 @@ def test_command_line_asks_for_all_relational_arguments(tmp_path):
     with pytest.raises(SystemExit, match="--jdbc-table, --jdbc-column"):
         main(["stage-purchases", f"{tmp_path}/out", "--jdbc-url", "jdbc:x", "--jdbc-lower", "0",
               "--jdbc-upper", "9", "--jdbc-partitions", "2"])
+
+
+def test_new_jobs_of_the_command_line(spark, tmp_path, database, capsys, monkeypatch):
+    monkeypatch.setattr("reelmart.__main__.build_session", lambda name: spark)
+    header = "invoice_number,stock_code,detail,quantity,invoice_date,unit_price,customer_id,country\n"
+    (tmp_path / "p.csv").write_text(
+        header + "C1,S1,lamp,6,2010-12-01 08:26:00,2.55,7,France\nC2,S1,lamp,six,2010-12-01 08:26:00,2.55,7,France\n"
+    )
+    main(["describe-csv", f"{tmp_path}/p.csv"])
+    told = capsys.readouterr().out
+    assert "quantity: string" in told and "unit_price: double" in told
+    assert "quantity from int to string by line 3" in told
+    main(["stage-purchases", f"{tmp_path}/p.csv", f"{tmp_path}/staged", "--rejects", f"{tmp_path}/rejects"])
+    assert spark.read.option("header", True).csv(f"{tmp_path}/staged").count() == 1
+    rejects = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/rejects").collect()
+    assert [(r.line, r.reason) for r in rejects] == [("3", "fields")]
+    (tmp_path / "l.csv").write_text(f'id_review,log\n1,"{FULL}"\n')
+    (tmp_path / "r.csv").write_text("cid,review_str,id_review\n7,good,1\n")
+    inputs = ["--logs", f"{tmp_path}/l.csv", "--reviews", f"{tmp_path}/r.csv", "--purchases", f"{tmp_path}/staged"]
+    main(["load-increment", *inputs, "--database", database])
+    assert spark.table(f"{database}.fact_movie_analytics").count() == 1
+    spark.sql(f"CREATE DATABASE {database}_v LOCATION '{tmp_path}/v'")
+    for _ in range(2):
+        main(["refresh", "--at-once", *inputs, "--database", f"{database}_v"])
+    assert spark.table(f"{database}_v.fact_movie_analytics").count() == 1
