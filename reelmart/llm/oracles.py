@@ -89,6 +89,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+# All strings of 400 bytes by their digests, taken from blocks of 256 places each; texts are written in
+# hexadecimal, two digits a byte.
+OP6 = """
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS code, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents),
+blocks AS (
+  SELECT rid, start, substr(code, 2 * start + 1, 2 * 655) AS part, least(256, n_bytes - 399 - start) AS many
+  FROM (SELECT rid, code, n_bytes, unnest(range(0, n_bytes - 399, 256)) AS start FROM texts WHERE n_bytes >= 400)),
+places AS (
+  SELECT rid, start + i AS pos, md5_number(substr(part, 2 * i + 1, 800)) AS string
+  FROM (SELECT rid, start, part, unnest(range(many)) AS i FROM blocks)),
+twice AS (SELECT rid, pos, lag(pos) OVER (PARTITION BY rid ORDER BY pos) AS before
+  FROM places JOIN (SELECT string FROM places GROUP BY string HAVING count(*) > 1) USING (string)),
+runs AS (
+  SELECT rid, run, min(pos) AS low, max(pos) + 400 AS high
+  FROM (SELECT rid, pos, sum(CASE WHEN pos - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY pos) AS run FROM twice)
+  GROUP BY rid, run),
+kept AS (
+  SELECT rid, n_removed, n_spans, string_agg(code[2 * low + 1 : 2 * coalesce(high, n_bytes)], '' ORDER BY low) AS kept
+  FROM (
+    SELECT rid, coalesce(lag(high) OVER w, 0) AS low, r.low AS high FROM runs r WINDOW w AS (PARTITION BY rid ORDER BY r.low)
+    UNION ALL SELECT rid, max(high), NULL FROM runs GROUP BY rid)
+  JOIN texts USING (rid)
+  JOIN (SELECT rid, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid) USING (rid)
+  GROUP BY rid, n_removed, n_spans)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, code))) AS kept_sha256,
+  n_bytes - coalesce(n_removed, 0)::BIGINT AS n_kept, n_removed IS NOT NULL AS has_repeats
+FROM texts LEFT JOIN kept USING (rid)
+"""
+
 OP10 = rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -165,6 +194,7 @@ def llm_oracles() -> dict[str, str]:
         "op1_warc": OP1,
         "op3_mixing": OP3,
         "op5_decontamination": OP5,
+        "op6_substring_dedup": OP6,
         "op10_near_duplicates": OP10,
         "op12_spelling_variants": OP12,
     }

@@ -80,7 +80,14 @@ def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeats(_table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", "n_bytes", "n_removed", F.size("runs").cast("bigint").alias("n_spans"), "kept_sha256"
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("runs").cast("bigint").alias("n_spans"),
+        "kept_sha256",
+        # The bytes left, and whether any went.
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"),
+        (F.col("n_removed") > 0).alias("has_repeats"),
     )
 
 
