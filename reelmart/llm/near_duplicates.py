@@ -23,9 +23,11 @@ A pair of similarity 0.75 has 36 of 48 matches on average; fewer than the 18 ask
 about 119 million such pairs, and less often the more similar they are.
 
 Defined results: a text without words, or NULL, has an empty set and is its own component; a text of
-fewer than five words has one shingle, its whole sequence; rows that repeat a doc_id are taken
-together, each is returned; a NULL doc_id is linked with nothing and has a NULL component; an empty
-table gives an empty result. Other columns of the input are ignored.
+fewer than five words has one shingle, its whole sequence; every set is searched, also if rows repeat a
+doc_id with different texts: then all their links are links of that document, and each row is
+returned; a NULL doc_id is linked with nothing and has a NULL component; an empty table gives an empty
+result. Other columns of the input are ignored. ``drop_near_duplicates`` looks at rows by their texts: of
+rows that repeat a doc_id only those go whose own text another document stands for.
 """
 
 from __future__ import annotations
@@ -117,6 +119,10 @@ def may_be_similar(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column) ->
     return sizes & ((n_a + n_b) * (100 - SIMILAR_PERCENT) >= apart * (100 + SIMILAR_PERCENT))
 
 
+def _set_key(hashes: np.ndarray) -> bytes:
+    return blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         sizes, keys = [], []
@@ -125,12 +131,19 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in enumerate(batch.column(1)):
             hashes = shingle_hashes(text.as_py())
             sizes.append(len(hashes))
-            keys.append(blake2b(hashes.tobytes(), digest_size=16).digest())
+            keys.append(_set_key(hashes))
             values[i] = signature(hashes)
             bits[i] = bitmap(hashes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(values), _lists(bits)],
-            names=["doc_id", "n_shingles", "set_key", "signature", "bitmap"],
+            [
+                batch.column(0),
+                pa.array(sizes, pa.int64()),
+                pa.array(keys, pa.binary()),
+                _lists(values),
+                _lists(bits),
+                batch.column(2),
+            ],
+            names=["doc_id", "n_shingles", "set_key", "signature", "bitmap", "text_key"],
         )
 
 
@@ -139,13 +152,19 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
 
 
+def text_key(text: Column) -> Column:
+    """The digest of a text; NULL for none."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_key (equal for equal sets), signature and bitmap."""
+    """Per row: doc_id, n_shingles, set_key (equal for equal sets), signature, bitmap and text_key."""
     ship_package(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(
         _sign,
-        f"doc_id {id_type}, n_shingles bigint, set_key binary, signature array<bigint>, bitmap array<bigint>",
+        f"doc_id {id_type}, n_shingles bigint, set_key binary, signature array<bigint>, bitmap array<bigint>, "
+        "text_key binary",
     )
 
 
@@ -195,23 +214,32 @@ def _with_matches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of texts whose set is that of the class they are taken for."""
     for batch in slices(batches):
-        found = [shingle_hashes(text.as_py()).view(np.int64) for text in batch.column(1)]
+        members, found = [], []
+        for member, key, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+            hashes = shingle_hashes(text.as_py())
+            if _set_key(hashes) == key.as_py():
+                members.append(member.as_py())
+                found.append(hashes.view(np.int64))
         ends = np.cumsum([0, *map(len, found)])
         sets = pa.ListArray.from_arrays(
             pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found]))
         )
-        yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["member", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.int64()), sets], names=["member", "hashes"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs that are linked by their full sets; ``texts`` has member and text."""
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs that are linked by their full sets, which are taken from a text of each class."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
-    id_type = texts.schema["member"].dataType.simpleString()
+    asked = classes.select("member", "set_key", "first_id").join(needed, "member", "left_semi")
     sets = written(
-        texts.join(needed, "member", "left_semi")
-        .select("member", "text")
-        .mapInArrow(_sets, f"member {id_type}, hashes array<bigint>")
+        docs.select(F.col("doc_id").alias("first_id"), "text")
+        .join(asked, "first_id")
+        .select("member", "set_key", "text")
+        .mapInArrow(_sets, "member bigint, hashes array<bigint>")
+        # Rows that repeat a doc_id may have the same set.
+        .dropDuplicates(["member"])
     )
     both = pairs.join(_of_pair("a", "hashes", sets), "a").join(_of_pair("b", "hashes", sets), "b")
     common = F.size(F.array_intersect("hashes_a", "hashes_b"))
@@ -308,21 +336,9 @@ def pairs_across(postings: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id and kept (it is its component's smallest)."""
-    signed = written(signatures(docs))
-    classes = written(
-        signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        .groupBy("set_key")
-        .agg(
-            F.min("doc_id").alias("member"),
-            F.first(F.struct("signature", F.col("n_shingles").alias("n"), F.col("bitmap").alias("bits"))).alias("sign"),
-        )
-    )
-    # Only a doc_id repeated with different texts has several sets; one of them is looked at.
-    single = classes.groupBy("member").agg(F.min_by("sign", "set_key").alias("sign")).select("member", "sign.*")
-    texts = docs.select(F.col("doc_id").alias("member"), "text")
-    lists = written(posting_lists(single))
+def _links_of_sets(classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)``: enough links between similar sets that all others follow, and their components."""
+    lists = written(posting_lists(classes))
 
     # Written, as are the main components below, so that the join can split a list of many members.
     centres = written(
@@ -339,43 +355,79 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
         .distinct()
     )
-    near = written(_with_matches(to_centre, single))
-    links = written(_confirmed(near, texts))
+    near = written(_with_matches(to_centre, classes))
+    links = written(_confirmed(near, classes, docs))
 
     found = written(components(links))
     across = pairs_across(_labelled(lists, found))
-    more = written(_with_matches(across, single))
-    links = links.union(_confirmed(more, texts))
-    found = written(components(links))
+    more = written(_with_matches(across, classes))
+    links = links.union(_confirmed(more, classes, docs))
+    return links, written(components(links))
+
+
+def _links_of_ids(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """``(a, b)`` between the sets of one doc_id, if any has several: all to the first of them."""
+    several = written(
+        signed.groupBy("doc_id")
+        .agg(F.min("set_key").alias("one"), F.max("set_key").alias("other"))
+        .where("one <> other")
+        .select("doc_id")
+    )
+    if several.isEmpty():
+        return None
+    members = written(
+        signed.join(several, "doc_id", "left_semi")
+        .select("doc_id", "set_key")
+        .distinct()
+        .join(classes.select("set_key", "member"), "set_key")
+        .select("doc_id", "member")
+    )
+    first = members.groupBy("doc_id").agg(F.min("member").alias("a"))
+    return members.join(first, "doc_id").where("member <> a").select("a", F.col("member").alias("b"))
+
 
-    ids = _labelled(classes.select("set_key", "member"), found).select(
-        F.col("set_key").alias("its_key"), "component"
+def _with_components(docs: DataFrame, join_ids: bool) -> DataFrame:
+    """The signed rows with the smallest doc_id of their component; with ``join_ids`` through ids as well."""
+    signed = written(signatures(docs))
+    sound = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    grouped = sound.groupBy("set_key").agg(
+        F.min("doc_id").alias("first_id"),
+        F.first(F.struct("signature", F.col("n_shingles").alias("n"), F.col("bitmap").alias("bits"))).alias("sign"),
     )
+    # Numbered as it is written: what is read from there on has the same numbers.
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("member"), "set_key", "first_id", "sign.*"))
+    links, found = _links_of_sets(classes, docs)
+    more = _links_of_ids(sound, classes) if join_ids else None
+    if more is not None:
+        found = written(components(links.union(more)))
+    labelled = written(_labelled(classes.select("set_key", "first_id", "member"), found))
+    smallest = labelled.groupBy("component").agg(F.min("first_id").alias("smallest_id"))
+    ids = labelled.join(smallest, "component").select(F.col("set_key").alias("its_key"), "smallest_id")
     linked = (F.col("set_key") == F.col("its_key")) & (F.col("n_shingles") > 0)
-    component = F.when(
-        F.col("doc_id").isNotNull(), F.coalesce(F.col("component"), F.col("doc_id"))
-    )
-    return (
-        signed.join(ids, linked, "left")
-        .withColumn("component_id", component)
-        .select(
-            "doc_id",
-            "n_shingles",
-            "component_id",
-            F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
-        )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("smallest_id"), F.col("doc_id")))
+    return signed.join(ids, linked, "left").withColumn("component_id", component)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id and kept (it is its component's smallest)."""
+    return _with_components(docs, join_ids=True).select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that another one of their component stands for.
+    """``docs`` without the rows whose text another document of its component stands for.
 
     All columns are kept. Rows with a NULL doc_id stay; of repeated rows all stay or none.
     """
     gone = (
-        near_duplicates(docs)
-        .where("doc_id IS NOT NULL AND NOT kept")
-        .select(F.col("doc_id").alias("__gone_id"))
+        _with_components(docs, join_ids=False)
+        .where("doc_id <> component_id")
+        .select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key"))
         .distinct()
     )
-    return docs.join(gone, docs["doc_id"] == F.col("__gone_id"), "left_anti")
+    of_row = (docs["doc_id"] == F.col("__gone_id")) & (text_key(docs["text"]) == F.col("__gone_key"))
+    return docs.join(gone, of_row, "left_anti")

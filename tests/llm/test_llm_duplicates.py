@@ -268,3 +268,65 @@ def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901)], "a bigint, b bigint")
     found = {r.member: r.component for r in near_duplicates.components(links).collect()}
     assert found == {**{i: 0 for i in range(301)}, 900: 900, 901: 900}
+
+
+def _changed(text, place):
+    parts = text.split()
+    parts[place] = "changed"
+    return " ".join(parts)
+
+
+def test_every_set_of_a_repeated_id_is_searched(spark):
+    """Documents 2 and 3 resemble different texts of document 1: all three belong together."""
+    draw = random.Random(21)
+    a, b, c, d = (words(draw, 120) for _ in range(4))
+    rows = [(1, a), (1, b), (2, _changed(a, 60)), (3, _changed(b, 30)), (4, c), (5, d), (5, _changed(c, 10)), (6, d), (7, "one two")]
+    found = near_duplicates.near_duplicates(documents(spark, [(i, t, "aa", "s", 0) for i, t in rows])).collect()
+    assert len(found) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7)}
+
+
+def test_repeated_ids_equal_brute_force(spark):
+    draw = random.Random(22)
+    pool = [words(draw, draw.randint(3, 60)) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        text = draw.choice(pool)
+        if draw.random() < 0.5 and len(text.split()) > 20:
+            text = _changed(text, draw.randrange(len(text.split())))
+        rows.append((draw.choice([i, i % 7, 40 + i % 30]), draw.choice([text, text, None, ""])))
+    sets = [frozenset(near_duplicates.shingle_hashes(t).tolist()) for _, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, _), x in zip(rows, sets):
+        for (j, _), y in zip(rows, sets):
+            if x and y and 100 * len(x & y) >= 75 * len(x | y) and find(i) != find(j):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    expected = sorted((i, len(x), find(i) if x else i) for (i, _), x in zip(rows, sets))
+    table = documents(spark, [(i, t, "aa", "s", 0) for i, t in rows])
+    found = near_duplicates.near_duplicates(table).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == expected
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+def test_unique_texts_stay_when_their_id_is_repeated(spark):
+    draw = random.Random(23)
+    a, unique = words(draw, 100), words(draw, 100)
+    rows = [(1, a), (7, a), (7, unique), (7, None), (8, _changed(a, 50)), (8, _changed(a, 50)), (9, unique.upper()), (9, a)]
+    kept = near_duplicates.drop_near_duplicates(documents(spark, [(i, t, "aa", "s", 0) for i, t in rows]))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (7, unique), (7, None)], key=str)
+
+
+def test_one_id_holds_a_third_of_all_rows(spark):
+    draw = random.Random(24)
+    texts = [words(draw, 40) for _ in range(150)]
+    rows = [(0 if i % 3 == 0 else i, t) for i, t in enumerate(texts)] + [(200 + i, texts[3 * i]) for i in range(20)]
+    found = near_duplicates.near_duplicates(documents(spark, [(i, t, "aa", "s", 0) for i, t in rows])).collect()
+    assert {r.component_id for r in found if r.doc_id == 0 or r.doc_id >= 200} == {0}
+    assert all(r.kept for r in found if 0 < r.doc_id < 200)
