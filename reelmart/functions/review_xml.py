@@ -42,6 +42,11 @@ _ENTITY = r"&(?!(?:lt|gt|amp|apos|quot);)([A-Za-z_:][\w:.-]*);"
 _NAMES = "|".join((ROOT, RECORD, *FIELDS))
 _OTHER_CASE = rf"<(?!/?(?:{_NAMES})[\s/>])/?(?i:{_NAMES})[\s/>]"
 
+# A document of nothing but the known elements, with text that names no entity. The pattern is linear:
+# no part of it gives back what it has taken.
+_ELEMENT = rf"<({'|'.join(FIELDS)})>[^<&]*+</\1>"
+_SIMPLE = rf"^\s*+<{ROOT}>\s*+<{RECORD}>(?:\s*+{_ELEMENT})*+\s*+</{RECORD}>\s*+</{ROOT}>\s*+$"
+
 
 def document_of(log: Column) -> Column:
     """The log text; an empty one is no document."""
@@ -61,6 +66,11 @@ def parsed_log(document: Column, fail_on_malformed: bool = False) -> Column:
     )
 
 
+def is_simple(document: Column) -> Column:
+    """True for a document that none of the rarer forms below can apply to: the parse alone tells all."""
+    return F.coalesce(document.rlike(_SIMPLE), F.lit(False))
+
+
 def has_review_root(document: Column) -> Column:
     """Whether the document's outermost element is the review log."""
     return F.regexp_extract(document, _FIRST_ELEMENT, 1) == ROOT
@@ -101,13 +111,18 @@ def needs_xpath(document: Column) -> Column:
     return document.rlike(_OTHER_CASE) | _names_entity(document)
 
 
+def is_unreadable(parsed: Column) -> Column:
+    """Whether the parser gave up; NULL without a document."""
+    return parsed[_BAD].isNotNull()
+
+
 def is_malformed(document: Column, parsed: Column) -> Column:
     """True for a document that cannot be read as XML, NULL without a document."""
     # The parser stops at the end of the root element, so what follows is looked at here.
     marked = document.contains("<!") | document.contains("<?")
     told = F.regexp_replace(document, rf"(?s){_REMARK}|<!\[CDATA\[.*?\]\]>|{_DOCTYPE}", "")
     told = F.when(marked, told).otherwise(document)
-    return parsed[_BAD].isNotNull() | told.rlike(_AFTER_ROOT) | told.rlike(_AFTER_EMPTY_ROOT)
+    return is_unreadable(parsed) | told.rlike(_AFTER_ROOT) | told.rlike(_AFTER_EMPTY_ROOT)
 
 
 def text_by_xpath(document: Column, name: str) -> Column:
@@ -126,10 +141,6 @@ def first_text(parsed: Column, name: str) -> Column:
     )
 
 
-def without_markup(text: Column, document: Column, name: str) -> Column:
-    """``text`` as XPath gives it.
-
-    Only a text with an angle bracket can differ, by markup inside the element: such a rare one is
-    read again by the much slower ``xpath_string``.
-    """
-    return F.when(text.contains("<"), text_by_xpath(document, name)).otherwise(text)
+def has_markup(text: Column) -> Column:
+    """Whether a text may differ from what XPath gives, by markup inside the element; such a one is rare."""
+    return F.coalesce(text.contains("<"), F.lit(False))

@@ -32,36 +32,41 @@ def parse_review_logs(
 
 
 def _parsed_rows(raw: DataFrame, date_format: str, fail_on_malformed: bool) -> DataFrame:
-    document = F.col("_document")
+    document, simple = F.col("_document"), F.col("_simple")
     parsed = F.col("_parsed")
-    malformed = xml.is_malformed(document, parsed)
+
+    def unless_simple(plain: Column, looked_at: Column) -> Column:
+        """What the document's rarer forms ask for, at the price of a closer look, only where there may be one."""
+        return F.when(simple, plain).otherwise(looked_at)
+
+    malformed = unless_simple(xml.is_unreadable(parsed), xml.is_malformed(document, parsed))
     if fail_on_malformed:
         failure = F.raise_error(F.concat(F.lit("malformed document: "), document))
         malformed = F.when(malformed, failure.cast("boolean")).otherwise(malformed)
+    plain = unless_simple(document, xml.plain_document(document))
     texts = (
         raw.select("id_review", xml.document_of(F.col("log")).alias("_document"))
-        .withColumn("_parsed", xml.parsed_log(xml.plain_document(document), fail_on_malformed))
+        .withColumn("_simple", xml.is_simple(document))
+        .withColumn("_parsed", xml.parsed_log(plain, fail_on_malformed))
         .select(
             F.col("id_review").alias("log_id"),
             "_document",
+            "_simple",
             malformed.alias("_malformed"),
-            xml.has_review_root(document).alias("_rooted"),
-            xml.needs_xpath(document).alias("_by_xpath"),
+            unless_simple(F.lit(True), xml.has_review_root(document)).alias("_rooted"),
+            unless_simple(F.lit(False), xml.needs_xpath(document)).alias("_by_xpath"),
             *(xml.first_text(parsed, name).alias(column) for name, column in xml.FIELDS.items()),
         )
     )
-    fields = {
-        column: F.when(
-            ~F.col("_malformed"),
-            F.coalesce(
-                F.when(F.col("_by_xpath"), xml.text_by_xpath(document, name)).when(
-                    F.col("_rooted"), xml.without_markup(F.col(column), document, name)
-                ),
-                F.lit(""),
-            ),
+    fields = {}
+    for name, column in xml.FIELDS.items():
+        by_xpath = F.col("_by_xpath") | (F.col("_rooted") & xml.has_markup(F.col(column)))
+        text = (
+            F.when(simple, F.col(column))
+            .when(by_xpath, xml.text_by_xpath(document, name))
+            .when(F.col("_rooted"), F.col(column))
         )
-        for name, column in xml.FIELDS.items()
-    }
+        fields[column] = F.when(~F.col("_malformed"), F.coalesce(text, F.lit("")))
     written_date = F.trim(fields["log_date"], F.lit(_BLANKS))
     fields["log_date"] = F.try_to_date(written_date, date_format)
     return texts.select(

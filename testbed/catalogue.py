@@ -23,6 +23,8 @@ from reelmart.operators.purchases import (
     stage_user_purchase,
 )
 from reelmart.operators.reviews import classify_reviews, review_scores, review_tokens
+from reelmart.operators.skew import HOT_ROWS
+from reelmart.plans.colocated import build_fact_over, lay_out
 from reelmart.plans.increments import CUSTOMER_TOTALS, load_increment, merged_totals, new_totals
 from reelmart.plans.together import together
 from reelmart.plans.warehouse import build_warehouse, load_stage_tables, refresh_at_once
@@ -116,6 +118,23 @@ def _fact_with_hot_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fact(spark, sf_dir, hot_rows=0, broadcast_bytes=0)
 
 
+def _fact_over_buckets(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
+    # Staged rows by customer and by review in eight buckets or so.
+    logs, reviews, purchases = together(
+        lambda: _staged_logs(spark, sf_dir),
+        lambda: written(_reviews(spark, sf_dir, "data")),
+        lambda: written(_purchases(spark, sf_dir)),
+    )
+    rows = {"rows_per_bucket": max(1, logs.count() // 8)}
+    layout = lay_out(spark, _database(spark), purchases, reviews, logs, **rows, hot_rows=limits.get("hot_rows", HOT_ROWS))
+    return build_fact_over(layout, _dims(logs), AS_OF, **limits)
+
+
+def _fact_over_buckets_with_hot_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # As with too many customers to broadcast; all users are kept out of the buckets and split.
+    return _fact_over_buckets(spark, sf_dir, hot_rows=0, broadcast_bytes=0)
+
+
 def _csv_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, stage = scratch_folder(spark), scratch_folder(spark)
     write_csv(inputs.log_reviews(spark, sf_dir), raw)
@@ -328,6 +347,8 @@ def catalogue() -> dict[str, Query]:
         "dim_lookup_by_shuffle": _dim_lookup_by_shuffle,
         "fact_movie_analytics": _fact,
         "fact_with_hot_users": _fact_with_hot_users,
+        "fact_over_buckets": _fact_over_buckets,
+        "fact_over_buckets_hot_users": _fact_over_buckets_with_hot_users,
         "csv_review_logs": _csv_logs,
         "csv_movie_reviews": _csv_review_text,
         "csv_large_files": _csv_large_files,
