@@ -32,6 +32,7 @@ _TOKEN = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|([^<]+|<)""",
     re.S,
 )
+_OPENS = re.compile(r"/?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 _VOID = frozenset(
@@ -41,10 +42,13 @@ _VOID = frozenset(
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 # Elements that never hold main text.
 _NEVER = frozenset(
-    "script style noscript template iframe object embed applet svg math canvas audio video map "
-    "head title nav footer aside form button input select option optgroup textarea label fieldset "
-    "dialog menu xmp noembed noframes".split()
+    "script style noscript template iframe object embed applet svg canvas audio video map annotation "
+    "annotation-xml head title nav footer aside form button input select option optgroup textarea label "
+    "fieldset dialog menu xmp noembed noframes".split()
 )
+# Of these, those that a page may also put around its running text, and what makes them a form.
+_FORMS = frozenset("form fieldset".split())
+_CONTROLS = frozenset("input select textarea button".split())
 # Elements that begin a new line of text.
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption "
@@ -216,15 +220,18 @@ def parse(html: str) -> _Node:
     """The tree of a page; text is a child as it is, still with character references."""
     root = _Node("#root", None)
     node = root
+    forms: list[_Node] = []
     at, end = 0, len(html)
     while at < end:
         match = _TOKEN.match(html, at)
-        if match is None:  # an open tag that never ends
+        if match is None:
             node.children.append(html[at:])
             break
         at = match.end()
         closing, name, source, text = match.groups()
         if text is not None:
+            if text == "<" and _OPENS.match(html, at):
+                break  # a tag that never ends takes the rest of the page, as in browsers
             node.children.append(text)
             continue
         if name is None:
@@ -238,11 +245,13 @@ def parse(html: str) -> _Node:
         classes, own_id = found.get("class", ""), found.get("id", "").strip()
         names = f"{classes} {own_id}".strip()
         child = _Node(tag, node, _parted(names))
+        if tag in _FORMS and not _is_dropped("div", found, node):
+            forms.append(child)
         child.dropped = bool(found or tag in _NEVER or tag == "header") and _is_dropped(tag, found, node)
-        if names and not child.dropped and tag not in ("html", "body", "main"):
+        if names and (tag in _FORMS or not child.dropped) and tag not in ("html", "body", "main"):
             mark = max([_mark(own_id, True), *(_mark(name, False) for name in classes.split())])
             child.by_name, child.unsure = mark > 0, mark == 1
-            child.dropped = mark > 0 and (tag not in _TEXT or "hidden" in classes.split())
+            child.dropped |= mark > 0 and (tag not in _TEXT or "hidden" in classes.split())
         if tag in ("article", "main") and not child.dropped:
             _keep_around(node)
         node.children.append(child)
@@ -253,9 +262,54 @@ def parse(html: str) -> _Node:
             at = stop.end() if stop else end
             continue
         node = child
+    if forms:
+        _keep_forms_of_text(root, forms)
     return root
 
 
+def _form_texts(node: _Node, inner: dict[int, tuple[int, bool]]) -> tuple[int, bool]:
+    """Letters of the text below ``node`` that is not left out, forms apart, and whether it has controls.
+
+    ``inner`` takes the same for each form, without what lies in forms within it.
+    """
+    # (element, the form it belongs to, whether it is left out)
+    stack: list[tuple[_Node, _Node, bool]] = [(node, node, False)]
+    length: dict[int, int] = {id(node): 0}
+    controls: set[int] = set()
+    while stack:
+        current, form, out = stack.pop()
+        for child in current.children:
+            if isinstance(child, str):
+                if not out:
+                    length[id(form)] += len(child) - child.count(" ")
+                continue
+            if child.tag in _CONTROLS:
+                controls.add(id(form))
+            if child.tag in _FORMS:
+                length[id(child)] = 0
+                # Names and roles may leave out a form as anything else.
+                stack.append((child, child, out or child.by_name))
+            else:
+                stack.append((child, form, out or child.dropped))
+    inner.update({key: (size, key in controls) for key, size in length.items() if key != id(node)})
+    return length[id(node)], id(node) in controls
+
+
+def _keep_forms_of_text(root: _Node, forms: list[_Node]) -> None:
+    """Forms that the page is built into are no forms: their controls are left out, not their text.
+
+    A form holds the running text if it has more text than all that lies outside of forms, a
+    fieldset without controls is a frame around text. Those that names mark stay out.
+    """
+    found: dict[int, tuple[int, bool]] = {}
+    outside, _ = _form_texts(root, found)
+    for node in forms:
+        length, has_controls = found[id(node)]
+        is_text = length > outside if node.tag == "form" else not has_controls
+        if is_text and length and not node.by_name:
+            node.dropped = False
+
+
 def _close(node: _Node, tag: str) -> _Node:
     """The element that is open after ``</tag>``; an end tag without a start changes nothing."""
     found = node

@@ -289,3 +289,44 @@ def test_long_texts_are_learned_from(spark):
     assert 40_000 <= sum(map(len, learned["aa"])) < 41_000
     found = language_id.predict_languages(docs, docs).where("doc_id = 1").collect()
     assert [r.lang_pred for r in found] == ["cc"]
+
+
+def _text_of(html):
+    return html_text.main_text(html)
+
+
+SENTENCES = "".join(f"<p>Sentence number {i} tells, at some length, what the article is about.</p>" for i in range(8))
+
+
+def test_a_page_within_a_form_keeps_its_text():
+    inside = f'<form action="/"><div class="content">{SENTENCES}</div><label>Name</label><input><button>Send</button></form>'
+    text = _text_of(f"<html><body><nav>Menu</nav>{inside}<footer>All rights</footer></body></html>")
+    assert text.count("Sentence number") == 8 and "Name" not in text and "Send" not in text and "Menu" not in text
+    beside = "<form><p>Give us your mail address, please, and more.</p><input></form>"
+    text = _text_of(f"<html><body><div>{SENTENCES}</div>{beside}</body></html>")
+    assert text.count("Sentence number") == 8 and "mail address" not in text
+    marked = f'<form class="newsletter signup">{SENTENCES}</form>'
+    assert "Sentence" not in _text_of(f"<html><body><p>Short.</p>{marked}</body></html>")
+
+
+def test_frames_and_formulas_in_an_article():
+    framed = "<fieldset><p>A framed remark, which is part of the article, of some length.</p></fieldset>"
+    formula = "<p>The value <math><mi>x</mi><annotation>tex</annotation></math> is known, as all agree, for long.</p>"
+    asked = "<fieldset><p>Choose one of these, if you like to.</p><input type=radio></fieldset>"
+    text = _text_of(f"<html><body><article>{SENTENCES}{framed}{formula}{asked}</article></body></html>")
+    assert "A framed remark" in text and "The value x is known" in text and "Choose one" not in text and "tex" not in text
+
+
+def test_a_tag_that_never_ends_takes_the_rest():
+    text = _text_of(f'<html><body><article>{SENTENCES}<p>Hello <a href="x>link</p><p>gone</p>')
+    assert text.endswith("Hello") and "href" not in text and "link" not in text
+    assert "1 < 2, and 3 <4" in _text_of(f"<article>{SENTENCES}<p>As 1 < 2, and 3 <4, so it is, at length.</p></article>")
+
+
+def test_unclosed_quotes_take_linear_time():
+    import time
+
+    page = f"<article>{SENTENCES}" + '<a x="' * 100_000
+    started = time.perf_counter()
+    assert "Sentence number 7" in _text_of(page)
+    assert time.perf_counter() - started < 2
