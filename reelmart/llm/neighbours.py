@@ -9,7 +9,8 @@ the chi-square probability that a vector nearer than the last of its best would
 within the distance reached so far is at least ``CONFIDENCE``.
 
 Equal vectors are one entry of the index, with one id more than the neighbours asked for, the smallest: as
-ties go to the smaller id, the others can never be found. Shards hold ``SHARD`` entries and
+ties go to the smaller id, the others can never be found. Different vectors of one score are ranked by
+their ids, in a shard as among shards. Shards hold ``SHARD`` entries and
 meet queries in blocks of ``BLOCK``, so a task holds neither all vectors nor all queries.
 
 Defined results: vectors that are NULL, empty, zero, or hold a NULL or a component that is not finite
@@ -96,29 +97,37 @@ class Tree:
 
 
 class Shard:
-    """Entries of the index: vectors with the first ids that have them."""
+    """Entries of the index: vectors, each with the smallest id that has it."""
 
-    def __init__(self, vectors: np.ndarray, seed: int = 7):
-        self.vectors = vectors
+    def __init__(self, vectors: np.ndarray, first_ids: np.ndarray, seed: int = 7):
+        self.vectors, self.first_ids = vectors, first_ids
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.matrix = projection(vectors.shape[1], seed)
-        self.tree = Tree((vectors / self.norms[:, None]) @ self.matrix)
+        self.points = (vectors / self.norms[:, None]) @ self.matrix
+        self.tree = Tree(self.points)
 
     def search(self, query: np.ndarray, wanted: int, ratio: float) -> list[tuple[float, int]]:
-        """``(score, entry)`` of the best entries found, best first."""
+        """``(score, entry)`` of the best entries found, best first, ties by their smallest ids.
+
+        Leaves are read on as long as they can hold an entry that is projected no farther than one of the
+        best, so that what ties with these, as vectors of one direction do, is looked at as well.
+        """
         norm = math.sqrt((query * query).sum())
         point = (query / norm) @ self.matrix
         order, reached = self.tree.nearest_first(point)
         entries = np.empty(0, np.int64)
         scores = np.empty(0)
         for leaf, distance in zip(order, reached):
-            if len(scores) >= wanted and distance > ratio * max(0.0, 2 - 2 * scores[-1]):
-                break
+            if len(scores) >= wanted:
+                farthest = ((self.points[entries] - point) ** 2).sum(axis=1).max()
+                # Equal points may differ in their last digits.
+                if distance > max(ratio * max(0.0, 2 - 2 * scores[-1]), farthest * (1 + 1e-9) + 1e-12):
+                    break
             part = self.tree.leaves[leaf]
             found = _dots(self.vectors[part], query) / (self.norms[part] * norm)
             scores = np.concatenate([scores, found])
             entries = np.concatenate([entries, part])
-            best = np.argsort(-scores, kind="stable")[:wanted]
+            best = np.lexsort((self.first_ids[entries], -scores))[:wanted]
             scores, entries = scores[best], entries[best]
         return list(zip(scores.tolist(), entries.tolist()))
 
@@ -181,8 +190,8 @@ def nearest(
     def search(index: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(index) and len(questions):
-            shard = Shard(np.stack(index["vector"].to_numpy()))
             ids = index["ids"].to_list()
+            shard = Shard(np.stack(index["vector"].to_numpy()), np.array([own[0] for own in ids], np.int64))
             for query_id, vector in zip(questions["query_id"], questions["vector"]):
                 # One more, as the query's own vector may be among them.
                 for score, entry in shard.search(np.asarray(vector), wanted + 1, ratio):

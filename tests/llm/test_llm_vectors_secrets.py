@@ -57,6 +57,23 @@ def test_neighbours_and_recall(spark, monkeypatch):
     assert [v for _, v, _ in sorted(found[3050])] == [7, 3000, 3001, 3002, 3003]
 
 
+@pytest.mark.parametrize("shard", [8, 500])
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark, monkeypatch, shard):
+    """Multiples by powers of two have the very same cosine; many of them, in any order of ids."""
+    monkeypatch.setattr(neighbours, "SHARD", shard)
+    draw = random.Random(5)
+    ids = list(range(1, 121))
+    draw.shuffle(ids)
+    rows = [(i, [float(c * 2 ** (k % 40)) for c in ((3, 1, 2, 0) if k < 80 else (1, 0, 0, 1))]) for k, i in enumerate(ids)]
+    rows += [(1_000, [1.0, 2.0, 3.0, 4.0]), (1_050, [3.0, 1.0, 2.0, 0.5])]
+    found = {}
+    vectors = _table(spark, rows)
+    for r in neighbours.nearest(vectors, vectors.where("vec_id >= 1000")).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for query, best in _brute(rows, {1_000, 1_050}).items():
+        assert [v for _, v in sorted(found[query])] == [i for _, i in best]
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [
         (0, [1.0, 0.0]), (1, [2.0, 0.1]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [1.0, None]),
