@@ -232,7 +232,8 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs that are linked by their full sets, which are taken from a text of each class."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
-    asked = classes.select("member", "set_key", "first_id").join(needed, "member", "left_semi")
+    # Written, so that its size is known: texts are shuffled only where it is too large to send to them.
+    asked = written(classes.select("member", "set_key", "first_id").join(needed, "member", "left_semi"))
     sets = written(
         docs.select(F.col("doc_id").alias("first_id"), "text")
         .join(asked, "first_id")
