@@ -16,6 +16,7 @@ from reelmart.operators.fact import build_fact
 from reelmart.operators.keys import number_by_ranges
 from reelmart.operators.logs import log_quality, parse_review_logs
 from reelmart.operators.lookup import lookup_ids
+from reelmart.operators.prefilter import FILTER_BYTES
 from reelmart.operators.purchases import (
     customer_review_spend,
     customer_spend,
@@ -118,6 +119,11 @@ def _fact_with_hot_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fact(spark, sf_dir, hot_rows=0, broadcast_bytes=0)
 
 
+def _fact_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # As with too many customers to broadcast, but few enough for a filter.
+    return _fact(spark, sf_dir, broadcast_bytes=0, filter_bytes=FILTER_BYTES)
+
+
 def _fact_over_buckets(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
     # Staged rows by customer and by review in eight buckets or so.
     logs, reviews, purchases = together(
@@ -347,6 +353,7 @@ def catalogue() -> dict[str, Query]:
         "dim_lookup_by_shuffle": _dim_lookup_by_shuffle,
         "fact_movie_analytics": _fact,
         "fact_with_hot_users": _fact_with_hot_users,
+        "fact_prefiltered": _fact_prefiltered,
         "fact_over_buckets": _fact_over_buckets,
         "fact_over_buckets_hot_users": _fact_over_buckets_with_hot_users,
         "csv_review_logs": _csv_logs,

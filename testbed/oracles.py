@@ -247,6 +247,7 @@ def oracles() -> dict[str, str]:
         "dim_lookup_by_shuffle": _LOOKUP,
         "fact_movie_analytics": _fact("data"),
         "fact_with_hot_users": _fact("data"),
+        "fact_prefiltered": _fact("data"),
         "fact_over_buckets": _fact("data"),
         "fact_over_buckets_hot_users": _fact("data"),
         "csv_review_logs": _LOGS,
