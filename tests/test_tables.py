@@ -156,6 +156,31 @@ def test_a_cluster_needs_a_shared_scratch_folder(spark, folder):
     assert scratch_folder(_Session(spark, "local-cluster[2,1,1024]", folder)).startswith(folder)
 
 
+class _Cluster(_Session):
+    """As ``_Session``, with the rows that come back of those written to try the folder out."""
+
+    def __init__(self, spark, master, folder, lost=0):
+        super().__init__(spark, master, folder)
+        self.sparkContext.defaultParallelism = 2
+        self.read = spark.read
+        self.range = lambda start, end, step, parts: spark.range(start, end - lost, step, parts)
+
+
+def test_a_cluster_may_share_a_mounted_folder(spark, tmp_path):
+    for master in ("yarn", "spark://host:7077", "k8s://host"):
+        for root in (f"{tmp_path}", f"file://{tmp_path}/"):
+            assert scratch_folder(_Cluster(spark, master, root)).startswith(f"{root.rstrip('/')}/")
+    # Nothing is left of the trial.
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_a_folder_that_loses_rows_is_not_shared(spark, tmp_path):
+    for _ in range(2):
+        with pytest.raises(ValueError, match="local file system"):
+            scratch_folder(_Cluster(spark, "spark://other:7077", str(tmp_path), lost=1))
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_only_a_local_session_may_leave_the_setting_empty(spark):
     for master in ("yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="every executor"):
