@@ -119,3 +119,16 @@ def test_documents_are_parsed_once(spark):
     plan = parse_review_logs(_raw(spark, [FULL]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_xml(") == 1
     assert "Exchange" not in plan
+
+
+def test_texts_by_xpath_keep_their_places(spark):
+    # Each by the slow route: markup, empty, missing and repeated elements, blanks, characters that split.
+    documents = [
+        "<reviewlog><log><Device>Q</Device><os>a|b,c</os><os>x</os><logDate/><ipAddress> \n </ipAddress></log></reviewlog>",
+        "<reviewlog><log><phoneNumber>1<b>2</b>3</phoneNumber></log><log><device>A<i/></device></log></reviewlog>",
+        "<reviewlog><LOG/><log><location>\ufffd é</location></log></reviewlog>",
+    ]
+    raw = _raw(spark, documents)
+    paths = [F.expr(f"xpath_string(log, '/reviewlog/log/{name}')").alias(column) for name, column in FIELDS.items()]
+    expected = raw.select(F.col("id_review").alias("log_id"), *paths).drop("log_date").collect()
+    assert sorted(parse_review_logs(raw).drop("log_date").collect()) == sorted(expected)

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 from testbed.catalogue import catalogue
 
@@ -76,3 +77,14 @@ def test_staging_is_narrow(spark):
     for name in ("parse_review_logs", "classify_reviews", "review_tokens"):
         plan = _plan(spark, name)
         assert "Exchange hashpartitioning" not in plan and "SinglePartition" not in plan
+
+
+def test_logs_of_one_block_are_parsed_by_all_cores(spark):
+    for name in ("parse_review_logs", "parse_review_logs_mixed"):
+        rows = catalogue()[name](spark, SF_DIR).groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(rows) >= spark.sparkContext.defaultParallelism
+        assert max(r["count"] for r in rows) <= 2 * min(r["count"] for r in rows)
+
+
+def test_a_document_is_looked_at_once_by_xpath(spark):
+    assert _plan(spark, "parse_review_logs_mixed").count("XPathStringEvaluator(") == 1
