@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -162,6 +163,63 @@ def test_known_shapes_are_not_learned_as_harmless():
     assert [x[-1] for x in secret_scan._labelled(f"token=ghp_{run}")] == [1]
 
 
+def _candidate_rows(last):
+    """Texts with a candidate each, more than one group of them, and one of over 20,000 characters."""
+    draw = random.Random(4)
+    rows = []
+    for i in range(secret_scan.GROUP + 500):
+        run = "".join(draw.choice("abcdef0123456789") for _ in range(20))
+        text = f"token={run} for it" if i % 3 == 0 else f"see /{run[:6]}/{run[6:10]}-{i}/x.html"
+        rows.append((i, text, "aa", "s", len(text)))
+    return [*rows, (-1, "word " * 5_000 + last, "aa", "s", 0)]
+
+
+def _learned(network):
+    return network.as_numbers(), network.slope, network.offset, network.threshold
+
+
+def test_every_candidate_of_every_text_is_learned_from(spark):
+    rows = _candidate_rows("see file-name-1.tar.gz") + [(-2, "password: aB3dE6gH9jK2mN5p " * 7, "aa", "s", 0)]
+    windows = secret_scan.labelled_windows(documents(spark, rows)).drop("place").collect()
+    expected = Counter(w for r in rows for w in secret_scan._labelled(r[1]))
+    assert {tuple(w[:4]): w.n for w in windows} == expected
+    assert len(expected) > secret_scan.GROUP
+
+
+def test_a_candidate_of_a_long_text_changes_the_network(spark):
+    few = _candidate_rows("")[-41:-1]
+    # More than are held out.
+    harmless = [f"see file-name-{i}.tar.gz " for i in range(8)]
+    with_and_without = [
+        secret_scan.train(documents(spark, [*few, (-1, "word " * 5_000 + last, "aa", "s", 0)]))
+        for last in ("", "".join(harmless))
+    ]
+    weights = [n.weights["kernel"].tolist() for n in with_and_without]
+    assert weights[0] != weights[1]
+
+
+def test_the_network_does_not_depend_on_tasks(spark):
+    docs = documents(spark, _candidate_rows("token=0123456789abcdef"))
+    assert _learned(secret_scan.train(docs.repartition(7, "doc_id"))) == _learned(secret_scan.train(docs.repartition(3)))
+
+
+def test_calibration_counts_rows_and_does_not_run_off():
+    draw = np.random.default_rng(6)
+    scores, labels = draw.normal(0, 1, 500), (draw.random(500) < 0.4).astype(np.float32)
+    counts = draw.integers(1, 5, 500)
+    by_count, by_row = secret_scan.Network(), secret_scan.Network()
+    by_count._calibrate(scores + 3 * labels, labels, counts)
+    by_row._calibrate(np.repeat(scores + 3 * labels, counts), np.repeat(labels, counts))
+    assert by_count.threshold == pytest.approx(by_row.threshold)
+    assert by_count.slope == pytest.approx(by_row.slope)
+    # Scores without a doubt, and far from zero.
+    sure = secret_scan.Network()
+    sure._calibrate(np.where(labels == 1, 25.0, 5.0) + scores / 10, labels)
+    assert (sure.slope, sure.offset) != (1.0, 0.0)
+    chances = sure.chances(np.array([5.0, 25.0]))
+    assert chances[0] < 0.1 and chances[1] > 0.9
+
+
 def test_scan_of_edge_rows(spark, network):
     rows = edge_rows() + [(100 + i, t, "aa", "s", 0) for i, t in enumerate(TEXTS)]
     docs = with_clashes(documents(spark, rows))
