@@ -1,10 +1,13 @@
 import datetime as dt
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from reelmart.operators.lookup import broadcastable, dimension_bytes, lookup_ids
+from reelmart.operators.lookup import broadcastable, dimension_bytes, lookup_ids, sides_by_size
 from reelmart.operators.skew import ROW
 from reelmart.scratch import written
+from testbed import inputs
 
 DAY = dt.date(2021, 3, 1)
 
@@ -77,3 +80,39 @@ def test_dimensions_share_one_bound():
     assert broadcastable(sizes, 0) == set()
     assert broadcastable(sizes, 80) == {"d", "b", "c"}
     assert broadcastable(sizes, 130) == set(sizes)
+
+
+def test_sides_that_are_large_but_for_their_files_are_not_broadcast(spark, tmp_path):
+    """Two hundred thousand parts with long equal names: a small file, 30 MB at the driver."""
+    tables = "/root/testdata/sf0.001"
+    for table in ("customer", "lineitem", "nation", "orders"):
+        os.symlink(f"{tables}/{table}.parquet", tmp_path / f"{table}.parquet")
+    parts = spark.read.parquet(f"{tables}/part.parquet")
+    more = spark.range(200_000).select(
+        (F.col("id") + 1_000_000).alias("p_partkey"), F.lit("n" * 100).alias("p_name"), F.lit(1.0).alias("p_retailprice")
+    )
+    parts.select(*more.columns).unionAll(more).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    files = sum(f.stat().st_size for f in (tmp_path / "part.parquet").glob("*.parquet"))
+    assert files < 4 * 1024 * 1024
+    found, plain = inputs.user_purchase(spark, str(tmp_path)), inputs.user_purchase(spark, tables)
+
+    def joins(frame):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "Join [l_partkey" in line]
+
+    assert ["SortMergeJoin" in line for line in joins(found)] == [True]
+    assert ["BroadcastHashJoin" in line for line in joins(plain)] == [True]
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+
+
+def test_text_counts_in_the_size_of_a_side(spark):
+    side = written(spark.createDataFrame([(1, "abc"), (2, None)], "k long, t string"))
+    other = side.select(F.col("k").alias("j"))
+
+    def plan(limit):
+        sides = sides_by_size({"a": side, "none": side.limit(0)}, limit)
+        joined = other.join(sides["a"], F.col("j") == F.col("k"))
+        return joined._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "strategy=broadcast" in plan(2 * 64 + 3)
+    assert "strategy=merge" in plan(2 * 64 + 2)
