@@ -4,10 +4,12 @@ Per language a suffix automaton holds labelled text. A text is parsed against ea
 longest phrases that occur there; the fewer phrases it takes, the lower the cross entropy, and the
 language of the fewest phrases, normalised by the letters read, wins.
 
-Learning is bounded: of each of the ``MOST_LANGUAGES`` most frequent languages the labelled texts with
+Learning is bounded: of each language the labelled texts with
 the smallest hashes of their doc_id are taken, ``TEXTS_PER_LANGUAGE`` of them at most, of each its first
 ``LONGEST_TEXT`` characters, until the language has its share of ``LEARNED_CHARACTERS``, or
-``MOST_CHARACTERS``. So the automata have a fixed size together. Prediction reads whole texts. A text is cut into lanes of
+``MOST_CHARACTERS``. All languages are learned: ``MOST_LANGUAGES`` of them share the characters, and where there
+are more, groups of as many take turns, so that the automata held at once have a fixed size together; the work grows
+with the number of groups, and the driver has the learned texts of all. Prediction reads whole texts. A text is cut into lanes of
 ``LANE`` letters that are parsed side by side, so that numpy makes one step of all lanes at once; a
 phrase ends at the end of a lane, for every language alike.
 
@@ -35,11 +37,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from reelmart.llm.batches import slices
 from reelmart.shipping import ship_package
 
 UNDETERMINED = "und"
+# Languages whose automata are held at once.
 MOST_LANGUAGES = 256
 TEXTS_PER_LANGUAGE = 400
 LONGEST_TEXT = 20_000
@@ -211,10 +215,26 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+class GroupsInTurn(LanguageModel):
+    """More languages than are held at once: the automata of one group after the other, for each call anew."""
+
+    def __init__(self, learned: dict[str, list[str]], at_once: int):
+        self.languages = list(learned)
+        self.groups = [
+            {language: learned[language] for language in self.languages[start : start + at_once]}
+            for start in range(0, len(learned), at_once)
+        ]
+
+    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        phrases, length = zip(*(LanguageModel(group).measure(texts) for group in self.groups))
+        return np.concatenate(phrases, axis=1), length[0]
+
+
 @lru_cache(maxsize=1)
-def _model(learned: tuple[tuple[str, tuple[str, ...]], ...]) -> LanguageModel:
+def _model(learned: tuple[tuple[str, tuple[str, ...]], ...], at_once: int) -> LanguageModel:
     """One model per worker process, built from the labelled texts themselves."""
-    return LanguageModel({language: list(texts) for language, texts in learned})
+    texts = {language: list(own) for language, own in learned}
+    return LanguageModel(texts) if len(texts) <= at_once else GroupsInTurn(texts, at_once)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -223,26 +243,36 @@ def held_out(doc_id: Column) -> Column:
 
 def learned_texts(labelled: DataFrame) -> dict[str, list[str]]:
     """The bounded sample of ``labelled`` (doc_id, text, lang) that is learned from."""
-    return _drawn_texts(labelled, 0)[0]
-
+    return {language: texts for learned, _ in _drawn_texts(labelled, 0) for language, texts in learned.items()}
 
-def _drawn_texts(labelled: DataFrame, held_texts: int) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
-    """The texts to learn, and beginnings of the next ``held_texts`` texts of each language.
 
-    Texts are drawn by the hash of their doc_id. The choice is made on ids and lengths; only texts
-    that are chosen come to the driver.
-    """
+def _drawn_texts(
+    labelled: DataFrame, held_texts: int
+) -> Iterator[tuple[dict[str, list[str]], dict[str, list[str]]]]:
+    """The texts to learn, and beginnings of the next ``held_texts`` texts of each language, group by group."""
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
         "lang",
         "doc_id",
         F.least(F.length("text"), F.lit(LONGEST_TEXT)).alias("size"),
         F.substring("text", 1, LONGEST_TEXT).alias("text"),
     ).where(F.col("size") > 0)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    counts = {row[0]: row[1] for row in counts.collect()}
+    # One row per language, the most frequent first.
+    rows = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    share = min(MOST_CHARACTERS, LEARNED_CHARACTERS // max(1, min(len(rows), MOST_LANGUAGES)))
+    for start in range(0, len(rows), MOST_LANGUAGES):
+        counts = {row[0]: row[1] for row in rows[start : start + MOST_LANGUAGES]}
+        yield _drawn_group(usable, counts, share, held_texts)
+
+
+def _drawn_group(
+    usable: DataFrame, counts: dict[str, int], share: int, held_texts: int
+) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """``share`` characters of each language of ``counts``, and what is held back.
+
+    Texts are drawn by the hash of their doc_id. The choice is made on ids and lengths; only texts
+    that are chosen come to the driver.
+    """
     languages = list(counts)
-    if not languages:
-        return {}, {}
     # A first draw of some more texts than are wanted, so that none of the steps below grows with the
     # number of texts of a language.
     shares = F.create_map(
@@ -251,7 +281,6 @@ def _drawn_texts(labelled: DataFrame, held_texts: int) -> tuple[dict[str, list[s
     first_draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30)
     drawn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
     so_far = drawn.rowsBetween(Window.unboundedPreceding, -1)
-    share = min(MOST_CHARACTERS, LEARNED_CHARACTERS // len(languages))
     chosen = (
         usable.where(F.col("lang").isin(languages) & first_draw)
         .select("lang", "doc_id", "size")
@@ -323,9 +352,10 @@ def predict_languages(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """
     ship_package(docs.sparkSession)
     learned = tuple((language, tuple(texts)) for language, texts in learned_texts(labelled).items())
+    at_once = MOST_LANGUAGES
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(learned)
+        model = _model(learned, at_once)
         for batch in slices(batches):
             found = model.predict(batch.column(1).to_pylist())
             languages, scores, rates, _ = zip(*found) if found else ((), (), (), ())
@@ -345,24 +375,35 @@ def predict_languages(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+def keep_identified(docs: DataFrame, labelled: DataFrame, into: str | None = None) -> DataFrame:
     """``docs`` without texts that are undetermined or in none of the learned languages.
 
     A text is in none of them if its break rate lies above the cut of the best one by more than its
-    allowance. All columns and all other rows are kept as they are, in one pass.
+    allowance. ``into`` names the column that gets the identified language of each text, one that
+    ``docs`` has or a further one. All other columns and all other rows are kept as they are, in one pass.
     """
     ship_package(docs.sparkSession)
-    texts, held = _drawn_texts(labelled, HELD_TEXTS)
-    cuts = break_cuts(texts, held)
+    texts, cuts = {}, {}
+    for own, held in _drawn_texts(labelled, HELD_TEXTS):
+        texts |= own
+        cuts |= break_cuts(own, held)
     learned = tuple((language, tuple(own)) for language, own in texts.items())
-    at, schema = docs.columns.index("text"), docs.schema
+    at_once = MOST_LANGUAGES
+    at, names = docs.columns.index("text"), docs.columns
+    schema = docs.schema
+    if into is not None:
+        found_in = StructField(into, StringType())
+        fields = [found_in if f.name == into else f for f in schema]
+        schema = StructType(fields if into in names else [*fields, found_in])
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(learned)
+        model = _model(learned, at_once)
         for batch in slices(batches):
             found = model.predict(batch.column(at).to_pylist())
-            yield batch.filter(
-                pa.array([x != UNDETERMINED and r - _allowance(n) <= cuts[x] for x, _, r, n in found], pa.bool_())
-            )
+            kept = pa.array([x != UNDETERMINED and r - _allowance(n) <= cuts[x] for x, _, r, n in found], pa.bool_())
+            if into is not None:
+                columns = dict(zip(names, batch.columns)) | {into: pa.array([x for x, *_ in found], pa.string())}
+                batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            yield batch.filter(kept)
 
     return docs.mapInArrow(keep, schema)

@@ -134,14 +134,16 @@ def mix_sources(
     max_epochs: float = 3.0,
     total: float | None = None,
     seed: int = 0,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (words of its source), copies, taken.
 
-    ``docs`` has doc_id, text and source, ``weights`` source and weight. The words taken of a source
+    ``docs`` has doc_id, text and source, ``weights`` source and weight; columns of ``docs`` that are
+    ``carried`` come last. The words taken of a source
     differ from its target by half of its longest document at most. ``copies`` is the number of
     times that the document goes into the mix, ``taken`` the words this makes.
     """
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carried))
     weighed = weights.select(F.col("source").alias("weighed"), "weight")
     sources = written(
         sized.groupBy("source")
@@ -174,7 +176,7 @@ def mix_sources(
     clear = placed.where("place <> prefix").withColumn("more", F.expr("place < prefix"))
     before = (
         Window.partitionBy("source")
-        .orderBy(key, "doc_id", "size")
+        .orderBy(key, "doc_id", "size", *carried)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     begins = F.col("words_before") + F.coalesce(F.sum("size").over(before), F.lit(0))
@@ -190,6 +192,7 @@ def mix_sources(
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
+        *carried,
     )
 
 

@@ -96,3 +96,13 @@ def test_pipeline_runs(spark):
     assert found.count() == len({r.doc_id for r in found.collect()}) > 100
     sources = {r.source: r for r in found.collect()}
     assert all(r.target <= 3 * r.source_size for r in sources.values())
+
+
+def test_pipeline_returns_identified_languages(spark):
+    rows = [(*r[:2], None if r[0] in (9, 11) else r[2], *r[3:]) for r in edge_rows() if r[0] is not None]
+    kept = documents(spark, rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.written(stage(spark, kept, SF_DIR))
+    mix = corpus_pipeline.STAGES[-1][1](spark, kept, SF_DIR)
+    found = {r.doc_id: r.lang for r in mix.collect()}
+    assert (found[1], found[9], found[10], found[11]) == ("aa", "aa", "bb", "bb")

@@ -330,3 +330,37 @@ def test_unclosed_quotes_take_linear_time():
     started = time.perf_counter()
     assert "Sentence number 7" in _text_of(page)
     assert time.perf_counter() - started < 2
+
+
+def test_identified_languages_are_returned(spark):
+    draw = random.Random(12)
+    texts = {"aa": lambda: words(draw, 60), "bb": lambda: words(draw, 60, "qrstuvwxyz")}
+    labelled = documents(spark, [(i, make(), k, "s", 0) for k, make in texts.items() for i in range(40)])
+    rows = [(1, texts["bb"](), "aa", "s", 0), (2, texts["bb"](), None, "s", 0), (3, texts["aa"](), "aa", "s", 0)]
+    docs = documents(spark, [*rows, (4, "", "aa", "s", 0)])
+    kept = language_id.keep_identified(docs, labelled, into="lang")
+    assert kept.columns == docs.columns
+    assert {r.doc_id: (r.lang, r.text) for r in kept.collect()} == {
+        1: ("bb", rows[0][1]), 2: ("bb", rows[1][1]), 3: ("aa", rows[2][1])
+    }
+    beside = language_id.keep_identified(with_clashes(docs), labelled, into="found").collect()
+    assert {r.doc_id: (r.lang, r.found) for r in beside} == {1: ("aa", "bb"), 2: (None, "bb"), 3: ("aa", "aa")}
+
+
+def test_languages_beyond_those_held_at_once(spark, monkeypatch):
+    """They are learned in groups, with the same results as all together."""
+    draw = random.Random(13)
+    makers = [_language(draw, draw.sample("abcdefghijklmnopqrstuvwxyz", 20), 300) for _ in range(5)]
+    rows = [(100 * k + i, make(40), f"l{k}", "s", 0) for k, make in enumerate(makers) for i in range(30 + k)]
+    docs = documents(spark, rows)
+    monkeypatch.setattr(language_id, "MOST_CHARACTERS", 2_000)
+
+    def found():
+        kept = language_id.keep_identified(docs, docs, into="found")
+        return sorted(map(tuple, kept.collect())), sorted(map(tuple, language_id.predict_languages(docs, docs).collect()))
+
+    together = found()
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    assert found() == together
+    assert len(together[0]) > 0.98 * len(rows)
+    assert sum(row[2] == row[-1] for row in together[0]) > 0.98 * len(rows)
