@@ -110,7 +110,7 @@ def test_text_counts_in_the_size_of_a_side(spark):
     other = side.select(F.col("k").alias("j"))
 
     def plan(limit):
-        sides = sides_by_size({"a": side, "none": side.limit(0)}, limit)
+        sides = sides_by_size({"a": side, "none": side.limit(0), "more": side.union(side)}, limit)
         joined = other.join(sides["a"], F.col("j") == F.col("k"))
         return joined._jdf.queryExecution().optimizedPlan().toString()
 
